@@ -137,16 +137,17 @@ def written_port(scheme: Column, port: Column) -> Column:
 
 
 def redact_segments(path: Column) -> Column:
-    """Path segments as (text, hidden), private ones replaced."""
+    """Path segments as (text, hidden), private ones replaced.
 
-    def one(segment: Column) -> Column:
-        decoded = decode_unreserved(segment)
-        probe = decode_fully(decoded)
-        hidden = (segment != "") & (probe.isNull() | is_sensitive_segment(probe))
-        text = F.when(segment == "", segment).when(hidden, F.lit(REDACTED)).otherwise(_upper_escapes(decoded))
-        return F.struct(text.alias("text"), F.coalesce(hidden, F.lit(False)).alias("hidden"))
-
-    return F.transform(F.split(path, "/"), one)
+    Each step is a transform of its own, so that a decoded segment is worked out once and then only read.
+    """
+    decoded = F.transform(F.split(path, "/"), decode_unreserved)
+    probed = F.transform(decoded, lambda d: F.struct(d.alias("text"), decode_fully(d).alias("probe")))
+    judged = F.transform(probed, lambda s: F.struct(
+        s["text"].alias("text"),
+        F.coalesce((s["text"] != "") & (s["probe"].isNull() | is_sensitive_segment(s["probe"])), F.lit(False)).alias("hidden")))
+    return F.transform(judged, lambda s: F.struct(
+        F.when(s["hidden"], F.lit(REDACTED)).otherwise(_upper_escapes(s["text"])).alias("text"), s["hidden"].alias("hidden")))
 
 
 def join_segments(segments: Column) -> Column:
@@ -181,9 +182,11 @@ def display_path(path: Column) -> Column:
     base = F.when((F.length(squeezed) > 1) & F.endswith(squeezed, F.lit("/")),
                   F.regexp_replace(squeezed, r"/\z", "")).when(squeezed == "", "/").otherwise(squeezed)
 
+    probed = F.transform(F.split(base, "/"), lambda s: F.struct(s.alias("text"), decode_fully(s).alias("probe")))
+
     def one(segment: Column) -> Column:
-        text = decode_fully(segment)
-        hidden = text.isNull() | looks_private(text) | (utf16_length(text) > fixed.MAX_DISPLAY_SEGMENT_LENGTH)
-        return F.when(segment == "", segment).when(hidden, F.lit(":redacted")).otherwise(segment)
+        text, probe = segment["text"], segment["probe"]
+        hidden = probe.isNull() | looks_private(probe) | (utf16_length(probe) > fixed.MAX_DISPLAY_SEGMENT_LENGTH)
+        return F.when(text == "", text).when(hidden, F.lit(":redacted")).otherwise(text)
 
-    return F.array_join(F.transform(F.split(base, "/"), one), "/")
+    return F.array_join(F.transform(probed, one), "/")

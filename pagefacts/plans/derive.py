@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagefacts.operators.ranking import ordinal, running_total
+from pagefacts.operators.ranking import node_bucket, ordinal, running_total
 from pagefacts.plans import rules
+from pagefacts.plans.stored import stored
+from pagefacts.sources.nodes import extract_nodes
 
 _NODES_PER_BUCKET = 65_536
 _ORDERS_PER_BUCKET = 1_000_000
@@ -94,24 +96,44 @@ def _string_map(named: dict[str, str]) -> Column:
     return F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull())
 
 
-def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The forest in the shape of an extracted node table."""
-    rows = tree(spark, sf_dir).withColumns({name: F.expr(text) for name, text in rules.TREE_COLUMNS.items()
-                                            if name in ("tag", "class_text") or name.startswith("a_")})
-    return rows.select(
-        "page_id", "node_ix", "parent_ix", "depth", "tag", _string_map(rules.ATTRIBUTES).alias("attrs"),
-        F.array_distinct(F.filter(F.split("class_text", " "), lambda t: t != "")).alias("class_tokens"),
-        "ancestors", "child_count")
-
-
-def tree_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded boxes and styles of the same nodes."""
-    wanted = ("x", "y", "w", "h", "display", "visibility", "opacity", "position", "overflow_x", "overflow_y", "extra_w", "extra_h")
-    rows = tree(spark, sf_dir).withColumns({name: F.expr(rules.TREE_COLUMNS[name]) for name in wanted})
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest in the shape of an extracted node table with its recorded boxes and styles."""
+    rows = tree(spark, sf_dir).withColumns({name: F.expr(text) for name, text in rules.TREE_COLUMNS.items()})
     rect = F.struct(
         F.col("x"), F.col("y"), F.col("y").alias("top"), (F.col("x") + F.col("w")).alias("right"),
         (F.col("y") + F.col("h")).alias("bottom"), F.col("x").alias("left"), F.col("w").alias("width"), F.col("h").alias("height"))
     return rows.select(
-        "page_id", "node_ix", rect.alias("rect"), F.col("w").alias("client_w"), F.col("h").alias("client_h"),
+        "page_id", "node_ix", "parent_ix", "depth", "tag", _string_map(rules.ATTRIBUTES).alias("attrs"),
+        F.array_distinct(F.filter(F.split("class_text", " "), lambda t: t != "")).alias("class_tokens"),
+        "ancestors", "child_count", rect.alias("rect"), F.col("w").alias("client_w"), F.col("h").alias("client_h"),
         (F.col("w") + F.col("extra_w")).alias("scroll_w"), (F.col("h") + F.col("extra_h")).alias("scroll_h"),
-        _string_map(rules.STYLES).alias("styles"))
+        _string_map(rules.STYLES).alias("styles"), "seg", "custkey", "orderkey", "linenumber", "partkey")
+
+
+def measured_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "measured_tree", _measured)
+
+
+NODE_COLUMNS = ("page_id", "node_ix", "parent_ix", "depth", "tag", "attrs", "class_tokens", "ancestors", "child_count")
+
+
+def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measured_tree(spark, sf_dir).select(*NODE_COLUMNS)
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = extract_nodes(table(spark, sf_dir, "pages"))
+    keyed = ordinal(nodes, ["page_id", "tag"], ["node_ix"], node_bucket(), "nth")
+    number = F.concat("tag", (F.col("nth") + 1).cast("string"))
+    extra = F.map_filter(
+        F.create_map(F.lit("data-id"), F.when(F.col("tag").isin("p", "li", "article"), number),
+                     F.lit("data-elementor-id"), F.when(F.col("tag") == "body", F.concat(F.lit("page-"), F.col("page_id").cast("string")))),
+        lambda _, v: v.isNotNull())
+    marks = F.when(F.col("tag").isin("article", "div"), F.concat("class_tokens", F.array(
+        F.lit("elementor-element"), F.lit("elementor-widget-text"), F.lit("e-con")))).otherwise(F.col("class_tokens"))
+    return keyed.withColumns({"attrs": F.map_concat("attrs", extra), "class_tokens": marks}).drop("nth")
+
+
+def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the given pages with the mapped markers."""
+    return stored(spark, sf_dir, "page_nodes", _mapped)
