@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagefacts.functions import markers
+from pagefacts.functions.digests import digest
+from pagefacts.operators import ancestors, binding
+from pagefacts.operators import nodes as node_ops
+from pagefacts.operators import tree as tree_ops
 from pagefacts.operators.ranking import node_bucket, ordinal, running_total
 from pagefacts.plans import rules
 from pagefacts.plans.stored import stored
@@ -137,3 +142,63 @@ def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the given pages with the mapped markers."""
     return stored(spark, sf_dir, "page_nodes", _mapped)
+
+
+# --- catalogue -----------------------------------------------------------------------------------
+
+
+def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One context per page but the last; one of them has no documents, one no selection."""
+    pages = table(spark, sf_dir, "nation").filter("n_nationkey < 24").select(F.col("n_nationkey").cast("bigint").alias("page_id"))
+    return pages.withColumns({name: F.expr(text) for name, text in rules.CONTEXT_COLUMNS.items()})
+
+
+def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = F.array(*[F.struct(i.alias("document_id"), F.lit(t).alias("document_type")) for i, t in (
+        (F.concat(F.lit("page-"), F.col("page_id").cast("string")), "page"), (F.lit("header"), "header"),
+        (F.lit("loop"), "loop-item"), (F.lit("footer"), "footer"))])
+    listed = contexts(spark, sf_dir).filter("page_id < 23").select("context_id", F.explode(documents).alias("d"))
+    return listed.select("context_id", "d.document_id", "d.document_type",
+                         digest(F.concat_ws(":", F.lit("doc"), "context_id", "d.document_id")).alias("document_fingerprint"))
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = measured_tree(spark, sf_dir).withColumn("lvl", F.col("depth")).filter(rules.CATALOGUE_ROWS)
+    listed = rows.select("lvl", "page_id", *[F.expr(text).alias(name) for name, text in rules.CATALOGUE_COLUMNS.items()], F.col("node_ix").alias("document_order"))
+    planted = contexts(spark, sf_dir).filter("page_id < 23").select("page_id", "context_id", F.explode(F.array(*[
+        F.struct(i.alias("element_id"), d.alias("document_id"), F.lit(k).alias("element_kind")) for i, d, k in (
+            (F.concat(F.lit("zero-"), F.col("page_id").cast("string")), F.concat(F.lit("page-"), F.col("page_id").cast("string")), "Container"),
+            (F.lit(None).cast("string"), F.lit("header"), "widget"))])).alias("e")).select(
+        "page_id", "context_id", "e.*", F.concat(F.lit("extra:"), F.col("page_id").cast("string"), F.lit(":"), F.col("e.element_kind")).alias("record_text"),
+        F.lit("").alias("ancestor_text"), F.lit("classic").alias("architecture_kind"), F.lit(0).alias("document_order"))
+    every = listed.unionByName(planted, allowMissingColumns=True)
+    counts = every.filter("element_id IS NOT NULL").groupBy("context_id", "document_id", "element_id").agg(F.count("*").cast("int").alias("_n"))
+    joined = every.join(counts, ["context_id", "document_id", "element_id"], "left")
+    return joined.select(
+        "context_id", "document_id", digest(F.concat(F.lit("key:"), "record_text")).alias("source_element_key"),
+        digest(F.concat(F.lit("rec:"), "record_text")).alias("source_record_sha256"), "element_id",
+        F.coalesce("_n", F.lit(0)).alias("id_occurrence_count"),
+        F.when(F.col("element_id").isNull(), "MISSING").when(F.col("_n") > 1, "DUPLICATE").otherwise("UNIQUE").alias("id_uniqueness"),
+        "parent_element_id", F.filter(F.split("ancestor_text", ","), lambda a: a != "").alias("ancestor_element_ids"),
+        F.concat(F.lit("/"), "record_text").alias("source_path"), "document_order", "element_kind", "el_type", "widget_type",
+        "architecture_kind", "editor_label")
+
+
+def source_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "source_elements", _catalogue)
+
+
+def _bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emitted elements (finite box, no script) with binding, ids, emitted parent and identity digest."""
+    nodes = measured_tree(spark, sf_dir)
+    kept = tree_ops.emission_ids(node_ops.normalize_rects(nodes).filter("tag NOT IN ('script', 'noscript')"))
+    bound = binding.bind_elements(nodes, source_elements(spark, sf_dir), source_documents(spark, sf_dir), contexts(spark, sf_dir))
+    linked = ancestors.emitted_parents(nodes.select(*NODE_COLUMNS), kept.select("page_id", "node_ix", "node_id"))
+    out = kept.join(bound.select("page_id", "node_ix", "binding"), ["page_id", "node_ix"]).join(
+        linked.select("page_id", "node_ix", F.col("nearest_emitted").alias("parent_node_ix"), "parent_node_id"), ["page_id", "node_ix"])
+    marked = out.withColumn("widget", markers.widget_markers())
+    return binding.runtime_instances(marked, digest(F.concat(F.lit("page-context-"), F.col("page_id").cast("string"))))
+
+
+def bound_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "bound_tree", _bound)

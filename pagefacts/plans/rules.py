@@ -63,3 +63,26 @@ STYLES = {
     "display": "display", "visibility": "visibility", "opacity": "opacity", "position": "position",
     "overflow-x": "overflow_x", "overflow-y": "overflow_y",
 }
+
+# Catalogue rows: (filter on tree rows, columns).  `cx` is the page's context.
+CATALOGUE_ROWS = "page_id < 23 AND (lvl = 1 OR (lvl = 2 AND custkey % 2 = 0) OR (lvl = 3 AND orderkey % 6 = 0))"
+CATALOGUE_COLUMNS = {
+    "context_id": "concat('ctx-', CAST(page_id AS VARCHAR(20)))",
+    "document_id": """CASE WHEN lvl = 2 AND custkey % 3 = 0 THEN 'loop' WHEN lvl = 2 AND custkey % 3 = 1 THEN 'header'
+        ELSE concat('page-', CAST(page_id AS VARCHAR(20))) END""",
+    "element_id": """CASE lvl WHEN 1 THEN concat('s', seg) WHEN 2 THEN concat('c', CAST(custkey % 400 AS VARCHAR(20)))
+        ELSE concat('o', CAST(orderkey AS VARCHAR(20))) END""",
+    "record_text": "concat(CAST(page_id AS VARCHAR(20)), ':', CAST(lvl AS VARCHAR(20)), ':', seg, ':', CAST(coalesce(orderkey, custkey, 0) AS VARCHAR(20)))",
+    "parent_element_id": "CASE lvl WHEN 2 THEN concat('s', seg) WHEN 3 THEN concat('c', CAST(custkey % 400 AS VARCHAR(20))) END",
+    "ancestor_text": "CASE lvl WHEN 1 THEN '' WHEN 2 THEN concat('s', seg) ELSE concat('s', seg, ',c', CAST(custkey % 400 AS VARCHAR(20))) END",
+    "element_kind": "CASE WHEN lvl = 1 THEN 'Section' WHEN lvl = 2 AND custkey % 3 <> 0 THEN 'container' ELSE 'widget' END",
+    "el_type": "CASE WHEN lvl = 3 AND orderkey % 12 = 0 THEN 'E-Grid' WHEN lvl = 3 THEN 'widget' END",
+    "widget_type": "CASE WHEN lvl = 2 AND custkey % 3 = 0 THEN 'loop-grid' WHEN lvl = 3 THEN 'button' END",
+    "architecture_kind": "'classic'",
+    "editor_label": "CASE WHEN lvl = 2 AND custkey % 10 = 0 THEN concat('Label ', CAST(custkey AS VARCHAR(20))) END",
+}
+CONTEXT_COLUMNS = {
+    "context_id": "concat('ctx-', CAST(page_id AS VARCHAR(20)))",
+    "selected_document_id": "CASE WHEN page_id <> 22 THEN concat('page-', CAST(page_id AS VARCHAR(20))) END",
+    "confirmation_state": "CASE WHEN page_id % 4 = 0 THEN 'NOT_CONFIRMED' ELSE 'CONFIRMED' END",
+}

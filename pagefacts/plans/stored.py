@@ -24,3 +24,14 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSe
         build(spark, sf_dir).write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
+
+
+def stored_json(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> str:
+    """Path of a shape written as JSON lines (for readers of nested JSON)."""
+    tune(spark)
+    key = (spark.sparkContext.applicationId, sf_dir, f"{name}.json")
+    if key not in _WRITTEN:
+        path = f"{shared_folder(spark)}/shapes/{key[0]}/{sf_dir.strip('/').replace('/', '_')}/{name}_json"
+        build(spark, sf_dir).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
