@@ -137,3 +137,108 @@ def diagnostic_issues(diagnostics: DataFrame, keep: list[str]) -> DataFrame:
         ("failure_boundary", "enum", ~c("failure_boundary").isin(*fixed.FAILURE_BOUNDARIES)),
         *[(n, "required", c(n).isNull()) for n in ("code", "severity", "scope", "message_key", "context")],
     ], keep)
+
+
+# --- contracts -----------------------------------------------------------------------------------
+# A contract is a flat mapping path -> rule dict with the keys type, enum, const, pattern, minimum, maximum,
+# max_length, required.  Paths of nested objects are dotted.
+
+_TYPE_OF = {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}
+
+
+def contract_issues(frame: DataFrame, column: str, contract: dict[str, dict], keep: list[str]) -> DataFrame:
+    """Issues of JSON records against a contract that is compiled once into one projection.
+
+    The text is parsed once per row into a variant; each rule then reads a typed path of it.
+    """
+    staged = frame.withColumn("_v", F.try_parse_json(F.col(column)))
+    rules: list[Rule] = [("$", "malformed", F.col("_v").isNull())]
+    for path, rule in contract.items():
+        spot = F.try_variant_get(F.col("_v"), f"$.{path}", "variant")
+        kind = F.regexp_replace(F.schema_of_variant(spot), r"[(<].*", "")
+        text = F.try_variant_get(F.col("_v"), f"$.{path}", "string")
+        number = F.try_variant_get(F.col("_v"), f"$.{path}", "double")
+        there = spot.isNotNull()
+        wanted = rule.get("type")
+        if rule.get("required"):
+            rules.append((path, "required", F.col("_v").isNotNull() & ~there))
+        if wanted:
+            allowed = wanted if isinstance(wanted, list) else [wanted]
+            checks = []
+            for name in allowed:
+                if name == "integer":
+                    checks.append((kind == "BIGINT") | ((kind == "DECIMAL") & (number == F.floor(number))))
+                elif name == "number":
+                    checks.append(kind.isin("BIGINT", "DECIMAL", "DOUBLE"))
+                elif name == "array":
+                    checks.append(kind == "ARRAY")
+                elif name == "object":
+                    checks.append(kind == "OBJECT")
+                else:
+                    checks.append(kind == _TYPE_OF[name])
+            ok = checks[0]
+            for check in checks[1:]:
+                ok = ok | check
+            rules.append((path, "type", there & ~ok))
+        if "enum" in rule:
+            rules.append((path, "enum", (kind == "STRING") & ~text.isin(*rule["enum"])))
+        if "const" in rule:
+            rules.append((path, "const", there & (text != rule["const"])))
+        if "pattern" in rule:
+            rules.append((path, "pattern", (kind == "STRING") & ~matches(text, rule["pattern"])))
+        if "max_length" in rule:
+            rules.append((path, "max_length", (kind == "STRING") & (utf16_length(text) > rule["max_length"])))
+        if "minimum" in rule:
+            rules.append((path, "minimum", number < rule["minimum"]))
+        if "maximum" in rule:
+            rules.append((path, "maximum", number > rule["maximum"]))
+    found = issues(staged, rules, keep)
+    top = sorted({path.split(".")[0] for path in contract})
+    extra = staged.select(*keep, F.explode(F.array_except(F.json_object_keys(F.col(column)), F.array(*[F.lit(t) for t in top]))).alias("path"))
+    return found.unionByName(extra.withColumn("message", F.lit("unexpected")))
+
+
+# --- sessions and jobs ---------------------------------------------------------------------------
+
+
+def exportable(sessions: DataFrame, observations: DataFrame, integrity: DataFrame, checks: DataFrame, purpose: str) -> DataFrame:
+    """Why a session cannot be exported.  `integrity` and `checks` come from the session operators."""
+    from pagefacts.operators.sessions import purpose_allowed
+
+    facts = observations.groupBy("session_id").agg(F.count("*").alias("_n"), F.bool_or(F.col("process_state") == "ERROR").alias("_error"))
+    broken = integrity.groupBy("session_id").agg(*[
+        F.bool_or(F.col("issue") == code).alias(f"_{code}") for code in ("ORPHAN_SNAPSHOT", "MISSING_SNAPSHOT", "DUPLICATE_SNAPSHOT", "DUPLICATE_SUMMARY")])
+    out = sessions.join(facts, "session_id", "left").join(broken, "session_id", "left").join(checks, "session_id", "left")
+    return issues(out, [
+        ("snapshots", "NO_SNAPSHOTS", F.col("_n").isNull()),
+        ("status", "SESSION_NOT_EXPORTABLE", F.col("status").isin("FAILED", "CAPTURING")),
+        ("workflow_mode", "SESSION_WORKFLOW_MODE_MISMATCH", ~purpose_allowed(F.col("workflow_mode"), F.lit(purpose))),
+        ("observation_index", "DUPLICATE_OBSERVATION_INDEX", ~F.col("unique")),
+        ("observation_index", "NON_CONTIGUOUS_OBSERVATION_INDEX", F.col("unique") & ~F.col("contiguous")),
+        ("process_state", "READINESS_ERROR", F.col("_error")),
+        *[("captures", code, F.col(f"_{code}")) for code in ("ORPHAN_SNAPSHOT", "MISSING_SNAPSHOT", "DUPLICATE_SNAPSHOT", "DUPLICATE_SUMMARY")],
+    ], ["session_id"])
+
+
+def job_snapshot_issues(jobs: DataFrame, observations: DataFrame) -> DataFrame:
+    """Snapshots that disagree with the job that was to produce them.
+
+    `jobs` has job_id, session_id, snapshot_id, captured_at, max_elements, workflow_mode, expected_fingerprint
+    and expected_width.
+    """
+    from pagefacts.operators.sessions import environment_conditions
+
+    renamed = jobs.select("job_id", F.col("session_id").alias("_session"), "snapshot_id", F.col("captured_at").alias("_at"), "max_elements",
+                          "workflow_mode", "expected_fingerprint", "expected_width")
+    out = renamed.join(observations, "snapshot_id", "left")
+    strict = F.coalesce(F.col("workflow_mode") == fixed.STRICT_MODE, F.lit(False))
+    spoiled = F.lit(False)
+    for bad in environment_conditions().values():
+        spoiled = spoiled | bad
+    return issues(out, [
+        ("snapshot_id", "missing", F.col("session_id").isNull()), ("session_id", "identity", F.col("session_id") != F.col("_session")),
+        ("captured_at", "time", F.col("captured_at") != F.col("_at")), ("elements_emitted", "budget", F.col("elements_emitted") > F.col("max_elements")),
+        ("page_fingerprint", "changed", strict & (F.col("page_fingerprint") != F.col("expected_fingerprint"))),
+        ("inner_width", "changed", strict & (F.col("inner_width") != F.col("expected_width"))),
+        ("process_state", "error", F.col("process_state") == "ERROR"), ("environment", "changed", strict & spoiled),
+    ], ["job_id"])

@@ -202,3 +202,115 @@ def _bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bound_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "bound_tree", _bound)
+
+
+# --- observations --------------------------------------------------------------------------------
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
+
+
+def _with(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
+    for name, text in columns.items():
+        frame = frame.withColumn(name, F.expr(text))
+    return frame
+
+
+def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full sessions (all events of a user) and guided ones (the first event of each profile)."""
+    events = _events(spark, sf_dir)
+    day = F.floor(F.unix_micros("ts") / 86_400_000_000)
+    full = ordinal(events, ["user_id"], ["ts", "event_id"], day, "pure_index").withColumn("kind", F.lit("user"))
+    planted = (
+        F.when((F.col("user_id") % 17 == 0) & (F.col("pure_index") >= 3), F.col("pure_index") + 1)
+        .when((F.col("user_id") % 19 == 0) & (F.col("pure_index") == 2), F.lit(1)).otherwise(F.col("pure_index"))
+    )
+    full = full.withColumn("observation_index", planted)
+    profile = F.expr(rules.OBSERVATION_COLUMNS["requested_profile"])
+    first = events.groupBy("user_id", profile.alias("_profile")).agg(
+        F.min(F.struct("ts", "event_id", "event_type", "value", "k")).alias("e")).select("user_id", "e.*")
+    of_user = Window.partitionBy("user_id").orderBy("ts", "event_id")  # at most one row per profile
+    guided = first.withColumns({"kind": F.lit("guided"), "pure_index": F.row_number().over(of_user) - 1})
+    both = full.unionByName(guided.withColumn("observation_index", F.col("pure_index")))
+    out = _with(both, rules.OBSERVATION_COLUMNS)
+    return out.withColumns({
+        "captured_at": F.col("ts"), "page_fingerprint": digest(F.col("fingerprint_text")),
+        "reference_digest": digest(F.col("reference_text")),
+        "reasons": F.filter(F.split("reason_text", ","), lambda r: r != ""),
+    })
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "observations", _observations)
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = observations(spark, sf_dir).groupBy("kind", "user_id").agg(F.min("captured_at").alias("created_at"))
+    empty = grouped.filter("kind = 'user' AND user_id % 10 = 2").withColumn("kind", F.lit("empty"))
+    rows = _with(grouped.unionByName(empty), rules.SESSION_COLUMNS)
+    return rows.withColumns({
+        "name": F.concat(F.lit("Session "), "session_id"), "reference_digest": digest(F.col("reference_text")),
+        "site_fingerprint": digest(F.col("site_text")), "imported_sha256": digest(F.col("context_id")),
+        "export_root_sha256": digest(F.concat(F.lit("root-"), "context_id")),
+        "selected_document_fingerprint": digest(F.concat(F.lit("fp-"), "selected_document_id")),
+    })
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "sessions", _sessions)
+
+
+def imported_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imported catalogues that sessions refer to, one row per document (nine of the ten ids exist)."""
+    ids = observations(spark, sf_dir).select((F.col("user_id") % 10).alias("n")).distinct().filter("n <> 9")
+    name = F.col("n").cast("string")
+    context = F.concat(F.lit("ectx-"), name)
+    return ids.select(
+        context.alias("context_id"), digest(context).alias("imported_sha256"), digest(F.concat(F.lit("root-"), context)).alias("export_root_sha256"),
+        digest(F.concat(F.lit("site-"), name)).alias("site_fingerprint"), F.concat(F.lit("d-"), name).alias("document_id"),
+        digest(F.concat(F.lit("fp-d-"), name)).alias("document_fingerprint"))
+
+
+def capture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture summaries: some are lost, some point at snapshots that do not exist."""
+    rows = observations(spark, sf_dir)
+    keep = rows.filter("event_id % 23 <> 0").select("session_id", "snapshot_id", "captured_at", "completeness")
+    foreign = rows.filter("event_id % 29 = 0").select(
+        "session_id", F.concat(F.lit("missing-"), F.col("event_id").cast("string")).alias("snapshot_id"), "captured_at", "completeness")
+    twice = rows.filter("event_id % 101 = 5").select("session_id", "snapshot_id", "captured_at", "completeness")
+    return keep.unionByName(foreign).unionByName(twice).withColumn("status", F.col("completeness"))
+
+
+def screenshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = observations(spark, sf_dir).withColumn("n_bytes", (1000 + F.col("k") * 100).cast("bigint"))
+    keep = rows.filter("k % 3 = 0 AND event_id % 5 <> 0").select("session_id", "snapshot_id", "n_bytes")
+    twice = rows.filter("k % 3 = 0 AND event_id % 41 = 0").select("session_id", "snapshot_id", "n_bytes")
+    foreign = rows.filter("event_id % 37 = 0").select(
+        "session_id", F.concat(F.lit("foreign-"), F.col("event_id").cast("string")).alias("snapshot_id"), "n_bytes")
+    return keep.unionByName(twice).unionByName(foreign)
+
+
+def observed_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = observations(spark, sf_dir).select(
+        "session_id", "snapshot_id", "event_id", "k", F.explode(F.sequence(F.lit(1), 1 + F.col("k") % 5)).alias("i"))
+    return _with(rows, rules.ELEMENT_COLUMNS)
+
+
+def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with(observations(spark, sf_dir).select("session_id", "snapshot_id", "event_id", "event_type", "k"), rules.DIAGNOSTIC_COLUMNS)
+    context = {"limit": "c_limit", "page_url": "c_url", "auth_token": "c_token", "detail": "c_long", "Bad Key": "c_limit"}
+    return rows.withColumn("context", _string_map(context))
+
+
+def readiness_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = observations(spark, sf_dir).filter("kind = 'user'")
+    nan = F.lit(float("nan"))
+    return rows.select(
+        F.col("session_id").alias("capture_id"), F.col("pure_index").alias("sample_no"), (F.col("pure_index") * 100.0).alias("elapsed_ms"),
+        F.when(F.col("k") < 50, 1000.0).otherwise(1010.0).alias("doc_w"),
+        F.when((F.col("k") == 97) & (F.col("user_id") % 3 == 0), nan).otherwise(2000.0).alias("doc_h"),
+        F.lit(1440.0).alias("view_w"), F.lit(900.0).alias("view_h"),
+        F.when(F.col("k") % 25 == 0, "interactive").otherwise("complete").alias("ready_state"),
+        (F.col("k") % 20 != 1).alias("fonts_loaded"), F.when(F.col("k") % 15 == 2, 1).otherwise(0).alias("unresolved_images"))

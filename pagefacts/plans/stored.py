@@ -35,3 +35,14 @@ def stored_json(spark: SparkSession, sf_dir: str, name: str, build: Callable[[Sp
         build(spark, sf_dir).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
         _WRITTEN[key] = path
     return _WRITTEN[key]
+
+
+def stored_text(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> str:
+    """Path of a shape written as plain lines (column `value`)."""
+    tune(spark)
+    key = (spark.sparkContext.applicationId, sf_dir, f"{name}.txt")
+    if key not in _WRITTEN:
+        path = f"{shared_folder(spark)}/shapes/{key[0]}/{sf_dir.strip('/').replace('/', '_')}/{name}_text"
+        build(spark, sf_dir).write.mode("overwrite").text(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
