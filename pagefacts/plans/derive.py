@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import warnings
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -314,3 +320,109 @@ def readiness_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1440.0).alias("view_w"), F.lit(900.0).alias("view_h"),
         F.when(F.col("k") % 25 == 0, "interactive").otherwise("complete").alias("ready_state"),
         (F.col("k") % 20 != 1).alias("fonts_loaded"), F.when(F.col("k") % 15 == 2, 1).otherwise(0).alias("unresolved_images"))
+
+
+# --- documents as chunks, packages and text ------------------------------------------------------
+
+CHUNK_CHARACTERS = 2000
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    status = F.element_at(F.array(*[F.lit(s) for s in ("PREPARED", "INJECTED", "RECEIVING", "ASSEMBLING", "COMPLETE", "FAILED")]), (F.col("doc_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("job-"), F.col("doc_id").cast("string")).alias("job_id"), F.col("source").alias("session_id"), "doc_id",
+        (F.floor(F.col("doc_id") / 3) % 400).alias("tab_id"), status.alias("status"),
+        F.timestamp_add("SECOND", F.col("doc_id").cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("updated_at"),
+        F.greatest(F.lit(1), F.ceil(F.length(text) / CHUNK_CHARACTERS)).cast("int").alias("expected_chunks"), F.lit(20_000).cast("bigint").alias("max_bytes"),
+        F.when(F.col("doc_id") % 5 != 0, F.sha2(F.when(F.col("doc_id") % 97 == 3, F.concat(text, F.lit("!"))).otherwise(text), 256)).alias("full_sha256"))
+
+
+def _pieces(documents: DataFrame) -> DataFrame:
+    last = F.greatest(F.lit(0), F.ceil(F.length("text") / CHUNK_CHARACTERS).cast("int") - 1)
+    rows = documents.select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
+    return rows.withColumn("data", F.expr(f"substring(text, {CHUNK_CHARACTERS} * chunk_index + 1, {CHUNK_CHARACTERS})")).drop("text")
+
+
+def chunk_columns(pieces: DataFrame, *extra: str) -> DataFrame:
+    """Chunks with planted faults: lost, repeated, differing, wrongly hashed and unhashed ones."""
+    n = F.col("doc_id") + F.col("chunk_index")
+    copies = F.when(n % 41 == 0, F.array(F.lit(0), F.lit(1))).when(n % 43 == 0, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))
+    rows = pieces.filter(n % 37 != 0).withColumn("copy", F.explode(copies))
+    rows = rows.withColumn("data", F.when(F.col("copy") == 2, F.concat(F.lit("x"), "data")).otherwise(F.col("data")))
+    hashed = F.when(n % 47 == 0, F.sha2(F.lit("wrong"), 256)).when(n % 53 == 0, "LEGACY_UNVERIFIED").otherwise(F.sha2("data", 256))
+    return rows.select(F.concat(F.lit("job-"), F.col("doc_id").cast("string")).alias("job_id"), "doc_id", "chunk_index", "copy", "data", *extra, hashed.alias("sha256"),
+                       (F.octet_length("data") + F.when(n % 59 == 0, 1).otherwise(0)).alias("byte_length"))
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_columns(_pieces(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def packages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, manifest, checksums): documents by source with planted faults."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("package_id"), "text")
+    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    named = documents.select("package_id", path.alias("path"), "doc_id", F.encode("text", "UTF-8").alias("content"))
+    heads = documents.select("package_id", (F.col("doc_id") % 20).alias("n")).distinct()
+    controls = heads.select("package_id", F.explode(F.when(F.col("n") == 4, F.array(F.lit("checksums.sha256"))).otherwise(
+        F.array(F.lit("checksums.sha256"), F.lit("package-manifest.json")))).alias("path"), F.encode(F.lit("{}"), "UTF-8").alias("content"))
+    files = named.filter("doc_id % 67 <> 0").select("package_id", "path", "content").unionByName(controls)
+    sized = named.select("package_id", "path", "doc_id", (F.octet_length("content") + F.when(F.col("doc_id") % 53 == 0, 1).otherwise(0)).cast("bigint").alias("bytes"),
+                         digest(F.when(F.col("doc_id") % 83 == 0, F.encode(F.lit("wrong"), "UTF-8")).otherwise(F.col("content"))).alias("sha256"))
+    none = heads.filter("n % 5 = 1").select("package_id", F.lit("docs/none.txt").alias("path"), F.lit(1).cast("bigint").alias("bytes"), digest(F.lit("none")).alias("sha256"))
+    clean = sized.filter("doc_id % 31 <> 0").drop("doc_id")
+    manifest = clean.unionByName(none).unionByName(sized.filter("doc_id % 71 = 5 AND doc_id % 31 <> 0").drop("doc_id"))
+    true_digest = digest(F.when(F.col("doc_id") % 59 == 0, F.encode(F.lit("other"), "UTF-8")).otherwise(F.col("content")))
+    gap = F.when(F.col("doc_id") % 61 == 0, " ").otherwise("  ")
+    lines = named.filter("doc_id % 31 <> 0").select("package_id", F.col("doc_id").alias("line_no"), F.concat(true_digest, gap, "path").alias("line"))
+    control = heads.select("package_id", F.lit(-1).cast("bigint").alias("line_no"), F.concat(digest(F.lit("{}")), F.lit("  package-manifest.json")).alias("line"))
+    return files, manifest, lines.unionByName(control)
+
+
+def document_text(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, text nodes): forty pages whose elements are documents and whose texts are their lines."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    page, ix = F.col("doc_id") % 40, (F.floor(F.col("doc_id") / 40) + 1).cast("int")
+    tag = F.when(F.col("doc_id") % 13 == 0, "script").when(F.col("doc_id") % 17 == 0, "textarea").otherwise("p")
+    attrs = F.when(F.col("doc_id") % 19 == 0, F.create_map(F.lit("contenteditable"), F.lit("true"))).otherwise(F.create_map().cast("map<string,string>"))
+    leaves = documents.select(page.alias("page_id"), ix.alias("node_ix"), tag.alias("tag"), attrs.alias("attrs"))
+    roots = documents.select(page.alias("page_id")).distinct().select("page_id", F.lit(0).alias("node_ix"), F.lit("html").alias("tag"), F.create_map().cast("map<string,string>").alias("attrs"))
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "data"))
+    texts = lines.select(page.alias("page_id"), (ix * 100_000 + F.col("pos")).alias("text_ix"), ix.alias("parent_ix"), F.array(F.lit(0), ix).alias("ancestors"), "data")
+    return roots.unionByName(leaves), texts
+
+
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State events of jobs (one job per user and day)."""
+    status = F.when(F.col("k") % 40 == 0, "FAILED").when(F.col("k") % 40 == 1, "CANCELLED").when(F.col("k") % 40 == 2, "COMPLETE").otherwise(
+        F.element_at(F.array(*[F.lit(s) for s in ("PREPARED", "INJECTED", "RECEIVING", "ASSEMBLING")]), F.col("k") % 4 + 1))
+    return job_event_columns(_events(spark, sf_dir), status)
+
+
+def job_event_columns(events: DataFrame, status: Column) -> DataFrame:
+    day = F.floor(F.unix_seconds("ts") / 86_400)
+    return events.select(F.concat_ws("-", F.lit("job"), F.col("user_id").cast("string"), day.cast("string")).alias("job_id"), "event_id",
+                         F.col("ts").alias("event_time"), status.alias("status"))
+
+
+def _zip_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        made = []
+        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            path = "../a.txt" if doc_id % 11 == 0 else "/a.txt" if doc_id % 13 == 0 else "docs/a.txt"
+            held = io.BytesIO()
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")  # repeated names are planted on purpose
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_STORED) as archive:
+                    for _ in range(2 if doc_id % 17 == 0 else 1):
+                        archive.writestr(path, text)
+                    archive.writestr("manifest.json", "{}")
+            data = held.getvalue()
+            made.append((f"doc-{doc_id}", b"no archive" if doc_id % 29 == 0 else data))
+        yield pd.DataFrame(made, columns=["package_id", "content"])
+
+
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One small archive per document."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(_zip_rows, "package_id string, content binary")

@@ -16,6 +16,10 @@ _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    return spark.read.parquet(stored_path(spark, sf_dir, name, build))
+
+
+def stored_path(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> str:
     tune(spark)
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _WRITTEN:
@@ -23,7 +27,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSe
         path = f"{shared_folder(spark)}/shapes/{key[0]}/{label}/{name}"
         build(spark, sf_dir).write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
-    return spark.read.parquet(_WRITTEN[key])
+    return _WRITTEN[key]
 
 
 def stored_json(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> str:
