@@ -1,7 +1,9 @@
 """Stateful processors.  Each keeps a small, bounded state per key; decisions follow the batch operators.
 
-Rows of a key arrive in any order within a micro-batch, so a processor sorts what it was handed.  State
-ends after `ttl` of idleness.
+Rows of a key arrive in any order within a micro-batch, so a processor sorts what it was handed.
+
+A live query passes `ttl_ms`: the state of an idle key then ends after that time.  Time-to-live needs the
+processing-time mode, which schedules batches for ever, so a run over "all that is there now" leaves it out.
 """
 
 from __future__ import annotations
@@ -10,7 +12,8 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pagefacts import fixed
@@ -19,20 +22,31 @@ from pagefacts.operators.sessions import environment_conditions
 DAY_MS = 86_400_000
 
 
+class _Keyed(StatefulProcessor):
+    """Processor with an optional time-to-live for its state."""
+
+    def __init__(self, ttl_ms: int | None = None) -> None:
+        self.ttl_ms = ttl_ms
+
+    def close(self) -> None:
+        pass
+
+
+
 def _sorted(rows: Iterator[pd.DataFrame], by: list[str]) -> list:
     frames = list(rows)
     whole = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=by)
     return list(whole.sort_values(by, kind="stable").itertuples(index=False))
 
 
-class IngestChunks(StatefulProcessor):
+class IngestChunks(_Keyed):
     """Accept a chunk once, reject what contradicts the job or an earlier chunk."""
 
     schema = "job_id string, chunk_index int, copy int, outcome string, reason string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "chunk_index int", "digest string", DAY_MS)
-        self.job = handle.getValueState("job", "total int, count int, bytes long", DAY_MS)
+        self.seen = handle.getMapState("seen", "chunk_index int", "digest string", self.ttl_ms)
+        self.job = handle.getValueState("job", "total int, count int, bytes long", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         total, count, size = self.job.get() if self.job.exists() else (None, 0, 0)
@@ -62,18 +76,15 @@ class IngestChunks(StatefulProcessor):
             self.job.update((total, count, size))
         yield pd.DataFrame(out, columns=["job_id", "chunk_index", "copy", "outcome", "reason"])
 
-    def close(self) -> None:
-        pass
-
 
-class AssembleChunks(StatefulProcessor):
+class AssembleChunks(_Keyed):
     """Collect accepted chunks and emit the whole text once all of them are there."""
 
     schema = "job_id string, n_chunks int, n_bytes bigint, text_sha256 string, text string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.parts = handle.getMapState("parts", "chunk_index int", "data string", DAY_MS)
-        self.done = handle.getValueState("done", "done boolean", DAY_MS)
+        self.parts = handle.getMapState("parts", "chunk_index int", "data string", self.ttl_ms)
+        self.done = handle.getValueState("done", "done boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         total = 0
@@ -91,16 +102,14 @@ class AssembleChunks(StatefulProcessor):
             self.parts.clear()
         yield pd.DataFrame(out, columns=["job_id", "n_chunks", "n_bytes", "text_sha256", "text"])
 
-    def close(self) -> None:
-        pass
-
 
-class JobStates(StatefulProcessor):
+class JobStates(_Keyed):
     """Follow the state of a job; a terminal state absorbs later events, silence interrupts the job."""
 
     schema = "job_id string, event_id bigint, event_time timestamp, status string, applied boolean"
 
     def __init__(self, stale_seconds: int | None = None) -> None:
+        super().__init__()
         self.stale_ms = None if stale_seconds is None else stale_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -135,21 +144,19 @@ class JobStates(StatefulProcessor):
             out.append((key[0], last, when, "INTERRUPTED", True))
         yield pd.DataFrame(out, columns=["job_id", "event_id", "event_time", "status", "applied"])
 
-    def close(self) -> None:
-        pass
 
-
-class Readiness(StatefulProcessor):
+class Readiness(_Keyed):
     """Run counter over readiness samples; one verdict per capture."""
 
     schema = "capture_id string, process_state string, sample_count int, final_document_width double"
 
-    def __init__(self, timeout_ms: float = fixed.READINESS_TIMEOUT_MS) -> None:
+    def __init__(self, timeout_ms: float = fixed.READINESS_TIMEOUT_MS, ttl_ms: int | None = None) -> None:
+        super().__init__(ttl_ms)
         self.limit = float(min(max(int(timeout_ms), 0), fixed.MAX_READINESS_TIMEOUT_MS))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState(
-            "state", "run int, seen int, elapsed double, doc_w double, doc_h double, view_w double, view_h double, verdict string", DAY_MS)
+            "state", "run int, seen int, elapsed double, doc_w double, doc_h double, view_w double, view_h double, verdict string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         run, seen, elapsed, w, h, vw, vh, verdict = self.state.get() if self.state.exists() else (0, 0, -1.0, 0.0, 0.0, 0.0, 0.0, None)
@@ -175,11 +182,8 @@ class Readiness(StatefulProcessor):
             out.append((key[0], verdict, seen, None if verdict == "ERROR" else w))
         yield pd.DataFrame(out, columns=["capture_id", "process_state", "sample_count", "final_document_width"])
 
-    def close(self) -> None:
-        pass
-
 
-class Admission(StatefulProcessor):
+class Admission(_Keyed):
     """Accept or reject capture attempts of a session one after another.
 
     Only accepted attempts count as captured, and each needs a required profile of its own, so the state
@@ -189,7 +193,7 @@ class Admission(StatefulProcessor):
     schema = "session_id string, snapshot_id string, allowed boolean, codes string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.accepted = handle.getMapState("accepted", "profile string", "width double, fingerprint string, reference string", DAY_MS)
+        self.accepted = handle.getMapState("accepted", "profile string", "width double, fingerprint string, reference string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = {k[0]: tuple(v) for k, v in self.accepted.iterator()}
@@ -217,18 +221,15 @@ class Admission(StatefulProcessor):
             out.append((key[0], row.snapshot_id, not codes, ",".join(sorted(codes))))
         yield pd.DataFrame(out, columns=["session_id", "snapshot_id", "allowed", "codes"])
 
-    def close(self) -> None:
-        pass
-
 
-class SessionRollup(StatefulProcessor):
+class SessionRollup(_Keyed):
     """Roll-up of a session's captures, re-emitted whenever the session changes."""
 
     schema = "session_id string, version int, status string, capture_count int, last_captured_at timestamp"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", "version int, count int, partial int, last long", DAY_MS)
-        self.captures = handle.getMapState("captures", "snapshot_id string", "complete boolean", DAY_MS)
+        self.totals = handle.getValueState("totals", "version int, count int, partial int, last long", self.ttl_ms)
+        self.captures = handle.getMapState("captures", "snapshot_id string", "complete boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         version, count, partial, last = self.totals.get() if self.totals.exists() else (0, 0, 0, 0)
@@ -244,26 +245,24 @@ class SessionRollup(StatefulProcessor):
         yield pd.DataFrame([(key[0], version + 1, state, count, pd.Timestamp(last, unit="us"))],
                            columns=["session_id", "version", "status", "capture_count", "last_captured_at"])
 
-    def close(self) -> None:
-        pass
-
 
-def stateful(rows: DataFrame, key: str, processor: StatefulProcessor, mode: str = "Append", time: str = "ProcessingTime") -> DataFrame:
+def stateful(rows: DataFrame, key: str, processor: _Keyed, mode: str = "Append", time: str | None = None) -> DataFrame:
+    chosen = time or ("None" if processor.ttl_ms is None else "ProcessingTime")
     return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=processor.schema, outputMode=mode, timeMode=time)
+        statefulProcessor=processor, outputStructType=processor.schema, outputMode=mode, timeMode=chosen)
 
 
-def ingest_chunks(stream: DataFrame) -> DataFrame:
-    return stateful(stream, "job_id", IngestChunks())
+def ingest_chunks(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    return stateful(stream, "job_id", IngestChunks(ttl_ms))
 
 
-def assemble_stream(accepted: DataFrame) -> DataFrame:
-    return stateful(accepted, "job_id", AssembleChunks())
+def assemble_stream(accepted: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    return stateful(accepted, "job_id", AssembleChunks(ttl_ms))
 
 
 def job_state_stream(events: DataFrame) -> DataFrame:
     """Applied and absorbed events per job."""
-    return stateful(events, "job_id", JobStates(), time="None")
+    return stateful(events, "job_id", JobStates())
 
 
 def stale_job_stream(events: DataFrame, seconds: int = fixed.STALE_JOB_SECONDS, watermark: str = "0 seconds") -> DataFrame:
@@ -271,19 +270,19 @@ def stale_job_stream(events: DataFrame, seconds: int = fixed.STALE_JOB_SECONDS,
     return stateful(events.withWatermark("event_time", watermark), "job_id", JobStates(seconds), time="EventTime")
 
 
-def readiness_stream(samples: DataFrame, timeout_ms: float = fixed.READINESS_TIMEOUT_MS) -> DataFrame:
-    return stateful(samples, "capture_id", Readiness(timeout_ms))
-
+def readiness_stream(samples: DataFrame, timeout_ms: float = fixed.READINESS_TIMEOUT_MS, ttl_ms: int | None = None) -> DataFrame:
+    return stateful(samples, "capture_id", Readiness(timeout_ms, ttl_ms))
 
-def admission_stream(attempts: DataFrame) -> DataFrame:
-    return stateful(attempts, "session_id", Admission())
 
+def admission_stream(attempts: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    return stateful(attempts, "session_id", Admission(ttl_ms))
 
-def session_rollup_stream(captures: DataFrame) -> DataFrame:
-    return stateful(captures, "session_id", SessionRollup(), "Update")
 
+def session_rollup_stream(captures: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    return stateful(captures, "session_id", SessionRollup(ttl_ms), "Update")
 
-def environment_code_column():
-    from pyspark.sql import functions as F
 
-    return F.array_join(F.array_compact(F.array(*[F.when(bad, code) for code, bad in environment_conditions().items()])), ",")
+def environment_code_column() -> Column:
+    """Codes of the environment conditions an attempt breaks, comma-joined."""
+    codes = [F.when(bad, code) for code, bad in environment_conditions().items()]
+    return F.array_join(F.array_compact(F.array(*codes)), ",")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagefacts.session import STATE_STORE, shared_folder
 
@@ -35,7 +36,7 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
         .foreachBatch(write_committed(f"{base}/table")).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema.add("batch_id", "bigint")).option("basePath", f"{base}/table").parquet(f"{base}/table").drop("batch_id")
+    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])).option("basePath", f"{base}/table").parquet(f"{base}/table").drop("batch_id")
 
 
 def latest_per_key(table: DataFrame, key: str, order: str) -> DataFrame:
