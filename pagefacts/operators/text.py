@@ -15,7 +15,8 @@ _TEXTS_PER_BUCKET = 32_768
 
 
 def collapsed(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, _SPACE + "+", " "), "^ | $".replace("$", r"\z"), "")
+    """Runs of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, _SPACE + "+", " "))
 
 
 def redact_corpus(documents: DataFrame, limit: int = 160) -> DataFrame:

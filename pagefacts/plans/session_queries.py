@@ -116,8 +116,12 @@ def latest_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = derive.sessions(spark, sf_dir).withColumn("status", F.when(F.col("user_id") % 8 == 3, F.lit(None)).otherwise(F.col("status")))
-    out = sessions.session_listing(broken, derive.capture_rows(spark, sf_dir)).withColumn("created_at", _stamp("created_at"))
-    return out.crossJoin(F.broadcast(sessions.corrupt_sessions(broken)))  # one row on the right side by construction
+    return sessions.session_listing(broken, derive.capture_rows(spark, sf_dir)).withColumn("created_at", _stamp("created_at"))
+
+
+def corrupt_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = derive.sessions(spark, sf_dir).withColumn("status", F.when(F.col("user_id") % 8 == 3, F.lit(None)).otherwise(F.col("status")))
+    return sessions.corrupt_sessions(broken)
 
 
 def upgrade_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,7 +355,7 @@ def _snapshot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     admin_bar_state, environment_warnings, modal_counts, client_mix, gate_modules, export_policy, deterministic_ids, artifact_digests,
-    semantic_digests, observation_set, adopt_context, redact_context, index_check, observation_order, latest_capture, session_listing,
+    semantic_digests, observation_set, adopt_context, redact_context, index_check, observation_order, latest_capture, session_listing, corrupt_sessions,
     upgrade_legacy, observation_integrity, screenshot_match, reference_match, missing_profiles, capture_profile, admission_audit,
     readiness_verdict, image_readiness, merge_sessions, capture_summaries, semantic_completeness, feed_readiness, feed_offenders,
     resource_usage, export_preflight, runtime_coverage, module_availability, binding_coverage, evidence_coverage, coverage_diagnostics,
@@ -472,8 +476,9 @@ ORACLES = {
     "index_check": _observed("SELECT session_id, uniq AS \"unique\", cont AS contiguous FROM ic", _INDEX),
     "observation_order": _observed("SELECT session_id, snapshot_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY observation_index, captured_at, snapshot_id) - 1 AS INT) AS position FROM ob"),
     "latest_capture": _observed("""SELECT session_id, count(*) AS capture_count, arg_max(snapshot_id, (captured_at, snapshot_id)) AS snapshot_id, strftime(max(captured_at), '%Y-%m-%d %H:%M:%S') AS captured_at, arg_max(status, (captured_at, snapshot_id)) AS status FROM cap GROUP BY session_id"""),
-    "session_listing": _observed("""SELECT session_id, 'Session ' || session_id AS name, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, status, workflow_mode, coalesce(c.n, 0) AS capture_count, c.l AS latest_snapshot_id, (SELECT count(*) FROM ses WHERE user_id % 8 = 3) AS corrupt_count
+    "session_listing": _observed("""SELECT session_id, 'Session ' || session_id AS name, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, status, workflow_mode, coalesce(c.n, 0) AS capture_count, c.l AS latest_snapshot_id
   FROM ses LEFT JOIN (SELECT session_id, count(*) AS n, arg_max(snapshot_id, (captured_at, snapshot_id)) AS l FROM cap GROUP BY ALL) c USING (session_id) WHERE user_id % 8 <> 3"""),
+    "corrupt_sessions": _observed("SELECT count(*) AS corrupt_count FROM ses WHERE user_id % 8 = 3"),
     "upgrade_legacy": """SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 3) THEN sha256(substr(text, 1, 2000)) ELSE 'LEGACY_UNVERIFIED' END AS sha256, CAST(octet_length(encode(substr(text, 1, 2000))) AS INT) AS byte_length,
   CASE WHEN doc_id % 4 IN (0, 3) THEN 'VERIFIED' ELSE 'LEGACY_UNVERIFIED' END AS integrity_status FROM documents""",
     "observation_integrity": _observed("SELECT session_id, snapshot_id, issue FROM oi", _INTEGRITY),
