@@ -49,11 +49,23 @@ def read_source_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nested_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested JSON records; a document is cut into records of at most about a thousand elements."""
     elements, documents, _ = _inputs(spark, sf_dir)
-    listed = elements.groupBy("context_id", "document_id").agg(F.collect_list(F.struct(*elements.columns[2:], "document_id")).alias("elements"))
-    joined_docs = documents.join(listed, ["context_id", "document_id"], "left").withColumn(
+    part = F.floor(F.col("document_order") / 1000)
+    listed = elements.groupBy("context_id", "document_id", part.alias("part")).agg(
+        F.collect_list(F.struct(*elements.columns[2:], "document_id")).alias("elements"))
+    whole = documents.join(listed, ["context_id", "document_id"], "left").withColumn(
         "elements", F.coalesce("elements", F.array().cast(listed.schema["elements"].dataType)))
-    return joined_docs.groupBy("context_id").agg(F.collect_list(F.struct("document_id", "document_type", "document_fingerprint", "elements")).alias("documents"))
+    return whole.select("context_id", F.array(F.struct("document_id", "document_type", "document_fingerprint", "elements")).alias("documents"))
+
+
+def default_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other context keeps only its page document."""
+    from pagefacts.operators import conformance
+
+    documents = derive.source_documents(spark, sf_dir)
+    number = F.regexp_extract("context_id", "([0-9]+)", 1).cast("int")
+    return conformance.default_selection(documents.filter((number % 2 == 1) | (F.col("document_type") == "page")))
 
 
 def source_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +221,7 @@ QUERIES = {
     "cardinality_summary": cardinality_summary, "unbound_nodes": unbound_nodes, "documents_present": documents_present,
     "document_scope": document_scope, "aggregate_binding_state": aggregate_binding_state, "session_binding_state": session_binding_state,
     "relationship_issues": relationship_issues, "exact_binding_issues": exact_binding_issues, "structure_summary": structure_summary,
-    "structure_digest": structure_digest, "context_integrity": context_integrity, "context_bounds": context_bounds,
+    "structure_digest": structure_digest, "context_integrity": context_integrity, "context_bounds": context_bounds, "default_selection": default_selection,
 }
 
 # --- oracle SQL ----------------------------------------------------------------------------------
@@ -317,6 +329,7 @@ ORACLES = {
     "bind_fallback": _with(CATALOGUE, f"SELECT {_COLUMNS} FROM bd WHERE NOT is_up AND NOT is_direct"),
     "read_source_context": _with(CATALOGUE, """SELECT context_id, count(DISTINCT document_id) AS n_documents, (SELECT count(*) FROM se WHERE se.context_id = sd.context_id) AS n_elements,
   false AS too_many_documents, (SELECT count(*) FROM se WHERE se.context_id = sd.context_id) > 50000 AS too_many_elements FROM sd GROUP BY context_id"""),
+    "default_selection": _with(CATALOGUE, "SELECT context_id, CASE WHEN page_id % 2 = 0 THEN min(document_id) END AS selected_document_id FROM sd WHERE page_id % 2 = 1 OR document_type = 'page' GROUP BY context_id, page_id"),
     "source_sections": _with(CATALOGUE, "SELECT context_id, source_element_key, section_key, section_element_id, section_kind FROM ss"),
     "page_marker_state": _with(CATALOGUE, "SELECT page_id, marker_state FROM pm"),
     "region_bindings": _with(f"{ELEMENTS},{_EL_REGIONS}", """SELECT page_id, node_ix, region_kind, binding_state AS source_binding_state, source_document_id, source_section_key,

@@ -68,8 +68,8 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         sized_orders, ["custkey"], ["orderkey"], F.floor(F.col("orderkey") / _ORDERS_PER_BUCKET), F.col("size"), "_b")
     placed_orders = placed_orders.join(placed_customers.drop("n_children"), "custkey").withColumn(
         "order_ix", F.col("cust_ix") + 1 + F.col("_b")).drop("_b", "size")
-    placed_lines = ordinal(
-        lines, ["orderkey"], ["linenumber", "partkey", "suppkey", "price", "quantity"], F.col("linenumber"), "_b")
+    line_bucket = F.col("linenumber") * 1_000_000 + F.floor(F.col("partkey") / 1_000_000)
+    placed_lines = ordinal(lines, ["orderkey"], ["linenumber", "partkey", "suppkey", "price", "quantity"], line_bucket, "_b")
     placed_lines = placed_lines.join(placed_orders.drop("n_children"), "orderkey").withColumn(
         "line_ix", F.col("order_ix") + 1 + F.col("_b"))
 

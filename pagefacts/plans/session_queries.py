@@ -133,6 +133,19 @@ def upgrade_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.upgrade_legacy(rows, "chunks").select("doc_id", "sha256", "byte_length", "integrity_status")
 
 
+def upgrade_legacy_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derive.sessions(spark, sf_dir).withColumn("schema_version", F.when(F.col("user_id") % 3 == 0, "1.0.0").otherwise("1.1.0"))
+    return sessions.upgrade_legacy(rows, "sessions").select("session_id", "schema_version", "workflow_mode")
+
+
+def upgrade_legacy_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derive.jobs(spark, sf_dir).select(
+        "job_id", F.when(F.col("doc_id") % 3 == 0, fixed.STRICT_MODE).alias("workflow_mode"), F.when(F.col("doc_id") % 2 == 0, F.col("updated_at")).alias("captured_at"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"))
+    out = sessions.upgrade_legacy(rows, "jobs")
+    return out.select("job_id", "workflow_mode", _stamp("captured_at").alias("captured_at"))
+
+
 _STORED_HASH = "CASE WHEN doc_id % 4 = 1 THEN NULL WHEN doc_id % 4 = 2 THEN 'ABC' ELSE 'true' END"
 
 
@@ -356,7 +369,7 @@ def _snapshot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     admin_bar_state, environment_warnings, modal_counts, client_mix, gate_modules, export_policy, deterministic_ids, artifact_digests,
     semantic_digests, observation_set, adopt_context, redact_context, index_check, observation_order, latest_capture, session_listing, corrupt_sessions,
-    upgrade_legacy, observation_integrity, screenshot_match, reference_match, missing_profiles, capture_profile, admission_audit,
+    upgrade_legacy, upgrade_legacy_sessions, upgrade_legacy_jobs, observation_integrity, screenshot_match, reference_match, missing_profiles, capture_profile, admission_audit,
     readiness_verdict, image_readiness, merge_sessions, capture_summaries, semantic_completeness, feed_readiness, feed_offenders,
     resource_usage, export_preflight, runtime_coverage, module_availability, binding_coverage, evidence_coverage, coverage_diagnostics,
     diagnostic_set, merge_diagnostics, page_diagnostics, budget_totals, evidence_binding_state, snapshot_issues, element_issues,
@@ -481,6 +494,9 @@ ORACLES = {
     "corrupt_sessions": _observed("SELECT count(*) AS corrupt_count FROM ses WHERE user_id % 8 = 3"),
     "upgrade_legacy": """SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 3) THEN sha256(substr(text, 1, 2000)) ELSE 'LEGACY_UNVERIFIED' END AS sha256, CAST(octet_length(encode(substr(text, 1, 2000))) AS INT) AS byte_length,
   CASE WHEN doc_id % 4 IN (0, 3) THEN 'VERIFIED' ELSE 'LEGACY_UNVERIFIED' END AS integrity_status FROM documents""",
+    "upgrade_legacy_sessions": _observed("SELECT session_id, '1.1.0' AS schema_version, workflow_mode FROM ses"),
+    "upgrade_legacy_jobs": """SELECT 'job-' || doc_id AS job_id, CASE WHEN doc_id % 3 = 0 THEN 'MINIMUM_PYTHON_FEED' ELSE 'RUNTIME_EVIDENCE' END AS workflow_mode,
+  strftime(TIMESTAMP '2024-01-01 00:00:00' + CASE WHEN doc_id % 2 = 0 THEN to_seconds(doc_id) ELSE to_seconds(0) END, '%Y-%m-%d %H:%M:%S') AS captured_at FROM documents""",
     "observation_integrity": _observed("SELECT session_id, snapshot_id, issue FROM oi", _INTEGRITY),
     "screenshot_match": _observed("""SELECT session_id, snapshot_id, coalesce(screenshot_requested, false) AS requested, n IS NOT NULL AS available, CASE WHEN screenshot_requested IS NULL THEN 'FOREIGN_SCREENSHOT' WHEN n > 1 THEN 'DUPLICATE_SCREENSHOT' END AS issue
   FROM ob FULL OUTER JOIN (SELECT session_id, snapshot_id, count(*) AS n FROM shot GROUP BY ALL) s USING (session_id, snapshot_id)"""),

@@ -19,7 +19,10 @@ CONTEXT_SCHEMA = (
 
 
 def read_source_context(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, elements, corrupt) of JSON-lines contexts; the schema is fixed, never inferred."""
+    """(documents, elements, corrupt) of JSON-lines contexts; the schema is fixed, never inferred.
+
+    A context, or one of its documents, may be spread over several records.
+    """
     rows = spark.read.schema(CONTEXT_SCHEMA).option("mode", "PERMISSIVE").json(path)
     documents = rows.filter("context_id IS NOT NULL").select("context_id", F.explode("documents").alias("d"))
     elements = documents.select("context_id", F.col("d.document_id").alias("parent_document_id"), F.explode("d.elements").alias("e"))
@@ -33,7 +36,7 @@ def read_source_context(spark: SparkSession, path: str) -> tuple[DataFrame, Data
 
 def context_bounds_summary(documents: DataFrame, elements: DataFrame) -> DataFrame:
     """Documents and elements per context against the published limits."""
-    counted = documents.groupBy("context_id").agg(F.count("*").alias("n_documents"))
+    counted = documents.groupBy("context_id").agg(F.countDistinct("document_id").alias("n_documents"))
     sized = elements.groupBy("context_id").agg(F.count("*").alias("n_elements"))
     out = counted.join(sized, "context_id", "left").withColumn("n_elements", F.coalesce("n_elements", F.lit(0)))
     return out.withColumns({

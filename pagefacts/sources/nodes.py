@@ -12,7 +12,8 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import udtf
 
 DOM_PROFILE = "TOKEN_TREE_1"
 NODE_SCHEMA = (
@@ -134,3 +135,17 @@ def extract_nodes(pages: DataFrame) -> DataFrame:
 def extract_text_nodes(pages: DataFrame) -> DataFrame:
     """Text nodes in document order with the path of their parents."""
     return pages.select("page_id", "html").mapInPandas(_batched(_text_rows, _names(TEXT_SCHEMA)), TEXT_SCHEMA)
+
+
+@udtf(returnType="node_ix int, parent_ix int, depth int, tag string, attrs map<string,string>, class_tokens array<string>, "
+                 "ancestors array<int>, child_count int")
+class PageNodes:
+    """The same extraction for SQL: `SELECT … FROM pages, LATERAL page_nodes(html)`."""
+
+    def eval(self, html: str):
+        for row in _node_rows(0, html):
+            yield row[1:-1]
+
+
+def register_page_nodes(spark: SparkSession) -> None:
+    spark.udtf.register("page_nodes", PageNodes)

@@ -93,6 +93,15 @@ def test_tree_profile(spark):
     assert texts[:4] == ["one", "two ", "x", "first"]
 
 
+def test_nodes_in_sql(spark):
+    from pagefacts.sources.nodes import register_page_nodes
+
+    register_page_nodes(spark)
+    spark.createDataFrame([(1, HTML)], "page_id long, html string").createOrReplaceTempView("some_pages")
+    rows = spark.sql("SELECT page_id, n.node_ix, n.tag FROM some_pages, LATERAL page_nodes(html) n ORDER BY node_ix").collect()
+    assert [r.tag for r in rows][:4] == ["html", "body", "ul", "li"] and len(rows) == 13
+
+
 def test_text_shape_graphemes(spark):
     pages = spark.createDataFrame([(1, "<p>é \U0001F468‍\U0001F469‍\U0001F467 x</p>")], "page_id long, html string")
     row = text.text_shape(extract_text_nodes(pages), extract_nodes(pages)).first()
