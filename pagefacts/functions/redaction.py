@@ -103,6 +103,11 @@ def safe_context(context: Column) -> Column:
         stripped = F.regexp_replace(stripped, r"\?.+\z", "?redacted")
         stripped = F.regexp_replace(stripped, r"\?\z", "")
         stripped = F.regexp_replace(stripped, r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#]*@", "$1")
+        # As an address is written back: lower-case scheme and host, and a path of at least "/".
+        head = F.regexp_extract(stripped, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+        rest = F.substr(stripped, F.length(head) + 1)
+        slash = F.when(F.startswith(rest, F.lit("/")), "").otherwise("/")
+        stripped = F.concat(F.lower(head), slash, rest)
         is_locator = key.rlike("(?i)url") & value.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+")
         return F.when(is_locator, stripped).otherwise(F.substring(value, 1, 500))
 

@@ -17,9 +17,9 @@ def node_bucket(column: str = "node_ix") -> Column:
 
 
 def running_total(
-    frame: DataFrame, keys: list[str], order: list[str | Column], bucket: Column, value: Column, name: str
+    frame: DataFrame, keys: list[str], order: list[str | Column], bucket: Column, value: Column, name: str, total: str | None = None
 ) -> DataFrame:
-    """Add `name`: the sum of `value` over the earlier rows of the group.
+    """Add `name`: the sum of `value` over the earlier rows of the group; and `total`, the sum over all of them.
 
     `keys` must not be null and `bucket` must never fall while `order` rises.
     """
@@ -27,7 +27,8 @@ def running_total(
     staged = frame.withColumns({"_bucket": bucket, "_value": value})
     totals = staged.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(*before)
-    offsets = totals.select(*keys, "_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+    whole = [] if total is None else [F.sum("_total").over(Window.partitionBy(*keys)).alias(total)]
+    offsets = totals.select(*keys, "_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"), *whole)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(*before)
     return (
         staged.join(offsets, [*keys, "_bucket"])

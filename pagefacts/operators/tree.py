@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagefacts import fixed
@@ -10,16 +10,22 @@ from pagefacts.functions import geometry, markers
 from pagefacts.functions.digests import node_id
 from pagefacts.functions.redaction import stable_id
 from pagefacts.operators.ancestors import parent_paths
-from pagefacts.operators.ranking import node_bucket, ordinal
+from pagefacts.operators.ranking import node_bucket, ordinal, running_total
+
+
+def _keyed_by_parent(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("_parent", F.coalesce("parent_ix", F.lit(-1)))
+
+
+def nth_of_type(nodes: DataFrame) -> DataFrame:
+    out = ordinal(_keyed_by_parent(nodes), ["page_id", "_parent", "tag"], ["node_ix"], node_bucket(), "_nth")
+    return out.withColumn("nth_of_type", F.col("_nth") + 1).drop("_parent", "_nth")
 
 
 def ordinals(nodes: DataFrame) -> DataFrame:
     """Sibling index, nth-of-type and sibling count."""
-    keyed = nodes.withColumn("_parent", F.coalesce("parent_ix", F.lit(-1)))
-    out = ordinal(keyed, ["page_id", "_parent"], ["node_ix"], node_bucket(), "sibling_index")
-    out = ordinal(out, ["page_id", "_parent", "tag"], ["node_ix"], node_bucket(), "_nth")
-    counts = keyed.groupBy("page_id", "_parent").agg(F.count("*").cast("int").alias("sibling_count"))
-    return out.join(counts, ["page_id", "_parent"]).withColumn("nth_of_type", F.col("_nth") + 1).drop("_parent", "_nth")
+    out = running_total(_keyed_by_parent(nodes), ["page_id", "_parent"], ["node_ix"], node_bucket(), F.lit(1), "sibling_index", "sibling_count")
+    return nth_of_type(out.withColumns({c: F.col(c).cast("int") for c in ("sibling_index", "sibling_count")}).drop("_parent"))
 
 
 def emission_ids(nodes: DataFrame) -> DataFrame:
@@ -42,25 +48,30 @@ def marker_index(nodes: DataFrame) -> DataFrame:
 
 
 def _anchors(nodes: DataFrame) -> DataFrame:
-    """Nodes with the id or test id that is unique in their page."""
-    unique = marker_index(nodes).filter("complete AND n = 1 AND attr IN ('id', 'data-testid')")
-    by_id = unique.filter("attr = 'id'").select("page_id", F.col("value").alias("_id"), F.lit(True).alias("_id_ok"))
-    by_test = unique.filter("attr = 'data-testid'").select("page_id", F.col("value").alias("_test"), F.lit(True).alias("_test_ok"))
-    keyed = nodes.withColumns({"_id": stable_id(markers.attr("id")), "_test": stable_id(markers.attr("data-testid"))})
-    # Rows without a value get a key of their own: a shared null would gather in one task.
-    lone = F.concat(F.lit("\u0000"), F.col("node_ix").cast("string"))
-    keyed = keyed.withColumns({"_id": F.coalesce("_id", lone), "_test": F.coalesce("_test", lone)})
-    out = keyed.join(by_id, ["page_id", "_id"], "left").join(by_test, ["page_id", "_test"], "left")
+    """Nodes with the id or test id that is unique in their page.
+
+    A value that occurs once names its node, so unique values are grouped back to nodes and joined on the
+    node key; nothing is joined on attribute values.
+    """
+    entries = F.array(*[F.struct(F.lit(n).alias("attr"), stable_id(markers.attr(n)).alias("value")) for n in ("id", "data-testid")])
+    unique = (
+        nodes.filter(F.col("node_ix") < fixed.IDENTITY_INDEX_LIMIT)
+        .select("page_id", "node_ix", F.explode(F.filter(entries, lambda e: e["value"].isNotNull())).alias("e"))
+        .groupBy("page_id", "e.attr", "e.value").agg(F.count("*").alias("_n"), F.min("node_ix").alias("node_ix")).filter("_n = 1")
+    )
+    complete = nodes.groupBy("page_id").agg(F.count("*").alias("_n")).filter(F.col("_n") <= fixed.IDENTITY_INDEX_LIMIT)
+    named = unique.join(complete, "page_id", "left_semi").groupBy("page_id", "node_ix").agg(
+        F.max(F.when(F.col("attr") == "id", F.col("value"))).alias("_id"), F.max(F.when(F.col("attr") == "data-testid", F.col("value"))).alias("_test"))
     tag = F.col("tag")
-    anchor = F.when(F.col("_id_ok"), F.concat(tag, F.lit("#"), markers.css_identifier(F.col("_id")))).when(
-        F.col("_test_ok"), F.concat(tag, F.lit('[data-testid="'), markers.css_attribute(F.col("_test")), F.lit('"]')))
-    source = F.when(F.col("_id_ok"), "HTML_ID").when(F.col("_test_ok"), "DATA_TEST_ID")
-    return out.withColumns({"anchor": anchor, "anchor_source": source}).drop("_id", "_test", "_id_ok", "_test_ok")
+    anchor = F.when(F.col("_id").isNotNull(), F.concat(tag, F.lit("#"), markers.css_identifier(F.col("_id")))).when(
+        F.col("_test").isNotNull(), F.concat(tag, F.lit('[data-testid="'), markers.css_attribute(F.col("_test")), F.lit('"]')))
+    source = F.when(F.col("_id").isNotNull(), "HTML_ID").when(F.col("_test").isNotNull(), "DATA_TEST_ID")
+    return nodes.join(named, ["page_id", "node_ix"], "left").withColumns({"anchor": anchor, "anchor_source": source}).drop("_id", "_test")
 
 
 def structural_refs(nodes: DataFrame) -> DataFrame:
     """`tag:nth-of-type(n)` steps from the nearest unique anchor down to the node."""
-    steps = ordinals(_anchors(nodes)).withColumn(
+    steps = nth_of_type(_anchors(nodes)).withColumn(
         "_step", F.coalesce("anchor", F.concat("tag", F.lit(":nth-of-type("), F.col("nth_of_type").cast("string"), F.lit(")"))))
     facts = steps.select("page_id", F.col("node_ix").alias("anc_ix"), F.col("_step").alias("step"),
                          F.col("anchor").isNotNull().alias("anchored"))
@@ -85,10 +96,11 @@ def identities(nodes: DataFrame) -> DataFrame:
         .when(F.col("anchor_source") == "DATA_TEST_ID", "STABLE_DATA_TEST_ID")
         .when(F.col("parent_ix").isNull(), "DOCUMENT_ROOT").otherwise("STRUCTURAL_PATH"),
     })
-    counts = out.groupBy("page_id", "reference").agg(F.count("*").alias("occurrences"))
+    # A reference names one node of a sound tree, so these groups are single rows and a window over them is even.
+    out = out.withColumn("occurrences", F.count("*").over(Window.partitionBy("page_id", "reference")))
     unique = F.col("occurrences") == 1
     strong = F.when(F.col("anchor_source").isNotNull(), "STRONG").otherwise("PROBABLE")
-    return out.join(counts, ["page_id", "reference"]).withColumns({
+    return out.withColumns({
         "identity_status": F.when(unique, "UNIQUE").otherwise("AMBIGUOUS"),
         "identity_confidence": F.when(unique, strong).otherwise("WEAK"),
         "unique_in_document": unique,
