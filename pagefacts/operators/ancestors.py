@@ -23,17 +23,19 @@ def parent_paths(nodes: DataFrame, limit: int | None) -> DataFrame:
     ).select("page_id", "owner_ix", "anc_ix", (F.col("_pos") + 1).alias("dist"))
 
 
-def nearest(nodes: DataFrame, facts: DataFrame, predicates: dict[str, int]) -> DataFrame:
+def nearest(nodes: DataFrame, facts: DataFrame, predicates: dict[str, int], payload: str | None = None) -> DataFrame:
     """Add `nearest_<name>` and `nearest_<name>_dist` for boolean columns of `facts` within their limits.
 
-    `facts` has page_id, node_ix and one boolean column per name.
+    `facts` has page_id, node_ix and one boolean column per name.  A `payload` column of `facts` comes along as
+    `nearest_<name>_<payload>`, which saves a join on the ancestor found.
     """
     names = list(predicates)
     any_true = F.greatest(*[F.col(n) for n in names], F.lit(False))
-    holders = facts.filter(any_true).select("page_id", F.col("node_ix").alias("anc_ix"), *names)
+    carried = [] if payload is None else [payload]
+    holders = facts.filter(any_true).select("page_id", F.col("node_ix").alias("anc_ix"), *names, *carried)
     paths = parent_paths(nodes, max(predicates.values()))
     best = [
-        F.min(F.when(F.col(n) & (F.col("dist") <= limit), F.struct("dist", "anc_ix"))).alias(f"_best_{n}")
+        F.min(F.when(F.col(n) & (F.col("dist") <= limit), F.struct("dist", "anc_ix", *carried))).alias(f"_best_{n}")
         for n, limit in predicates.items()
     ]
     found = paths.join(holders, ["page_id", "anc_ix"]).groupBy("page_id", "owner_ix").agg(*best)
@@ -41,6 +43,7 @@ def nearest(nodes: DataFrame, facts: DataFrame, predicates: dict[str, int]) -> D
     return out.withColumns({
         **{f"nearest_{n}": F.col(f"_best_{n}.anc_ix") for n in names},
         **{f"nearest_{n}_dist": F.col(f"_best_{n}.dist") for n in names},
+        **{f"nearest_{n}_{c}": F.col(f"_best_{n}.{c}") for n in names for c in carried},
     }).drop(*[f"_best_{n}" for n in names])
 
 

@@ -167,12 +167,12 @@ def bind_elements(nodes: DataFrame, source_elements: DataFrame, source_documents
         marked.filter("_class_marker").join(context.select("page_id", "context_id"), "page_id").join(known, ["context_id", "_data_id"])
         .select("page_id", "node_ix", F.struct("n_candidates", "source_count", "record").alias("_found"), F.col("_data_id").alias("_hit_id"))
     )
-    linked = nearest(nodes, hits.select("page_id", "node_ix", F.lit(True).alias("bearing")), {"bearing": fixed.ANCESTOR_SEARCH_LIMIT})
-    above = hits.select("page_id", F.col("node_ix").alias("nearest_bearing"), F.col("_found").alias("_above"), F.col("_hit_id").alias("_above_id"))
+    bearing = hits.select("page_id", "node_ix", F.lit(True).alias("bearing"), F.struct("_hit_id", "_found").alias("hit"))
+    linked = nearest(nodes, bearing, {"bearing": fixed.ANCESTOR_SEARCH_LIMIT}, "hit")
+    own = marked.select("page_id", "node_ix", "_data_id", "_runtime_count")
     out = (
-        linked.join(marked.select("page_id", "node_ix", "_data_id", "_runtime_count"), ["page_id", "node_ix"], "left")
-        .join(hits.select("page_id", "node_ix", "_found"), ["page_id", "node_ix"], "left")
-        .join(above, ["page_id", "nearest_bearing"], "left")
+        linked.withColumns({"_above": F.col("nearest_bearing_hit._found"), "_above_id": F.col("nearest_bearing_hit._hit_id")})
+        .join(own, ["page_id", "node_ix"], "left").join(hits.select("page_id", "node_ix", "_found"), ["page_id", "node_ix"], "left")
         .join(pages, "page_id", "left")
         .withColumns({"_runtime_count": F.coalesce("_runtime_count", F.lit(0)), "_class_marker": markers.class_marker()})
     )
@@ -181,7 +181,7 @@ def bind_elements(nodes: DataFrame, source_elements: DataFrame, source_documents
     inherited = inherited.withField("runtime_ancestor_id", F.col("_above_id"))
     binding = F.when(F.col("_found").isNotNull(), direct).when(F.col("_above").isNotNull(), inherited).otherwise(_fallback())
     dropped = [c for c in out.columns if c.startswith("_")] + [
-        "nearest_bearing", "nearest_bearing_dist", "context_id", "selected_document_id", "confirmation_state", "marker_state", "has_documents"]
+        "nearest_bearing", "nearest_bearing_dist", "nearest_bearing_hit", "context_id", "selected_document_id", "confirmation_state", "marker_state", "has_documents"]
     return out.withColumn("binding", binding).drop(*dropped)
 
 

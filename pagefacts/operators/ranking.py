@@ -16,25 +16,31 @@ def node_bucket(column: str = "node_ix") -> Column:
     return F.floor(F.col(column) / NODES_PER_BUCKET)
 
 
-def running_total(
-    frame: DataFrame, keys: list[str], order: list[str | Column], bucket: Column, value: Column, name: str, total: str | None = None
+def running_totals(
+    frame: DataFrame, keys: list[str], order: list[str | Column], bucket: Column, values: dict[str, Column], totals_of: dict[str, str] | None = None
 ) -> DataFrame:
-    """Add `name`: the sum of `value` over the earlier rows of the group; and `total`, the sum over all of them.
+    """Add each name of `values`: the sum of its value over the earlier rows of the group.
 
-    `keys` must not be null and `bucket` must never fall while `order` rises.
+    `totals_of` names columns that get the sum over the whole group.  `keys` must not be null and `bucket` must
+    never fall while `order` rises.
     """
     before = (Window.unboundedPreceding, -1)
-    staged = frame.withColumns({"_bucket": bucket, "_value": value})
-    totals = staged.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_total"))
+    staged = frame.withColumns({"_bucket": bucket, **{f"_value_{n}": v for n, v in values.items()}})
+    totals = staged.groupBy(*keys, "_bucket").agg(*[F.sum(f"_value_{n}").alias(f"_total_{n}") for n in values])
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(*before)
-    whole = [] if total is None else [F.sum("_total").over(Window.partitionBy(*keys)).alias(total)]
-    offsets = totals.select(*keys, "_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"), *whole)
+    offsets = totals.select(
+        *keys, "_bucket", *[F.coalesce(F.sum(f"_total_{n}").over(earlier), F.lit(0)).alias(f"_offset_{n}") for n in values],
+        *[F.sum(f"_total_{n}").over(Window.partitionBy(*keys)).alias(whole) for n, whole in (totals_of or {}).items()])
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(*before)
-    return (
-        staged.join(offsets, [*keys, "_bucket"])
-        .withColumn(name, F.col("_offset") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-        .drop("_bucket", "_value", "_offset")
-    )
+    out = staged.join(offsets, [*keys, "_bucket"]).withColumns(
+        {n: F.col(f"_offset_{n}") + F.coalesce(F.sum(f"_value_{n}").over(inside), F.lit(0)) for n in values})
+    return out.drop("_bucket", *[f"_value_{n}" for n in values], *[f"_offset_{n}" for n in values])
+
+
+def running_total(frame: DataFrame, keys: list[str], order: list[str | Column], bucket: Column, value: Column, name: str,
+                  total: str | None = None) -> DataFrame:
+    """Add `name`: the sum of `value` over the earlier rows of the group; and `total`, the sum over all of them."""
+    return running_totals(frame, keys, order, bucket, {name: value}, None if total is None else {name: total})
 
 
 def ordinal(frame: DataFrame, keys: list[str], order: list[str | Column], bucket: Column, name: str) -> DataFrame:

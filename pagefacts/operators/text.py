@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagefacts import fixed
 from pagefacts.functions import markers
 from pagefacts.functions.redaction import redaction_stages
-from pagefacts.operators.ranking import ordinal, running_total
+from pagefacts.operators.ranking import ordinal, running_totals
 
 _SPACE = r"[\s\x0B\p{Z}\x{FEFF}]"
 _TEXTS_PER_BUCKET = 32_768
@@ -42,10 +42,8 @@ def bound_text(text_nodes: DataFrame, max_nodes: int = fixed.TEXT_SCAN_NODE_LIMI
 
     All three budgets only grow along the document, so the scan stops at the first row beyond any of them.
     """
-    keys, order = ["page_id"], ["text_ix"]
-    out = ordinal(text_nodes, keys, order, _bucket(), "_rank")
-    out = running_total(out, keys, order, _bucket(), F.length("data").cast("bigint"), "_chars")
-    out = running_total(out, keys, order, _bucket(), (2 * F.size("ancestors")).cast("bigint"), "_steps")
+    out = running_totals(text_nodes, ["page_id"], ["text_ix"], _bucket(), {
+        "_rank": F.lit(1), "_chars": F.length("data").cast("bigint"), "_steps": (2 * F.size("ancestors")).cast("bigint")})
     inside = (
         (F.col("_rank") + 1 <= max_nodes) & (F.col("_chars") + F.length("data") <= max_chars)
         & (F.col("_steps") + 2 * F.size("ancestors") <= max_steps)

@@ -10,7 +10,7 @@ from pagefacts.functions import geometry, markers
 from pagefacts.functions.digests import node_id
 from pagefacts.functions.redaction import stable_id
 from pagefacts.operators.ancestors import parent_paths
-from pagefacts.operators.ranking import node_bucket, ordinal, running_total
+from pagefacts.operators.ranking import node_bucket, ordinal, running_total, running_totals
 
 
 def _keyed_by_parent(nodes: DataFrame) -> DataFrame:
@@ -132,16 +132,17 @@ def select_nodes(measured: DataFrame, max_elements: int = 750, max_depth: int =
     the flags keep what was left out countable.
     """
     reach = reachable(measured, max_depth, include_hidden)
-    ranked = ordinal(reach, ["page_id"], ["node_ix"], node_bucket(), "scan_rank")
-    ranked = ranked.withColumn("scanned", F.col("scan_rank") < scan_budget(max_elements))
     # Hidden ancestors prune their subtree unless hidden nodes are wanted, so only the node itself matters here.
-    wanted = F.lit(True) if include_hidden else ~geometry.hides_element()
-    ranked = ranked.withColumn("visited", F.col("scanned") & ~F.col("skip_tag")).withColumn(
-        "_candidate", F.col("visited") & wanted)
-    # Only rows inside the scan budget can be candidates: at most 20,000 per page are ranked again.
-    inside = ordinal(ranked.filter("_candidate").select("page_id", "node_ix"), ["page_id"], ["node_ix"], node_bucket(), "_pick")
-    out = ranked.join(inside, ["page_id", "node_ix"], "left")
-    return out.withColumn("selected", F.coalesce(F.col("_pick") < max_elements, F.lit(False))).drop("_candidate", "_pick")
+    wanted = ~F.col("skip_tag") & (F.lit(True) if include_hidden else ~geometry.hides_element())
+    # Scanned nodes are a prefix of the order, so counting wanted nodes over all reachable ones numbers the
+    # wanted scanned ones too: both counts come from one pass.
+    ranked = running_totals(reach.withColumn("_wanted", wanted), ["page_id"], ["node_ix"], node_bucket(),
+                            {"scan_rank": F.lit(1), "_pick": F.col("_wanted").cast("int")})
+    out = ranked.withColumn("scan_rank", F.col("scan_rank").cast("int")).withColumn("scanned", F.col("scan_rank") < scan_budget(max_elements))
+    return out.withColumns({
+        "visited": F.col("scanned") & ~F.col("skip_tag"),
+        "selected": F.col("scanned") & F.col("_wanted") & (F.col("_pick") < max_elements),
+    }).drop("_wanted", "_pick")
 
 
 def selection_summary(selected: DataFrame, max_elements: int = 750, max_depth: int = 24) -> DataFrame:
