@@ -99,12 +99,13 @@ je AS (SELECT *, CASE k % 40 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'CANCELLED' WHEN 2
 ja AS (SELECT *, coalesce(bool_or(term) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM je)"""
 
 ORACLES = {
-    "ingest_chunks": f"""WITH {_CHUNKS}, base AS (SELECT ch.*, jb.active, octet_length(encode(data)) AS nb, octet_length(encode(data)) = bl AND sha = sha256(data) AS good FROM ch JOIN jb USING (job_id)),
-run AS (SELECT *, coalesce(sum(CASE WHEN copy = 0 AND good THEN nb END) OVER (PARTITION BY job_id ORDER BY chunk_index, copy), 0) AS used, bool_or(copy = 0 AND good) OVER (PARTITION BY job_id, chunk_index ORDER BY copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS had FROM base),
-v AS (SELECT *, CASE WHEN NOT active THEN 'JOB_NOT_ACTIVE' WHEN NOT good THEN 'CHUNK_INTEGRITY' END AS early FROM run),
-fin AS (SELECT *, max(CASE WHEN copy = 0 AND good AND active AND used > 20000 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id) AS tight FROM v)
-SELECT job_id, chunk_index, copy, CASE WHEN early IS NOT NULL THEN 'REJECTED' WHEN coalesce(had, false) THEN CASE WHEN copy = 2 THEN 'REJECTED' ELSE 'DUPLICATE' END ELSE 'ACCEPTED' END AS outcome,
-  CASE WHEN early IS NOT NULL THEN early WHEN coalesce(had, false) AND copy = 2 THEN 'CONFLICTING_DUPLICATE' ELSE '-' END AS reason FROM fin""",
+    # The byte cap is sequential: a chunk that does not fit is left out and later, smaller ones may still fit.
+    "ingest_chunks": f"""WITH RECURSIVE {_CHUNKS}, base AS (SELECT ch.*, jb.active, octet_length(encode(data)) AS nb, octet_length(encode(data)) = bl AND sha = sha256(data) AS good FROM ch JOIN jb USING (job_id)),
+c0 AS MATERIALIZED (SELECT job_id, chunk_index, nb, row_number() OVER (PARTITION BY job_id ORDER BY chunk_index) AS rn FROM base WHERE copy = 0 AND good AND active),
+rec AS (SELECT job_id, chunk_index, rn, nb <= 20000 AS fits, CASE WHEN nb <= 20000 THEN nb ELSE 0 END AS used FROM c0 WHERE rn = 1
+  UNION ALL SELECT c.job_id, c.chunk_index, c.rn, r.used + c.nb <= 20000, r.used + CASE WHEN r.used + c.nb <= 20000 THEN c.nb ELSE 0 END FROM rec r JOIN c0 c ON c.job_id = r.job_id AND c.rn = r.rn + 1),
+v AS (SELECT base.*, CASE WHEN NOT active THEN 'JOB_NOT_ACTIVE' WHEN NOT good THEN 'CHUNK_INTEGRITY' WHEN NOT fits THEN 'SNAPSHOT_SIZE_LIMIT' WHEN copy = 2 THEN 'CONFLICTING_DUPLICATE' END AS r FROM base LEFT JOIN rec USING (job_id, chunk_index))
+SELECT job_id, chunk_index, copy, CASE WHEN r IS NOT NULL THEN 'REJECTED' WHEN copy = 1 THEN 'DUPLICATE' ELSE 'ACCEPTED' END AS outcome, coalesce(r, '-') AS reason FROM v""",
     "read_chunk_stream": f"WITH {_CHUNKS} SELECT job_id, count(*) AS n_messages, CAST(sum(bl) AS BIGINT) AS n_bytes FROM ch GROUP BY job_id",
     "assemble_stream": f"""WITH {_CHUNKS}, okc AS (SELECT DISTINCT job_id, chunk_index, data FROM ch WHERE copy < 2 AND sha = sha256(data)),
 a AS (SELECT job_id, count(*) AS n, CAST(sum(octet_length(encode(data))) AS BIGINT) AS b, sha256(string_agg(data, '' ORDER BY chunk_index)) AS h FROM okc GROUP BY ALL)
