@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import simhash
+from llm import simhash, syncmers
+from llm.common import texts
+from llm.ordering import ring, ring_window
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,11 +21,32 @@ def _page_texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("page_id"), F.col("text").alias("data"))
 
 
+def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document beside its edited text, whose second half is the beginning of the next document."""
+    placed = ring(texts(_page_texts(_documents(spark, sf_dir)), "page_id"), "page_id")
+    ordered = ring_window("page_id", "data")
+    half = F.floor(F.length("data") / 2).cast("int")
+    following = F.when(F.col("page_id").isNull(), "").otherwise(F.coalesce(F.lead("data").over(ordered), F.lit("")))
+    edited = placed.withColumn("following", following).select(
+        "page_id", "data", "ring_range", "ring_turn", F.length("data").cast("long").alias("n_chars"),
+        F.concat(F.expr("substring(data, 1, length(data) - int(floor(length(data) / 2)))"),
+                 F.substring("following", F.lit(1), half)).alias("edited"))
+    printed = edited.select(
+        "page_id", "ring_range", "ring_turn", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("data"),
+        syncmers.fingerprint_of("data").alias("fingerprint"), syncmers.fingerprint_of("edited").alias("edited_fingerprint"))
+    next_print = F.when(F.col("page_id").isNull(), "").otherwise(F.coalesce(F.lead("fingerprint").over(ordered), F.lit("")))
+    return printed.withColumn("next_fingerprint", next_print).where("ring_turn = 0").select(
+        F.col("page_id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        syncmers.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        syncmers.likeness("fingerprint", "next_fingerprint").alias("near_next"))
+
+
 def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_page_texts(_documents(spark, sf_dir))).withColumnRenamed("page_id", "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
     "op3_simhash_near_duplicates": op3_simhash_near_duplicates,
 }
 
