@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import simhash, syncmers
-from llm.common import texts
+from llm import quality, simhash, syncmers
+from llm.common import checkpointed, texts
 from llm.ordering import ring, ring_window
 
 
@@ -41,12 +41,30 @@ def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         syncmers.likeness("fingerprint", "next_fingerprint").alias("near_next"))
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
+
+
+def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """`page_id`, `score`, `predicted`; labels of held-out rows are never read."""
+    known = labels.where(~held_out(F.col("doc_id"))).select(
+        F.col("doc_id").alias("page_id"), F.when(F.col("quality") == 1, "PASS").when(F.col("quality") == 0, "FAIL").alias("validation_state"))
+    measured = checkpointed(quality.page_statistics(_page_texts(documents)))
+    return quality.score(measured, quality.fit(measured, known))
+
+
+def op2_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select(F.col("page_id").alias("doc_id"), held_out(F.col("page_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_page_texts(_documents(spark, sf_dir))).withColumnRenamed("page_id", "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
+    "op2_quality_scores": op2_quality_scores,
     "op3_simhash_near_duplicates": op3_simhash_near_duplicates,
 }
 
