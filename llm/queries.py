@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import quality, simhash, syncmers
+from llm import density, quality, simhash, syncmers
 from llm.common import checkpointed, texts
 from llm.ordering import ring, ring_window
 
@@ -16,6 +16,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
 def _page_texts(documents: DataFrame) -> DataFrame:
     """Documents as page texts: the whole text of every row."""
     return documents.select(F.col("doc_id").alias("page_id"), F.col("text").alias("data"))
@@ -62,10 +66,15 @@ def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_page_texts(_documents(spark, sf_dir))).withColumnRenamed("page_id", "doc_id")
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.main_texts(_pages(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
     "op2_quality_scores": op2_quality_scores,
     "op3_simhash_near_duplicates": op3_simhash_near_duplicates,
+    "op8_main_text": op8_main_text,
 }
 
 ORACLES: dict[str, str] = {}
