@@ -31,16 +31,16 @@ def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = ring_window("page_id", "data")
     half = F.floor(F.length("data") / 2).cast("int")
     following = F.when(F.col("page_id").isNull(), "").otherwise(F.coalesce(F.lead("data").over(ordered), F.lit("")))
-    edited = placed.withColumn("following", following).select(
-        "page_id", "data", "ring_range", "ring_turn", F.length("data").cast("long").alias("n_chars"),
+    edited = placed.withColumn("following", following).where("ring_turn = 0").select(
+        "page_id", "data", "following", F.length("data").cast("long").alias("n_chars"),
         F.concat(F.expr("substring(data, 1, length(data) - int(floor(length(data) / 2)))"),
                  F.substring("following", F.lit(1), half)).alias("edited"))
     printed = edited.select(
-        "page_id", "ring_range", "ring_turn", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("data"),
-        syncmers.fingerprint_of("data").alias("fingerprint"), syncmers.fingerprint_of("edited").alias("edited_fingerprint"))
-    next_print = F.when(F.col("page_id").isNull(), "").otherwise(F.coalesce(F.lead("fingerprint").over(ordered), F.lit("")))
-    return printed.withColumn("next_fingerprint", next_print).where("ring_turn = 0").select(
-        F.col("page_id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        F.col("page_id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(
+            syncmers.fingerprint_of(text).alias(name)
+            for text, name in (("data", "fingerprint"), ("edited", "edited_fingerprint"), ("following", "next_fingerprint"))))
+    return printed.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         syncmers.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
         syncmers.likeness("fingerprint", "next_fingerprint").alias("near_next"))
 
