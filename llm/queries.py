@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import density, quality, simhash, syncmers
+from llm import density, packing, quality, simhash, syncmers
 from llm.common import checkpointed, texts
 from llm.ordering import ring, ring_window
 
@@ -66,6 +67,11 @@ def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_page_texts(_documents(spark, sf_dir))).withColumnRenamed("page_id", "doc_id")
 
 
+def op6_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.packed_pieces(_page_texts(_documents(spark, sf_dir)), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.withColumnRenamed("page_id", "doc_id")
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.main_texts(_pages(spark, sf_dir))
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
     "op2_quality_scores": op2_quality_scores,
     "op3_simhash_near_duplicates": op3_simhash_near_duplicates,
+    "op6_packed_sequences": op6_packed_sequences,
     "op8_main_text": op8_main_text,
 }
 
