@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import density, packing, quality, simhash, syncmers
+from llm import density, packing, quality, simhash, syncmers, urls
 from llm.common import checkpointed, texts
 from llm.ordering import ring, ring_window
 
@@ -76,12 +76,22 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.main_texts(_pages(spark, sf_dir))
 
 
+#: Fixed by the contract of the query.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = spark.createDataFrame(urls.labelled_urls(), "url string, verdict string")
+    return urls.judge(_pages(spark, sf_dir), URL_RULES, urls.train(labelled))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
     "op2_quality_scores": op2_quality_scores,
     "op3_simhash_near_duplicates": op3_simhash_near_duplicates,
     "op6_packed_sequences": op6_packed_sequences,
     "op8_main_text": op8_main_text,
+    "op10_url_verdicts": op10_url_verdicts,
 }
 
 ORACLES: dict[str, str] = {}
