@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLANK = r"[\x20\x09-\x0D]+"
+BATCH_BYTES = "4m"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -37,9 +38,15 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     return rows.checkpoint(eager=True)
 
 
+def bounded_batches(rows: DataFrame) -> DataFrame:
+    """Whole texts are long rows: what goes to Python at once is bounded in bytes."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return rows
+
+
 def texts(rows: DataFrame, *keep: str, data: str = "data") -> DataFrame:
     """Only the named columns and the text, a null text as the empty one."""
-    return rows.select(*keep, F.coalesce(F.col(data), F.lit("")).alias(data))
+    return bounded_batches(rows).select(*keep, F.coalesce(F.col(data), F.lit("")).alias(data))
 
 
 def quantile_bounds(rows: DataFrame, key: str, parts: int) -> list:

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from llm.common import bounded_batches
+
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _TOKEN = re.compile(r"[a-z0-9]+")
@@ -246,5 +248,5 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
         for batch in batches:
             yield pd.Series([main_text(x) for x in batch], dtype=object)
 
-    found = pages.select(page_id, url, F.pandas_udf(extracted, T.StringType())(html).alias("text"))
+    found = bounded_batches(pages).select(page_id, url, F.pandas_udf(extracted, T.StringType())(html).alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
