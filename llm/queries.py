@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import density, packing, quality, simhash, syncmers, urls
+from llm import chunking, density, mixing, packing, quality, simhash, syncmers, urls
 from llm.common import checkpointed, texts
 from llm.ordering import ring, ring_window
 
@@ -67,11 +67,26 @@ def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_page_texts(_documents(spark, sf_dir))).withColumnRenamed("page_id", "doc_id")
 
 
+#: How far the mixture goes towards equal weights, and how often it may use its smallest sources for once through its largest.
+MIX_ENTROPY, MIX_REPETITION = 0.95, 4.0
+
+
+def op5_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _documents(spark, sf_dir).select(F.col("doc_id").alias("page_id"), F.col("source").alias("host"), mixing.tokens_of("text").alias("tokens"))
+    mixed = mixing.mix(pages, target_entropy=MIX_ENTROPY, max_repetition=MIX_REPETITION)
+    return mixed.withColumnsRenamed({"page_id": "doc_id", "host": "source"})
+
+
 def op6_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.packed_pieces(_page_texts(_documents(spark, sf_dir)), public_tokenizers.path("word_bpe_49k.json"))
     return packed.withColumnRenamed("page_id", "doc_id")
 
 
+def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = chunking.repeated_spans(_page_texts(_documents(spark, sf_dir)))
+    return spans.withColumnsRenamed({"page_id": "doc_id", "first_page_id": "first_doc_id"})
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.main_texts(_pages(spark, sf_dir))
 
@@ -89,7 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
     "op2_quality_scores": op2_quality_scores,
     "op3_simhash_near_duplicates": op3_simhash_near_duplicates,
+    "op5_source_mixture": op5_source_mixture,
     "op6_packed_sequences": op6_packed_sequences,
+    "op7_repeated_spans": op7_repeated_spans,
     "op8_main_text": op8_main_text,
     "op10_url_verdicts": op10_url_verdicts,
 }
