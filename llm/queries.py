@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import chunking, density, mixing, packing, quality, simhash, syncmers, urls
+from llm import chunking, density, lines, mixing, packing, quality, simhash, syncmers, urls
 from llm.common import checkpointed, texts
 from llm.ordering import ring, ring_window
 
@@ -67,6 +67,11 @@ def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_page_texts(_documents(spark, sf_dir))).withColumnRenamed("page_id", "doc_id")
 
 
+def op4_line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = lines.line_classes(_page_texts(_documents(spark, sf_dir)))
+    return classes.withColumnsRenamed({"page_id": "doc_id", "first_page_id": "first_doc_id"})
+
+
 #: How far the mixture goes towards equal weights, and how often it may use its smallest sources for once through its largest.
 MIX_ENTROPY, MIX_REPETITION = 0.95, 4.0
 
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
     "op2_quality_scores": op2_quality_scores,
     "op3_simhash_near_duplicates": op3_simhash_near_duplicates,
+    "op4_line_classes": op4_line_classes,
     "op5_source_mixture": op5_source_mixture,
     "op6_packed_sequences": op6_packed_sequences,
     "op7_repeated_spans": op7_repeated_spans,
