@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import chunking, density, lines, mixing, packing, quality, simhash, syncmers, urls
+from llm import chunking, density, lines, mixing, packing, quality, search, simhash, syncmers, urls
 from llm.common import checkpointed, texts
 from llm.ordering import ring, ring_window
 
@@ -96,6 +96,12 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.main_texts(_pages(spark, sf_dir))
 
 
+def op9_bm25_top_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 100 asks, with its whole text, all documents."""
+    pages = _page_texts(_documents(spark, sf_dir))
+    return search.search(pages, pages.where("page_id % 100 = 0")).withColumnsRenamed({"query_id": "query_doc_id", "page_id": "doc_id"})
+
+
 #: Fixed by the contract of the query.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packed_sequences": op6_packed_sequences,
     "op7_repeated_spans": op7_repeated_spans,
     "op8_main_text": op8_main_text,
+    "op9_bm25_top_pages": op9_bm25_top_pages,
     "op10_url_verdicts": op10_url_verdicts,
 }
 
