@@ -79,7 +79,8 @@ MIX_ENTROPY, MIX_REPETITION = 0.95, 4.0
 def op5_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _documents(spark, sf_dir).select(F.col("doc_id").alias("page_id"), F.col("source").alias("host"), mixing.tokens_of("text").alias("tokens"))
     mixed = mixing.mix(pages, target_entropy=MIX_ENTROPY, max_repetition=MIX_REPETITION)
-    return mixed.withColumnsRenamed({"page_id": "doc_id", "host": "source"})
+    return mixed.select("page_id", "host", "tokens", "block", "position", F.round("weight", 6).alias("weight")).withColumnsRenamed(
+        {"page_id": "doc_id", "host": "source"})
 
 
 def op6_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,4 +125,87 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_verdicts": op10_url_verdicts,
 }
 
-ORACLES: dict[str, str] = {}
+LINE_CLASSES_SQL = r"""
+WITH RECURSIVE occurrence AS (
+  SELECT doc_id, i - 1 AS line_no, parts[i] AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), unnest(range(1, len(parts) + 1)) AS n(i)
+  WHERE regexp_replace(parts[i], '[\x20\x09-\x0D]+', '', 'g') <> ''
+), line AS (
+  SELECT line, row_number() OVER (ORDER BY line) AS node FROM (SELECT DISTINCT line FROM occurrence)
+), hole AS (
+  SELECT node, p, substring(line, 1, p - 1) || substring(line, p + 1) AS rest
+  FROM line, unnest(range(1, length(line) + 1)) AS h(p) WHERE length(line) >= 48
+), link AS (
+  SELECT DISTINCT min(node) OVER (PARTITION BY p, rest) AS a, node AS b FROM hole
+  UNION SELECT line.node, hole.node FROM hole JOIN line ON hole.rest = line.line WHERE length(line.line) >= 48
+), both_ways AS (
+  SELECT a, b FROM link WHERE a <> b UNION SELECT b, a FROM link WHERE a <> b
+), reach AS (
+  SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
+), classed AS (
+  SELECT doc_id, line_no, least(node, coalesce(lowest, node)) AS class FROM occurrence JOIN line USING (line)
+  LEFT JOIN (SELECT a, min(b) AS lowest FROM reach GROUP BY a) ON a = node
+)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, first_value(doc_id) OVER w AS first_doc_id, CAST(first_value(line_no) OVER w AS INTEGER) AS first_line_no,
+       count(*) OVER (PARTITION BY class) AS class_lines, row_number() OVER w = 1 AS kept
+FROM classed WINDOW w AS (PARTITION BY class ORDER BY doc_id, line_no)
+"""
+
+SOURCE_MIXTURE_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM documents
+), total AS (
+  SELECT source, count(*) AS pages, CAST(sum(tokens) AS BIGINT) AS tokens, sum(tokens) / sum(sum(tokens)) OVER () AS share FROM doc GROUP BY source
+), step(i, low, high) AS (
+  SELECT 0, 0::DOUBLE, 1::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN enough THEN (low + high) / 2 ELSE low END, CASE WHEN enough THEN high ELSE (low + high) / 2 END
+  FROM (SELECT i, low, high, (
+    SELECT ln(sum(pow(share, (low + high) / 2))) - sum(pow(share, (low + high) / 2) * ln(pow(share, (low + high) / 2))) / sum(pow(share, (low + high) / 2))
+             >= 0.95 * ln(count(*))
+        OR max(pow(share, (low + high) / 2) / share) / min(pow(share, (low + high) / 2) / share) > 4 FROM total WHERE tokens > 0) AS enough
+    FROM step WHERE i < 24)
+), ends AS (
+  SELECT CASE WHEN (SELECT ln(count(*)) * 0.95 <= -sum(share * ln(share)) FROM total WHERE tokens > 0) THEN 1.0
+              WHEN (SELECT max(pow(share, low) / share) / min(pow(share, low) / share) FROM total WHERE tokens > 0) > 4 THEN high ELSE low END AS e
+  FROM step WHERE i = 24
+), weighted AS (
+  SELECT source, pages, tokens, pow(share, e) / sum(pow(share, e)) OVER () AS weight FROM total, ends
+), budgeted AS (
+  SELECT source, tokens AS whole, weight, greatest(tokens, CAST(floor(weight * max(tokens / weight) OVER () + 0.5) AS BIGINT)) AS budget FROM weighted
+), placed AS (
+  SELECT doc_id, source, tokens, block, weight, sha256('0' || chr(31) || block || chr(31) || doc_id) AS position, budget // whole AS n_full, budget % whole AS rest
+  FROM doc JOIN budgeted USING (source), unnest(range(0, budget // whole + CASE WHEN budget % whole > 0 THEN 1 ELSE 0 END)) AS b(block)
+), running AS (
+  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source, block ORDER BY position, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached
+  FROM placed
+)
+SELECT doc_id, source, tokens, CAST(block AS INTEGER) AS block, position, round(weight, 6) AS weight FROM running WHERE block < n_full OR reached < rest
+"""
+
+TOP_PAGES_SQL = r"""
+WITH token AS (
+  SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS term FROM documents
+), counts AS (
+  SELECT doc_id, term, count(*) AS n FROM token GROUP BY ALL
+), size AS (
+  SELECT doc_id, sum(n) AS length FROM counts GROUP BY doc_id
+), whole AS (
+  SELECT (SELECT count(*) FROM documents) AS pages, (SELECT count(*) FROM token) AS tokens
+), idf AS (
+  SELECT term, ln(1 + (pages - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM counts, whole GROUP BY term, pages
+), scored AS (
+  SELECT q.doc_id AS query_doc_id, d.doc_id, round(sum(q.n * idf * d.n * 2.2 / (d.n + 1.2 * (0.25 + 0.75 * length / (tokens / pages)))), 6) AS score
+  FROM counts q JOIN counts d USING (term) JOIN idf USING (term) JOIN size ON size.doc_id = d.doc_id, whole
+  WHERE q.doc_id % 100 = 0 GROUP BY ALL
+)
+SELECT query_doc_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_doc_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+#: The others need a tokenizer, XXH64, a rolling hash, a trained model or the tree of a page: tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op4_line_classes": LINE_CLASSES_SQL,
+    "op5_source_mixture": SOURCE_MIXTURE_SQL,
+    "op9_bm25_top_pages": TOP_PAGES_SQL,
+}
