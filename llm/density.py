@@ -97,7 +97,8 @@ def _parsed(html: str) -> _Tree:
     while at < size:
         begin = html.find("<", at)
         if begin < 0 or begin > last:
-            tree.pieces.append((tree.stack[-1], html[at:]))
+            unfinished = begin >= 0 and re.match(r"</?[a-zA-Z!?]", html[begin:begin + 3])
+            tree.pieces.append((tree.stack[-1], html[at:begin] if unfinished else html[at:]))
             break
         if begin > at:
             tree.pieces.append((tree.stack[-1], html[at:begin]))
