@@ -46,9 +46,9 @@ def marker_reasons() -> Column:
 
 
 def widget_markers() -> Column:
-    """Sorted first, then the first twenty."""
+    """All of them, sorted."""
     found = F.filter("class_tokens", lambda t: matches(t, fixed.WIDGET_MARKER))
-    return F.slice(F.array_sort(found), 1, fixed.MAX_WIDGET_MARKERS)
+    return F.array_sort(found)
 
 
 def structure_markers() -> Column:

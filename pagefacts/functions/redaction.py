@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pagefacts import fixed
 from pagefacts.functions.patterns import matches, utf16_length
 
+WHITE_SPACE = r"[\s\x0B\p{Z}\x{FEFF}]"
+
 
 def looks_private(text: Column) -> Column:
     return (
@@ -18,9 +20,14 @@ def looks_private(text: Column) -> Column:
     )
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at the ends; `trim` alone takes spaces only."""
+    return F.regexp_replace(text, f"^{WHITE_SPACE}+|{WHITE_SPACE}+\\z", "")
+
+
 def stable_id(value: Column) -> Column:
     """The trimmed identifier, or null when it is not stable and harmless."""
-    text = F.trim(value)
+    text = trimmed(value)
     keep = (
         (F.length(text) > 0)
         & (utf16_length(text) <= fixed.MAX_STABLE_ID_LENGTH)
@@ -30,8 +37,8 @@ def stable_id(value: Column) -> Column:
     return F.when(keep, text)
 
 
-def class_tokens(tokens: Column, mode: str) -> Column:
-    """First twenty distinct harmless tokens in document order, then sorted."""
+def class_tokens(tokens: Column, mode: str, limit: int | None = None) -> Column:
+    """Distinct harmless tokens, sorted; with a `limit`, only so many of the first in document order."""
 
     def keep(token: Column) -> Column:
         ok = (
@@ -41,8 +48,8 @@ def class_tokens(tokens: Column, mode: str) -> Column:
         )
         return ok & matches(token, fixed.STRICT_CLASS_PREFIX) if mode == "STRICT" else ok
 
-    trimmed = F.transform(tokens, F.trim)
-    return F.array_sort(F.slice(F.array_distinct(F.filter(trimmed, keep)), 1, fixed.MAX_CLASS_TOKENS))
+    found = F.array_distinct(F.filter(F.transform(tokens, trimmed), keep))
+    return F.array_sort(found if limit is None else F.slice(found, 1, limit))
 
 
 # The JVM's own word boundary counts letters of all scripts; the published rules mean ASCII words.
@@ -84,11 +91,11 @@ def redaction_stages(frame: DataFrame, column: str) -> DataFrame:
 
 def plain_label(text: Column, limit: int = fixed.MAX_LABEL_LENGTH) -> Column:
     """Control characters to spaces, trimmed, cut."""
-    return F.substring(F.trim(F.regexp_replace(text, r"[\x00-\x1F\x7F]", " ")), 1, limit)
+    return F.substring(trimmed(F.regexp_replace(text, r"[\x00-\x1F\x7F]", " ")), 1, limit)
 
 
 def name_token(text: Column, pattern: str = fixed.ROLE_TOKEN) -> Column:
-    lowered = F.lower(F.trim(text))
+    lowered = F.lower(trimmed(text))
     return F.when(matches(lowered, pattern), lowered)
 
 

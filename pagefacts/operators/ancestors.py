@@ -1,8 +1,8 @@
 """Nearest-ancestor facts.
 
-Siblings share all their ancestors, so each path is expanded once per *parent* (rows with children), cut to
-the search limit before it is exploded, joined to the ancestors that satisfy at least one predicate, reduced
-with `min(struct(distance, node))` and joined back on the parent.
+Siblings share all their ancestors, so each path is expanded once per *parent* (rows with children), joined to
+the ancestors that satisfy at least one predicate, reduced with `min(struct(distance, node))` and joined back on
+the parent.  Searches go up to the root; distances come along, so a published limit is a comparison with them.
 """
 
 from __future__ import annotations
@@ -10,35 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagefacts import fixed
 from pagefacts.functions import geometry
 
 
-def parent_paths(nodes: DataFrame, limit: int | None) -> DataFrame:
+def parent_paths(nodes: DataFrame) -> DataFrame:
     """(page_id, owner_ix, anc_ix, dist) for every node with children, the node itself at distance 1."""
     path = F.reverse(F.concat("ancestors", F.array("node_ix")))
-    cut = path if limit is None else F.slice(path, 1, limit)
     return nodes.filter("child_count > 0").select(
-        "page_id", F.col("node_ix").alias("owner_ix"), F.posexplode(cut).alias("_pos", "anc_ix")
+        "page_id", F.col("node_ix").alias("owner_ix"), F.posexplode(path).alias("_pos", "anc_ix")
     ).select("page_id", "owner_ix", "anc_ix", (F.col("_pos") + 1).alias("dist"))
 
 
-def nearest(nodes: DataFrame, facts: DataFrame, predicates: dict[str, int], payload: str | None = None) -> DataFrame:
-    """Add `nearest_<name>` and `nearest_<name>_dist` for boolean columns of `facts` within their limits.
+def nearest(nodes: DataFrame, facts: DataFrame, *names: str, payload: str | None = None) -> DataFrame:
+    """Add `nearest_<name>` and `nearest_<name>_dist` for the boolean columns `names` of `facts`.
 
     `facts` has page_id, node_ix and one boolean column per name.  A `payload` column of `facts` comes along as
     `nearest_<name>_<payload>`, which saves a join on the ancestor found.
     """
-    names = list(predicates)
     any_true = F.greatest(*[F.col(n) for n in names], F.lit(False))
     carried = [] if payload is None else [payload]
     holders = facts.filter(any_true).select("page_id", F.col("node_ix").alias("anc_ix"), *names, *carried)
-    paths = parent_paths(nodes, max(predicates.values()))
-    best = [
-        F.min(F.when(F.col(n) & (F.col("dist") <= limit), F.struct("dist", "anc_ix", *carried))).alias(f"_best_{n}")
-        for n, limit in predicates.items()
-    ]
-    found = paths.join(holders, ["page_id", "anc_ix"]).groupBy("page_id", "owner_ix").agg(*best)
+    best = [F.min(F.when(F.col(n), F.struct("dist", "anc_ix", *carried))).alias(f"_best_{n}") for n in names]
+    found = parent_paths(nodes).join(holders, ["page_id", "anc_ix"]).groupBy("page_id", "owner_ix").agg(*best)
     out = nodes.join(found.withColumnRenamed("owner_ix", "parent_ix"), ["page_id", "parent_ix"], "left")
     return out.withColumns({
         **{f"nearest_{n}": F.col(f"_best_{n}.anc_ix") for n in names},
@@ -52,8 +45,7 @@ def nearest_ancestors(measured: DataFrame) -> DataFrame:
     facts = measured.select(
         "page_id", "node_ix", geometry.hides_subtree().alias("hidden"), geometry.positioned().alias("positioned"),
         geometry.scrolls().alias("scroll"), geometry.clips().alias("clipping"))
-    limit = fixed.ANCESTOR_MEASUREMENT_LIMIT
-    out = nearest(measured, facts, dict.fromkeys(("hidden", "positioned", "scroll", "clipping"), limit))
+    out = nearest(measured, facts, "hidden", "positioned", "scroll", "clipping")
     return out.withColumns({
         "direct_hidden": geometry.hides_element(),
         "visible": ~geometry.hides_element() & F.col("nearest_hidden").isNull(),
@@ -61,21 +53,17 @@ def nearest_ancestors(measured: DataFrame) -> DataFrame:
 
 
 def clipped_by_ancestor(measured: DataFrame) -> DataFrame:
-    """Whether a box leaves one of its first six clipping ancestors by more than half a pixel.
+    """Whether a box leaves one of its clipping ancestors by more than half a pixel.
 
-    The six boxes of a parent reduce to one bound per side, so no pair of boxes is ever formed.
+    The boxes above a parent reduce to one bound per side, so no pair of boxes is ever formed.
     """
     holders = measured.filter(geometry.clips()).select("page_id", F.col("node_ix").alias("anc_ix"), "rect")
-    paths = parent_paths(measured, fixed.ANCESTOR_MEASUREMENT_LIMIT)
-    listed = paths.join(holders, ["page_id", "anc_ix"]).groupBy("page_id", "owner_ix").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("dist", "rect"))), 1, fixed.CLIPPING_GEOMETRY_LIMIT).alias("_boxes"))
 
     def side(name: str) -> Column:
-        return F.filter(F.transform("_boxes", lambda b: b["rect"][name]), lambda v: ~F.isnan(v))
+        return F.when(~F.isnan(F.col("rect")[name]), F.col("rect")[name])
 
-    bounds = listed.select(
-        "page_id", F.col("owner_ix").alias("parent_ix"), F.array_max(side("left")).alias("_left"),
-        F.array_max(side("top")).alias("_top"), F.array_min(side("right")).alias("_right"), F.array_min(side("bottom")).alias("_bottom"))
+    bounds = parent_paths(measured).join(holders, ["page_id", "anc_ix"]).groupBy("page_id", F.col("owner_ix").alias("parent_ix")).agg(
+        F.max(side("left")).alias("_left"), F.max(side("top")).alias("_top"), F.min(side("right")).alias("_right"), F.min(side("bottom")).alias("_bottom"))
     out = measured.join(bounds, ["page_id", "parent_ix"], "left")
     rect = F.col("rect")
     beyond = (
@@ -97,7 +85,7 @@ def visible_in_viewport(measured: DataFrame, width: Column, height: Column) -> D
 def emitted_parents(nodes: DataFrame, emitted: DataFrame) -> DataFrame:
     """Nearest emitted ancestor of every node.  `emitted` has page_id, node_ix, node_id."""
     facts = emitted.select("page_id", "node_ix", F.lit(True).alias("emitted"))
-    out = nearest(nodes, facts, {"emitted": fixed.ANCESTOR_SEARCH_LIMIT})
+    out = nearest(nodes, facts, "emitted")
     parent = emitted.select("page_id", F.col("node_ix").alias("nearest_emitted"), F.col("node_id").alias("parent_node_id"))
     return out.join(parent, ["page_id", "nearest_emitted"], "left").withColumn(
         "parent_emitted", F.coalesce(F.col("nearest_emitted_dist") == 1, F.lit(False)))
@@ -106,6 +94,6 @@ def emitted_parents(nodes: DataFrame, emitted: DataFrame) -> DataFrame:
 def parent_regions(regions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nearest ancestor region of every region."""
     facts = regions.select("page_id", "node_ix", F.lit(True).alias("region"))
-    linked = nearest(nodes, facts, {"region": fixed.ANCESTOR_SEARCH_LIMIT})
+    linked = nearest(nodes, facts, "region")
     return regions.join(
         linked.select("page_id", "node_ix", F.col("nearest_region").alias("parent_region")), ["page_id", "node_ix"])

@@ -168,7 +168,7 @@ def bind_elements(nodes: DataFrame, source_elements: DataFrame, source_documents
         .select("page_id", "node_ix", F.struct("n_candidates", "source_count", "record").alias("_found"), F.col("_data_id").alias("_hit_id"))
     )
     bearing = hits.select("page_id", "node_ix", F.lit(True).alias("bearing"), F.struct("_hit_id", "_found").alias("hit"))
-    linked = nearest(nodes, bearing, {"bearing": fixed.ANCESTOR_SEARCH_LIMIT}, "hit")
+    linked = nearest(nodes, bearing, "bearing", payload="hit")
     own = marked.select("page_id", "node_ix", "_data_id", "_runtime_count")
     out = (
         linked.withColumns({"_above": F.col("nearest_bearing_hit._found"), "_above_id": F.col("nearest_bearing_hit._hit_id")})
@@ -315,12 +315,9 @@ def cardinality_summary(cardinality: DataFrame, elements: DataFrame) -> DataFram
 
 
 def _emitted_paths(nodes: DataFrame, elements: DataFrame) -> DataFrame:
-    """(page_id, owner_ix, anc_ix): emitted nodes on the path of every parent, the nearest 63."""
+    """(page_id, owner_ix, anc_ix): emitted nodes on the path of every parent."""
     emitted = elements.select("page_id", F.col("node_ix").alias("anc_ix"))
-    steps = parent_paths(nodes, None).join(emitted, ["page_id", "anc_ix"]).groupBy("page_id", "owner_ix").agg(
-        F.array_sort(F.collect_list(F.struct("dist", "anc_ix"))).alias("_path"))
-    return steps.select("page_id", "owner_ix", F.explode(F.slice("_path", 1, fixed.ANCESTOR_SEARCH_LIMIT - 1)).alias("s")).select(
-        "page_id", "owner_ix", "s.anc_ix")
+    return parent_paths(nodes).join(emitted, ["page_id", "anc_ix"]).select("page_id", "owner_ix", "anc_ix")
 
 
 def document_instances(elements: DataFrame, nodes: DataFrame, source_documents: DataFrame, context: DataFrame) -> DataFrame:
@@ -416,20 +413,23 @@ def structure_summary(elements: DataFrame, regions: DataFrame, instances: DataFr
     return out.fillna(0)
 
 
-def structure_digest(elements: DataFrame, limit: int = fixed.MAX_EMITTED_ELEMENTS) -> DataFrame:
-    """Digest of the ordered structure of an emitted page.
+def structure_digest(elements: DataFrame, published: int = fixed.MAX_EMITTED_ELEMENTS) -> DataFrame:
+    """Digest of the ordered structure of an emitted page, over all its elements.
 
-    Defined for emitted elements, of which a page has at most `limit`; a page with more has no digest and
-    is reported with its count instead of being gathered.
+    `published` elements in order make a part, and only a part is gathered.  The digest of a page of one part is the published one;
+    beyond, where none is published, it is the digest of the digests of its parts, in order, as a list of texts.
     """
-    sized = elements.groupBy("page_id").agg(F.count("*").alias("n_elements"))
-    small = sized.filter(F.col("n_elements") <= limit).select("page_id")
     item = F.struct("document_order", "node_id", "reference_sha256", "parent_node_id", F.col("binding.source_element_key").alias("key"))
-    ordered = elements.join(small, "page_id", "left_semi").groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    parts = elements.groupBy("page_id", F.floor(F.col("document_order") / published).alias("_part")).agg(
+        F.count("*").alias("_n"), F.array_sort(F.collect_list(item)).alias("_items"))
     text = F.to_json(F.transform("_items", lambda i: F.struct(
         i["node_id"].alias("node_id"), i["parent_node_id"].alias("parent_node_id"), i["reference_sha256"].alias("reference_sha256"),
         i["key"].alias("source_element_key"))), {"ignoreNullFields": "false"})
-    return sized.join(ordered.select("page_id", digest(text).alias("structure_sha256")), "page_id", "left")
+    pages = parts.select("page_id", "_part", "_n", digest(text).alias("_digest")).groupBy("page_id").agg(
+        F.sum("_n").alias("n_elements"), F.array_sort(F.collect_list(F.struct("_part", "_digest"))).alias("_parts"))
+    listed = F.transform("_parts", lambda p: p["_digest"])
+    whole = F.when(F.size(listed) == 1, listed[0]).otherwise(digest(F.to_json(listed)))
+    return pages.select("page_id", "n_elements", whole.alias("structure_sha256"), (F.col("n_elements") > published).alias("over_published_limit"))
 
 
 def page_context(context: DataFrame) -> DataFrame:

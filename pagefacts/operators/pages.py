@@ -103,15 +103,11 @@ def display_paths(pages: DataFrame) -> DataFrame:
     return _drop_hidden(out)
 
 
-def page_ids(nodes: DataFrame, limit: int = fixed.MAX_PAGE_IDS) -> DataFrame:
-    """Sorted distinct page ids per page, the smallest `limit` of them."""
+def page_ids(nodes: DataFrame) -> DataFrame:
+    """Sorted distinct page ids per page."""
     raw = stable_id(F.col("attrs")[fixed.PAGE_ID_ATTRIBUTE])
     distinct = nodes.select("page_id", raw.alias("id")).filter("id IS NOT NULL").distinct()
-    from pyspark.sql import Window
-
-    ranked = distinct.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy("id")))
-    kept = ranked.filter(F.col("_n") <= limit)
-    return kept.groupBy("page_id").agg(F.array_sort(F.collect_list("id")).alias("raw_page_ids"))
+    return distinct.groupBy("page_id").agg(F.array_sort(F.collect_list("id")).alias("raw_page_ids"))
 
 
 def page_marker_present(nodes: DataFrame) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagefacts import fixed
 from pagefacts.functions import markers
+from pagefacts.functions.redaction import WHITE_SPACE as _SPACE
 from pagefacts.functions.redaction import redaction_stages
-from pagefacts.operators.ranking import ordinal, running_totals
+from pagefacts.operators.ranking import running_totals
 
-_SPACE = r"[\s\x0B\p{Z}\x{FEFF}]"
 _TEXTS_PER_BUCKET = 32_768
 
 
@@ -52,41 +52,41 @@ def bound_text(text_nodes: DataFrame, max_nodes: int = fixed.TEXT_SCAN_NODE_LIMI
 
 
 def text_shape(text_nodes: DataFrame, nodes: DataFrame, max_nodes: int = fixed.TEXT_NODE_LIMIT, max_chars: int = fixed.TEXT_CHARACTER_LIMIT) -> DataFrame:
-    """Node, grapheme, word and token counts of the text below every element.
+    """Node, grapheme, word and token counts of all the text below every element.
 
-    Text below a control, code or editable element counts for nobody above it.  An element gathers at most
-    `max_nodes` texts and `max_chars` characters: rows past the node limit are cut by rank before they are
-    gathered, and only their existence is kept as the limit flag.
+    Text below a control, code or editable element counts for nobody above it.  Each text is measured once; only its numbers
+    go to its ancestors and are summed there, as if the texts were joined by spaces and trimmed.  `over_limit` says that an element holds more than
+    the published numbers of texts or characters.
     """
     excluded = nodes.filter(F.col("tag").isin(*fixed.TEXT_EXCLUDED_TAGS) | markers.editable()).select("page_id", F.col("node_ix").alias("anc_ix"))
-    below = text_nodes.select("page_id", "text_ix", "data", F.explode("ancestors").alias("anc_ix"))
-    barred = below.join(excluded, ["page_id", "anc_ix"], "left_semi").select("page_id", "text_ix").distinct()
+    words = F.filter(F.split("data", _SPACE + "+"), lambda t: t != "")
+    blank = F.size(words) == 0
+    graphemes = lambda text: F.regexp_count(text, F.lit("\\X")).cast("bigint")
+    measured = text_nodes.select(
+        "page_id", "text_ix", "ancestors", blank.alias("_blank"), F.size(words).cast("bigint").alias("_words"), F.array_max(F.transform(words, F.length)).alias("_longest"),
+        F.length("data").cast("bigint").alias("_chars"), graphemes(F.concat(F.lit(" "), "data")).alias("_graphemes"),
+        graphemes(F.concat(F.lit(" "), F.regexp_extract("data", f"^{_SPACE}*", 0))).alias("_lead"),
+        graphemes(F.regexp_extract("data", f"{_SPACE}*\\z", 0)).alias("_trail"))
+    below = measured.withColumn("anc_ix", F.explode("ancestors")).drop("ancestors")
+    barred = below.select("page_id", "text_ix", "anc_ix").join(excluded, ["page_id", "anc_ix"], "left_semi").select("page_id", "text_ix").distinct()
     kept = below.join(barred, ["page_id", "text_ix"], "left_anti").withColumnRenamed("anc_ix", "node_ix")
-    ranked = ordinal(kept, ["page_id", "node_ix"], ["text_ix"], _bucket(), "_rank")
-    totals = ranked.groupBy("page_id", "node_ix").agg(F.count("*").alias("_all"))
-    before = Window.partitionBy("page_id", "node_ix").orderBy("text_ix").rowsBetween(Window.unboundedPreceding, -1)
-    first = ranked.filter(F.col("_rank") < max_nodes).withColumn("_used", F.coalesce(F.sum(F.length("data") + 1).over(before), F.lit(0)))
-    # Appending stops for good at the first text that does not fit: keep the rows before it.
-    upto = Window.partitionBy("page_id", "node_ix").orderBy("text_ix").rowsBetween(Window.unboundedPreceding, 0)
-    fits = F.min((F.col("_used") + F.length("data") <= max_chars).cast("int")).over(upto) == 1
-    gathered = first.withColumn("_fits", fits).filter("_fits").groupBy("page_id", "node_ix").agg(
-        F.count("*").alias("_n"), F.array_sort(F.collect_list(F.struct("text_ix", "data"))).alias("_texts"))
-    joined = F.array_join(F.transform("_texts", lambda t: t["data"]), " ")
-    trimmed = F.regexp_replace(joined, f"^{_SPACE}+|{_SPACE}+\\z", "")
-    out = nodes.select("page_id", "node_ix", "tag", markers.editable().alias("_editable")).join(totals, ["page_id", "node_ix"], "left").join(
-        gathered.select("page_id", "node_ix", "_n", trimmed.alias("_text")), ["page_id", "node_ix"], "left")
-    text = F.coalesce("_text", F.lit(""))
-    limited = F.coalesce(F.col("_all") > F.coalesce("_n", F.lit(0)), F.lit(False))
-    out = out.withColumns({"_text": text, "_limited": limited})
+    text = F.when(~F.col("_blank"), F.col("text_ix"))
+    ends = kept.groupBy("page_id", "node_ix").agg(
+        F.count("*").alias("_n"), F.sum(F.col("_chars") + 1).alias("_all_chars"), F.sum("_words").alias("_all_words"), F.max("_longest").alias("_longest_word"),
+        F.min(text).alias("_first"), F.max(text).alias("_last"))
+    # Graphemes run from the first text that is not blank to the last: what lies outside is trimmed, like the white space at both ends.
+    inner = kept.join(ends.select("page_id", "node_ix", "_first", "_last"), ["page_id", "node_ix"]).filter("text_ix BETWEEN _first AND _last").groupBy(
+        "page_id", "node_ix").agg((F.sum("_graphemes") - F.max(F.when(F.col("text_ix") == F.col("_first"), F.col("_lead")))
+                                   - F.max(F.when(F.col("text_ix") == F.col("_last"), F.col("_trail")))).alias("_grapheme_count"))
+    out = nodes.select("page_id", "node_ix", "tag", markers.editable().alias("_editable")).join(ends, ["page_id", "node_ix"], "left").join(
+        inner, ["page_id", "node_ix"], "left")
+    empty = F.col("_first").isNull()
     out = out.withColumn("status", F.when(F.col("tag").isin(*fixed.CONTROL_TAGS), "EXCLUDED_SENSITIVE_CONTROL")
-                         .when(F.col("_editable"), "EXCLUDED_CONTENTEDITABLE").when(F.col("tag").isin(*fixed.CODE_TAGS), "NO_TEXT")
-                         .when(F.col("_limited"), "BOUNDED_LIMIT_REACHED").when(F.col("_text") == "", "NO_TEXT").otherwise("MEASURED"))
-    measured = F.col("status").isin("MEASURED", "BOUNDED_LIMIT_REACHED") & (F.col("_text") != "")
-    out = out.withColumn("_tokens", F.when(measured, F.filter(F.split("_text", _SPACE + "+"), lambda t: t != "")))
+                         .when(F.col("_editable"), "EXCLUDED_CONTENTEDITABLE").when(F.col("tag").isin(*fixed.CODE_TAGS) | empty, "NO_TEXT").otherwise("MEASURED"))
+    known = F.col("status") == "MEASURED"
     return out.select(
         "page_id", "node_ix", "status",
-        F.when(F.col("status") == "MEASURED", "AVAILABLE").when(F.col("status") == "BOUNDED_LIMIT_REACHED", "PARTIAL")
-        .when(F.col("status") == "NO_TEXT", "NOT_APPLICABLE").otherwise("INSUFFICIENT").alias("availability"),
-        F.when(measured, F.col("_n")).otherwise(0).alias("text_node_count"), F.when(measured, F.size("_tokens")).alias("word_count"),
-        F.when(measured, F.regexp_count("_text", F.lit("\\X"))).alias("grapheme_count"),
-        F.array_max(F.transform("_tokens", F.length)).alias("longest_token"))
+        F.when(known, "AVAILABLE").when(F.col("status") == "NO_TEXT", "NOT_APPLICABLE").otherwise("INSUFFICIENT").alias("availability"),
+        F.when(known, F.col("_n")).otherwise(0).alias("text_node_count"), F.when(known, F.col("_all_words")).cast("int").alias("word_count"),
+        F.when(known, F.col("_grapheme_count")).cast("int").alias("grapheme_count"), F.when(known, F.col("_longest_word")).alias("longest_token"),
+        F.when(known, (F.col("_n") > max_nodes) | (F.col("_all_chars") - 1 > max_chars)).otherwise(False).alias("over_limit"))

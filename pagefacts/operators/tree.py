@@ -35,12 +35,11 @@ def emission_ids(nodes: DataFrame) -> DataFrame:
 
 
 def marker_index(nodes: DataFrame) -> DataFrame:
-    """How often each stable attribute value occurs among the first 20,000 nodes of a page."""
+    """How often each stable attribute value occurs in a page; `complete`: the page is within the published index limit."""
     entries = F.array(*[
         F.struct(F.lit(name).alias("attr"), stable_id(markers.attr(name)).alias("value")) for name in fixed.INDEXED_ATTRIBUTES])
     counted = (
-        nodes.filter(F.col("node_ix") < fixed.IDENTITY_INDEX_LIMIT)
-        .select("page_id", F.explode(F.filter(entries, lambda e: e["value"].isNotNull())).alias("e"))
+        nodes.select("page_id", F.explode(F.filter(entries, lambda e: e["value"].isNotNull())).alias("e"))
         .groupBy("page_id", "e.attr", "e.value").agg(F.count("*").alias("n"))
     )
     sizes = nodes.groupBy("page_id").agg((F.count("*") <= fixed.IDENTITY_INDEX_LIMIT).alias("complete"))
@@ -55,12 +54,10 @@ def _anchors(nodes: DataFrame) -> DataFrame:
     """
     entries = F.array(*[F.struct(F.lit(n).alias("attr"), stable_id(markers.attr(n)).alias("value")) for n in ("id", "data-testid")])
     unique = (
-        nodes.filter(F.col("node_ix") < fixed.IDENTITY_INDEX_LIMIT)
-        .select("page_id", "node_ix", F.explode(F.filter(entries, lambda e: e["value"].isNotNull())).alias("e"))
+        nodes.select("page_id", "node_ix", F.explode(F.filter(entries, lambda e: e["value"].isNotNull())).alias("e"))
         .groupBy("page_id", "e.attr", "e.value").agg(F.count("*").alias("_n"), F.min("node_ix").alias("node_ix")).filter("_n = 1")
     )
-    complete = nodes.groupBy("page_id").agg(F.count("*").alias("_n")).filter(F.col("_n") <= fixed.IDENTITY_INDEX_LIMIT)
-    named = unique.join(complete, "page_id", "left_semi").groupBy("page_id", "node_ix").agg(
+    named = unique.groupBy("page_id", "node_ix").agg(
         F.max(F.when(F.col("attr") == "id", F.col("value"))).alias("_id"), F.max(F.when(F.col("attr") == "data-testid", F.col("value"))).alias("_test"))
     tag = F.col("tag")
     anchor = F.when(F.col("_id").isNotNull(), F.concat(tag, F.lit("#"), markers.css_identifier(F.col("_id")))).when(
@@ -77,7 +74,7 @@ def structural_refs(nodes: DataFrame) -> DataFrame:
                          F.col("anchor").isNotNull().alias("anchored"))
     # One reference per parent; a path is as long as the tree is deep.
     path = F.sort_array(F.collect_list(F.struct("dist", "step", "anchored")), asc=False)
-    prefixes = parent_paths(nodes, None).join(facts, ["page_id", "anc_ix"]).groupBy("page_id", "owner_ix").agg(path.alias("_path"))
+    prefixes = parent_paths(nodes).join(facts, ["page_id", "anc_ix"]).groupBy("page_id", "owner_ix").agg(path.alias("_path"))
     nearest_anchor = F.array_min(F.transform(F.filter("_path", lambda p: p["anchored"]), lambda p: p["dist"]))
     prefixes = prefixes.withColumn("_stop", F.coalesce(nearest_anchor, F.lit(2_147_483_647)))
     text = F.array_join(F.transform(F.filter("_path", lambda p: p["dist"] <= F.col("_stop")), lambda p: p["step"]), ">")

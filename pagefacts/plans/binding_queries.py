@@ -174,8 +174,8 @@ def structure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structure_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structure of the emitted part of every page (the default element budget)."""
-    elements = derive.bound_tree(spark, sf_dir).filter(F.col("document_order") < fixed.STANDARD_LIMITS[0])
+    """Structure of every page, over all its elements."""
+    elements = derive.bound_tree(spark, sf_dir)
     from pagefacts.functions.digests import digest
 
     named = elements.withColumn("reference_sha256", digest(F.concat_ws(":", F.lit("ref"), "tag", F.col("node_ix").cast("string"))))
@@ -248,7 +248,7 @@ cand AS (SELECT page_id, element_id, count(*) AS nc, greatest(count(*), max(occ)
   CASE WHEN count(*) = 1 THEN min(widget_type) END AS c_widget, CASE WHEN count(*) = 1 THEN min(occ) END AS c_occ FROM ss WHERE element_id IS NOT NULL GROUP BY ALL),
 pm AS MATERIALIZED (SELECT page_id, CASE WHEN selected_document_id IS NULL OR count(a_page_id) = 0 THEN 'ABSENT' WHEN count(DISTINCT a_page_id) = 1 AND min(a_page_id) = selected_document_id THEN 'MATCH' ELSE 'CONFLICT' END AS marker_state
   FROM tf LEFT JOIN cx USING (page_id) GROUP BY page_id, selected_document_id),
-rc AS (SELECT page_id, data_id, count(*) AS rc FROM tf WHERE data_id IS NOT NULL AND node_ix < 20000 GROUP BY ALL),
+rc AS (SELECT page_id, data_id, count(*) AS rc FROM tf WHERE data_id IS NOT NULL GROUP BY ALL),
 hit AS MATERIALIZED (SELECT tf.page_id, tf.node_ix, tf.data_id AS hit_id, cand.* EXCLUDE (page_id, element_id) FROM tf JOIN cand ON cand.page_id = tf.page_id AND cand.element_id = tf.data_id WHERE tf.class_marker),
 near AS (SELECT a.page_id, a.node_ix, arg_min(a.anc_ix, a.dist) AS up_ix FROM tr_anc a JOIN hit ON hit.page_id = a.page_id AND hit.node_ix = a.anc_ix GROUP BY ALL),
 bj AS (SELECT tf.page_id, tf.node_ix, tf.data_id, tf.class_marker, coalesce(rc.rc, 0) AS rcount, cx.context_id, cx.selected_document_id AS sel, cx.confirmation_state AS conf, pm.marker_state AS ms, tf.page_id < 23 AS has_docs,
@@ -360,8 +360,9 @@ ORACLES = {
   coalesce(any_value(r.a), 0) AS runtime_region_count, coalesce(any_value(r.s), 0) AS runtime_section_region_count, coalesce(any_value(r.c), 0) AS runtime_container_region_count, coalesce(any_value(d.n), 0) AS document_instance_count
   FROM el JOIN (SELECT page_id, node_ix, instance_state, instance_group_id FROM rs) USING (page_id, node_ix) LEFT JOIN (SELECT page_id, count(*) AS a, count_if(region_kind IN ('HTML_SECTION', 'ELEMENTOR_SECTION')) AS s, count_if(region_kind IN ('ELEMENTOR_CONTAINER', 'ATOMIC_CONTAINER')) AS c FROM erg GROUP BY ALL) r USING (page_id)
   LEFT JOIN (SELECT page_id, count(*) AS n FROM di GROUP BY ALL) d USING (page_id) GROUP BY page_id"""),
-    "structure_digest": _with(ELEMENTS, """SELECT page_id, count(*) AS n_elements, 'sha256:' || sha256('[' || string_agg('{"node_id":"' || node_id || '","parent_node_id":' || coalesce('"' || parent_node_id || '"', 'null') || ',"reference_sha256":"sha256:' || sha256('ref:' || tag || ':' || node_ix)
-  || '","source_element_key":' || coalesce('"' || source_element_key || '"', 'null') || '}', ',' ORDER BY node_ix) || ']') AS structure_sha256 FROM el WHERE n <= 750 GROUP BY page_id"""),
+    "structure_digest": _with(f"""{ELEMENTS}, part AS (SELECT page_id, (n - 1) // 1000 AS part, count(*) AS c, 'sha256:' || sha256('[' || string_agg('{{"node_id":"' || node_id || '","parent_node_id":' || coalesce('"' || parent_node_id || '"', 'null') || ',"reference_sha256":"sha256:' || sha256('ref:' || tag || ':' || node_ix)
+  || '","source_element_key":' || coalesce('"' || source_element_key || '"', 'null') || '}}', ',' ORDER BY node_ix) || ']') AS d FROM el GROUP BY ALL)""",
+"""SELECT page_id, CAST(sum(c) AS BIGINT) AS n_elements, CASE WHEN count(*) = 1 THEN min(d) ELSE 'sha256:' || sha256('["' || string_agg(d, '","' ORDER BY part) || '"]') END AS structure_sha256, sum(c) > 1000 AS over_published_limit FROM part GROUP BY page_id"""),
     "context_integrity": _with(_FAULTY, """SELECT context_id, 'DUPLICATE_DOCUMENT' AS issue, document_id AS subject, count(*) AS n FROM fd GROUP BY ALL HAVING count(*) > 1
 UNION ALL SELECT context_id, 'ELEMENT_DOCUMENT_MISMATCH', document_id, count(*) FROM fe WHERE NOT EXISTS (SELECT 1 FROM fd WHERE fd.context_id = fe.context_id AND fd.document_id = fe.document_id) GROUP BY ALL
 UNION ALL SELECT context_id, 'DUPLICATE_SOURCE_ELEMENT_KEY', document_id || ':' || source_element_key, count(*) FROM fe GROUP BY context_id, document_id, source_element_key HAVING count(*) > 1

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagefacts import fixed
 from pagefacts.functions import markers
 from pagefacts.functions.digests import digest
 from pagefacts.operators import ancestors, binding
@@ -334,7 +335,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("job-"), F.col("doc_id").cast("string")).alias("job_id"), F.col("source").alias("session_id"), "doc_id",
         (F.floor(F.col("doc_id") / 3) % 400).alias("tab_id"), status.alias("status"),
         F.timestamp_add("SECOND", F.col("doc_id").cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("updated_at"),
-        F.greatest(F.lit(1), F.ceil(F.length(text) / CHUNK_CHARACTERS)).cast("int").alias("expected_chunks"), F.lit(20_000).cast("bigint").alias("max_bytes"),
+        F.greatest(F.lit(1), F.ceil(F.length(text) / CHUNK_CHARACTERS)).cast("int").alias("expected_chunks"), F.lit(fixed.MAX_SNAPSHOT_BYTES).cast("bigint").alias("max_bytes"),
         F.when(F.col("doc_id") % 5 != 0, F.sha2(F.when(F.col("doc_id") % 97 == 3, F.concat(text, F.lit("!"))).otherwise(text), 256)).alias("full_sha256"))
 
 
@@ -389,7 +390,7 @@ def document_text(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     leaves = documents.select(page.alias("page_id"), ix.alias("node_ix"), tag.alias("tag"), attrs.alias("attrs"))
     roots = documents.select(page.alias("page_id")).distinct().select("page_id", F.lit(0).alias("node_ix"), F.lit("html").alias("tag"), F.create_map().cast("map<string,string>").alias("attrs"))
     lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "data"))
-    texts = lines.select(page.alias("page_id"), (ix * 100_000 + F.col("pos")).alias("text_ix"), ix.alias("parent_ix"), F.array(F.lit(0), ix).alias("ancestors"), "data")
+    texts = lines.select(page.alias("page_id"), (ix.cast("bigint") * 10_000_000 + F.col("pos")).alias("text_ix"), ix.alias("parent_ix"), F.array(F.lit(0), ix).alias("ancestors"), "data")
     return roots.unionByName(leaves), texts
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagefacts.operators import chunks as chunk_ops
 from pagefacts.operators import packages, text
 from pagefacts.plans import derive
+from pagefacts.plans.stored import stored
 from pagefacts.session import shared_folder
 from pagefacts.sources import evidence
 from pagefacts.sources import packages as archive_source
@@ -31,16 +32,17 @@ def redaction_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, texts = derive.document_text(spark, sf_dir)
     out = text.text_shape(texts, nodes)
-    return out.select("page_id", "node_ix", "status", "availability", "text_node_count",
-                      *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("word_count", "longest_token")])
+    return out.select("page_id", "node_ix", "status", "availability", "text_node_count", "over_limit",
+                      *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("word_count", "grapheme_count", "longest_token")])
 
 
 def page_text_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text shape of the given pages with grapheme counts (DuckDB has no tree to follow)."""
     from pagefacts.sources.nodes import extract_nodes, extract_text_nodes
 
-    pages = derive.table(spark, sf_dir, "pages")
-    return text.text_shape(extract_text_nodes(pages), extract_nodes(pages))
+    texts = stored(spark, sf_dir, "page_text_nodes", lambda s, d: extract_text_nodes(derive.table(s, d, "pages")))
+    found = stored(spark, sf_dir, "page_element_nodes", lambda s, d: extract_nodes(derive.table(s, d, "pages")))
+    return text.text_shape(texts, found)
 
 
 def bound_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,27 +174,26 @@ ver AS MATERIALIZED (SELECT mf.package_id, mf.path, unnest(list_filter([CASE WHE
 _ORDER = "[" + ", ".join(f"'{i}'" for i in packages.ISSUE_ORDER) + "]"
 _TEXTS = """
 dl AS (SELECT doc_id, doc_id % 40 AS page_id, CAST(doc_id // 40 + 1 AS INT) AS ix, CASE WHEN doc_id % 13 = 0 THEN 'script' WHEN doc_id % 17 = 0 THEN 'textarea' ELSE 'p' END AS tag, doc_id % 19 = 0 AS editable, text FROM documents),
-tx AS MATERIALIZED (SELECT page_id, ix, tag, editable, CAST(ix * 100000 + pos AS INT) AS text_ix, data FROM (SELECT *, unnest(string_split(text, chr(10))) AS data, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM dl))"""
+tx AS MATERIALIZED (SELECT page_id, ix, tag, editable, CAST(ix AS BIGINT) * 10000000 + pos AS text_ix, data FROM (SELECT *, unnest(string_split(text, chr(10))) AS data, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM dl))"""
 
 ORACLES = {
     "redact_corpus": f"WITH {_redaction()} SELECT doc_id, substr(t, 1, 160) AS preview, length(t) > 160 AS truncated, length(t) AS redacted_length, n_email, n_jwt, n_keyed, n_number, n_entropy FROM r5",
     "redaction_totals": f"WITH {_redaction()} SELECT source, lang, {', '.join(f'CAST(sum(n_{n}) AS BIGINT) AS n_{n}' for n, *_ in _RULES)}, count_if(length(t) > 160) AS n_truncated FROM r5 GROUP BY ALL",
     "text_shape": f"""WITH {_TEXTS}, el AS (SELECT page_id, 0 AS ix, 'html' AS tag, false AS editable FROM dl GROUP BY page_id UNION ALL SELECT page_id, ix, tag, editable FROM dl),
 bt AS (SELECT page_id, ix, text_ix, data FROM tx WHERE tag = 'p' AND NOT editable UNION ALL SELECT page_id, 0, text_ix, data FROM tx WHERE tag = 'p' AND NOT editable),
-rk AS (SELECT *, row_number() OVER w AS rn, sum(length(data) + 1) OVER w - length(data) - 1 AS used FROM bt WINDOW w AS (PARTITION BY page_id, ix ORDER BY text_ix)),
-ok AS (SELECT *, bool_and(rn <= 500 AND used + length(data) <= 200000) OVER (PARTITION BY page_id, ix ORDER BY text_ix) AS fits FROM rk),
-g AS (SELECT page_id, ix, count(*) AS n_all, count_if(fits) AS n, regexp_replace(string_agg(CASE WHEN fits THEN data END, ' ' ORDER BY text_ix), '^{_SP}+|{_SP}+$', '', 'g') AS t FROM ok GROUP BY ALL),
-s AS (SELECT el.*, n, coalesce(t, '') AS t, CASE WHEN tag = 'textarea' THEN 'EXCLUDED_SENSITIVE_CONTROL' WHEN editable THEN 'EXCLUDED_CONTENTEDITABLE' WHEN tag = 'script' THEN 'NO_TEXT' WHEN n_all > n THEN 'BOUNDED_LIMIT_REACHED' WHEN coalesce(t, '') = '' THEN 'NO_TEXT' ELSE 'MEASURED' END AS status FROM el LEFT JOIN g USING (page_id, ix)),
-m AS (SELECT *, status IN ('MEASURED', 'BOUNDED_LIMIT_REACHED') AND t <> '' AS m, regexp_split_to_array(t, '{_SP}+') AS w FROM s)
-SELECT page_id, ix AS node_ix, status, CASE status WHEN 'MEASURED' THEN 'AVAILABLE' WHEN 'BOUNDED_LIMIT_REACHED' THEN 'PARTIAL' WHEN 'NO_TEXT' THEN 'NOT_APPLICABLE' ELSE 'INSUFFICIENT' END AS availability, CASE WHEN m THEN n ELSE 0 END AS text_node_count,
-  CASE WHEN m THEN CAST(len(w) AS INT) ELSE -1 END AS word_count, CASE WHEN m THEN CAST(list_max(list_transform(w, lambda x: length(x))) AS INT) ELSE -1 END AS longest_token FROM m""",
+g AS (SELECT page_id, ix, count(*) AS n, sum(length(data) + 1) - 1 AS chars, regexp_replace(string_agg(data, ' ' ORDER BY text_ix), '^{_SP}+|{_SP}+$', '', 'g') AS t FROM bt GROUP BY ALL),
+s AS (SELECT el.*, n, chars, coalesce(t, '') AS t, CASE WHEN tag = 'textarea' THEN 'EXCLUDED_SENSITIVE_CONTROL' WHEN editable THEN 'EXCLUDED_CONTENTEDITABLE' WHEN tag = 'script' OR coalesce(t, '') = '' THEN 'NO_TEXT' ELSE 'MEASURED' END AS status FROM el LEFT JOIN g USING (page_id, ix)),
+m AS (SELECT *, status = 'MEASURED' AS m, regexp_split_to_array(t, '{_SP}+') AS w FROM s)
+SELECT page_id, ix AS node_ix, status, CASE status WHEN 'MEASURED' THEN 'AVAILABLE' WHEN 'NO_TEXT' THEN 'NOT_APPLICABLE' ELSE 'INSUFFICIENT' END AS availability, CASE WHEN m THEN n ELSE 0 END AS text_node_count,
+  CASE WHEN m THEN CAST(len(w) AS INT) ELSE -1 END AS word_count, CASE WHEN m THEN CAST(length_grapheme(t) AS INT) ELSE -1 END AS grapheme_count,
+  CASE WHEN m THEN CAST(list_max(list_transform(w, lambda x: length(x))) AS INT) ELSE -1 END AS longest_token, coalesce(m AND (n > 500 OR chars > 200000), false) AS over_limit FROM m""",
     "bound_text": f"""WITH {_TEXTS} SELECT page_id, text_ix, NOT (row_number() OVER w <= 100 AND sum(length(data)) OVER w <= 30000 AND 4 * row_number() OVER w <= 380) AS limit_reached FROM tx WINDOW w AS (PARTITION BY page_id ORDER BY text_ix)""",
     "orphan_chunks": f"WITH {_CHUNKS} SELECT job_id, chunk_index, copy FROM ch WHERE NOT EXISTS (SELECT 1 FROM jb WHERE jb.job_id = ch.job_id AND active)",
-    "chunk_totals": f"WITH {_CHUNKS} SELECT job_id, n AS count, b AS bytes, n > 10000 OR b > 20000 AS over_limit FROM jt WHERE active",
+    "chunk_totals": f"WITH {_CHUNKS} SELECT job_id, n AS count, b AS bytes, n > 10000 OR b > 12000000 AS over_limit FROM jt WHERE active",
     "chunk_issues": f"""WITH {_CHUNKS} SELECT job_id, chunk_index, 'BYTE_LENGTH' AS issue FROM ch WHERE octet_length(encode(data)) <> bl UNION ALL SELECT job_id, chunk_index, 'CHECKSUM' FROM ch WHERE sha <> 'LEGACY_UNVERIFIED' AND sha <> sha256(data)
 UNION ALL SELECT ch.job_id, chunk_index, 'LEGACY_WITHOUT_FULL_CHECKSUM' FROM ch JOIN jb USING (job_id) WHERE sha = 'LEGACY_UNVERIFIED' AND full_sha256 IS NULL UNION ALL SELECT job_id, -1, 'CHUNK_SEQUENCE' FROM jt WHERE n > 0 AND n <> expected_chunks""",
     "assemble_chunks": f"""WITH {_CHUNKS}, whole AS (SELECT job_id, sha256(string_agg(data, '' ORDER BY chunk_index)) AS h FROM dc GROUP BY ALL),
-rs AS (SELECT jt.job_id, h, n, b, CASE WHEN n <> expected_chunks OR lo <> 0 OR hi <> expected_chunks - 1 THEN 'CHUNK_SEQUENCE' WHEN conflict THEN 'CONFLICTING_DUPLICATE' WHEN legacy AND full_sha256 IS NULL THEN 'LEGACY_INTEGRITY_UNAVAILABLE' WHEN b > 20000 THEN 'ASSEMBLED_SIZE' WHEN NOT intact THEN 'CHUNK_INTEGRITY' WHEN full_sha256 <> h THEN 'ASSEMBLED_CHECKSUM' END AS reason FROM jt LEFT JOIN whole USING (job_id))
+rs AS (SELECT jt.job_id, h, n, b, CASE WHEN n <> expected_chunks OR lo <> 0 OR hi <> expected_chunks - 1 THEN 'CHUNK_SEQUENCE' WHEN conflict THEN 'CONFLICTING_DUPLICATE' WHEN legacy AND full_sha256 IS NULL THEN 'LEGACY_INTEGRITY_UNAVAILABLE' WHEN b > 12000000 THEN 'ASSEMBLED_SIZE' WHEN NOT intact THEN 'CHUNK_INTEGRITY' WHEN full_sha256 <> h THEN 'ASSEMBLED_CHECKSUM' END AS reason FROM jt LEFT JOIN whole USING (job_id))
 SELECT job_id, reason IS NULL AS ok, reason, CASE WHEN reason IS NULL THEN h END AS text_sha256, n AS n_chunks, b AS n_bytes FROM rs""",
     "stale_jobs": f"""WITH {_CHUNKS} SELECT job_id, status, CASE WHEN legacy THEN 'FAILED' WHEN n = expected_chunks AND hi = expected_chunks - 1 THEN 'FINALIZE' WHEN TIMESTAMP '2024-01-01 00:10:00' - updated_at >= INTERVAL 30 SECOND THEN 'INTERRUPTED' ELSE 'KEEP' END AS action FROM jt WHERE active""",
     "retention_candidates": f"WITH {_CHUNKS} SELECT job_id, status FROM jb WHERE NOT active AND TIMESTAMP '2024-01-31 00:08:20' - updated_at >= INTERVAL 30 DAY",

@@ -127,8 +127,8 @@ def corrupt_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upgrade_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks as three stored versions: full, without length, without a usable hash."""
     rows = derive.table(spark, sf_dir, "documents").select(
-        "doc_id", F.substring("text", 1, 2000).alias("data"), F.expr(_STORED_HASH).alias("sha256"),
-        F.when(F.col("doc_id") % 3 != 0, F.octet_length(F.substring("text", 1, 2000))).alias("byte_length"))
+        "doc_id", F.col("text").alias("data"), F.expr(_STORED_HASH).alias("sha256"),
+        F.when(F.col("doc_id") % 3 != 0, F.octet_length("text")).alias("byte_length"))
     rows = rows.withColumn("sha256", F.when(F.col("sha256") == "true", F.sha2("data", 256)).otherwise(F.col("sha256")))
     return sessions.upgrade_legacy(rows, "chunks").select("doc_id", "sha256", "byte_length", "integrity_status")
 
@@ -492,7 +492,7 @@ ORACLES = {
     "session_listing": _observed("""SELECT session_id, 'Session ' || session_id AS name, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, status, workflow_mode, coalesce(c.n, 0) AS capture_count, c.l AS latest_snapshot_id
   FROM ses LEFT JOIN (SELECT session_id, count(*) AS n, arg_max(snapshot_id, (captured_at, snapshot_id)) AS l FROM cap GROUP BY ALL) c USING (session_id) WHERE user_id % 8 <> 3"""),
     "corrupt_sessions": _observed("SELECT count(*) AS corrupt_count FROM ses WHERE user_id % 8 = 3"),
-    "upgrade_legacy": """SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 3) THEN sha256(substr(text, 1, 2000)) ELSE 'LEGACY_UNVERIFIED' END AS sha256, CAST(octet_length(encode(substr(text, 1, 2000))) AS INT) AS byte_length,
+    "upgrade_legacy": """SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 3) THEN sha256(text) ELSE 'LEGACY_UNVERIFIED' END AS sha256, CAST(octet_length(encode(text)) AS INT) AS byte_length,
   CASE WHEN doc_id % 4 IN (0, 3) THEN 'VERIFIED' ELSE 'LEGACY_UNVERIFIED' END AS integrity_status FROM documents""",
     "upgrade_legacy_sessions": _observed("SELECT session_id, '1.1.0' AS schema_version, workflow_mode FROM ses"),
     "upgrade_legacy_jobs": """SELECT 'job-' || doc_id AS job_id, CASE WHEN doc_id % 3 = 0 THEN 'MINIMUM_PYTHON_FEED' ELSE 'RUNTIME_EVIDENCE' END AS workflow_mode,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagefacts import fixed
 from pagefacts.operators import sessions
 from pagefacts.plans import derive
 from pagefacts.plans.package_queries import _CHUNKS
@@ -21,7 +22,7 @@ def _chunk_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = documents.select("doc_id", "text", total, F.explode(F.sequence(F.lit(0), total - 1)).alias("chunk_index"))
     pieces = pieces.withColumn("data", F.expr(f"substring(text, {derive.CHUNK_CHARACTERS} * chunk_index + 1, {derive.CHUNK_CHARACTERS})")).drop("text")
     rows = derive.chunk_columns(pieces, "total")
-    return rows.withColumns({"job_active": F.col("doc_id") % 6 < 4, "max_bytes": F.lit(20_000).cast("bigint")})
+    return rows.withColumns({"job_active": F.col("doc_id") % 6 < 4, "max_bytes": F.lit(fixed.MAX_SNAPSHOT_BYTES).cast("bigint")})
 
 
 def ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,8 +103,8 @@ ORACLES = {
     # The byte cap is sequential: a chunk that does not fit is left out and later, smaller ones may still fit.
     "ingest_chunks": f"""WITH RECURSIVE {_CHUNKS}, base AS (SELECT ch.*, jb.active, octet_length(encode(data)) AS nb, octet_length(encode(data)) = bl AND sha = sha256(data) AS good FROM ch JOIN jb USING (job_id)),
 c0 AS MATERIALIZED (SELECT job_id, chunk_index, nb, row_number() OVER (PARTITION BY job_id ORDER BY chunk_index) AS rn FROM base WHERE copy = 0 AND good AND active),
-rec AS (SELECT job_id, chunk_index, rn, nb <= 20000 AS fits, CASE WHEN nb <= 20000 THEN nb ELSE 0 END AS used FROM c0 WHERE rn = 1
-  UNION ALL SELECT c.job_id, c.chunk_index, c.rn, r.used + c.nb <= 20000, r.used + CASE WHEN r.used + c.nb <= 20000 THEN c.nb ELSE 0 END FROM rec r JOIN c0 c ON c.job_id = r.job_id AND c.rn = r.rn + 1),
+rec AS (SELECT job_id, chunk_index, rn, nb <= 12000000 AS fits, CASE WHEN nb <= 12000000 THEN nb ELSE 0 END AS used FROM c0 WHERE rn = 1
+  UNION ALL SELECT c.job_id, c.chunk_index, c.rn, r.used + c.nb <= 12000000, r.used + CASE WHEN r.used + c.nb <= 12000000 THEN c.nb ELSE 0 END FROM rec r JOIN c0 c ON c.job_id = r.job_id AND c.rn = r.rn + 1),
 v AS (SELECT base.*, CASE WHEN NOT active THEN 'JOB_NOT_ACTIVE' WHEN NOT good THEN 'CHUNK_INTEGRITY' WHEN NOT fits THEN 'SNAPSHOT_SIZE_LIMIT' WHEN copy = 2 THEN 'CONFLICTING_DUPLICATE' END AS r FROM base LEFT JOIN rec USING (job_id, chunk_index))
 SELECT job_id, chunk_index, copy, CASE WHEN r IS NOT NULL THEN 'REJECTED' WHEN copy = 1 THEN 'DUPLICATE' ELSE 'ACCEPTED' END AS outcome, coalesce(r, '-') AS reason FROM v""",
     "read_chunk_stream": f"WITH {_CHUNKS} SELECT job_id, count(*) AS n_messages, CAST(sum(bl) AS BIGINT) AS n_bytes FROM ch GROUP BY job_id",

@@ -21,7 +21,7 @@ def _ix(column: str) -> Column:
 
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = nodes.stable_ids(tree_nodes(spark, sf_dir), markers.attr("id"))
-    return out.filter("depth IN (2, 3)").select("page_id", "node_ix", "stable_id")
+    return out.select("page_id", "node_ix", "stable_id")
 
 
 def interaction_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,10 +171,10 @@ REGIONS = f"""
 lm AS (SELECT *, {LANDMARK} AS landmark FROM tf),
 rg AS MATERIALIZED (SELECT * FROM (SELECT *, {REGION_KIND} AS region_kind, {_STRUCTURE} AS technical FROM lm) WHERE region_kind IS NOT NULL)"""
 _MARKS = """
-mk AS (SELECT page_id, 'data-elementor-id' AS attr, page_marker AS value FROM tf WHERE node_ix < 20000
-  UNION ALL SELECT page_id, 'data-id', data_id FROM tf WHERE node_ix < 20000
-  UNION ALL SELECT page_id, 'id', html_id FROM tf WHERE node_ix < 20000
-  UNION ALL SELECT page_id, 'data-testid', test_id FROM tf WHERE node_ix < 20000),
+mk AS (SELECT page_id, 'data-elementor-id' AS attr, page_marker AS value FROM tf
+  UNION ALL SELECT page_id, 'data-id', data_id FROM tf
+  UNION ALL SELECT page_id, 'id', html_id FROM tf
+  UNION ALL SELECT page_id, 'data-testid', test_id FROM tf),
 mi AS MATERIALIZED (SELECT page_id, attr, value, count(*) AS n, any_value(complete) AS complete FROM mk
   JOIN (SELECT page_id, count(*) <= 20000 AS complete FROM tf GROUP BY page_id) USING (page_id) WHERE value IS NOT NULL GROUP BY ALL)"""
 _ESCAPED = """array_to_string(list_transform(string_split(html_id, ''), lambda c, i: CASE WHEN regexp_matches(c, '^[A-Za-z0-9_-]$') AND NOT (i = 1 AND regexp_matches(c, '^[0-9]$'))
@@ -231,7 +231,7 @@ _DOWN = _r6(f"greatest(0, {_r6('least(800.0, yb)')} - {_r6('greatest(0.0, y0)')}
 _BOX = f"bx AS (SELECT *, {_r6('x')} AS x0, {_r6('x + w')} AS xr, {_r6('y')} AS y0, {_r6('y + h')} AS yb FROM tf WHERE NOT isnan(w))"
 
 ORACLES = {
-    "stable_ids": with_facts("SELECT page_id, node_ix, html_id AS stable_id FROM tf WHERE lvl IN (2, 3)"),
+    "stable_ids": with_facts("SELECT page_id, node_ix, html_id AS stable_id FROM tf"),
     "interaction_facts": with_facts(f"""SELECT page_id, node_ix,
   coalesce(CASE tag WHEN 'button' THEN 'BUTTON' WHEN 'a' THEN 'ANCHOR' WHEN 'input' THEN 'INPUT' END, '-') AS native_interactive_kind, coalesce({_ROLE}, '-') AS role,
   CASE WHEN tag IN ('button', 'input') AND a_disabled IS NOT NULL THEN 'true' ELSE 'false' END AS disabled,

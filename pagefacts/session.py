@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -13,8 +14,6 @@ SQL_OPTIONS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Let AQE split a hot (page_id, ancestor) key even when that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # A join on (page_id, node_ix) may reuse an exchange on a subset of those keys.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # The scan budget is 20,000 nodes: keep the per-partition top-k cut for limits of that size.
     "spark.sql.optimizer.windowGroupLimitThreshold": "50000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -38,10 +37,15 @@ def build(app_name: str = "pagefacts", **extra: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that every executor can reach; a local one only where the cluster names none."""
+    """Folder that every executor can reach, from `spark.checkpoint.dir`.
+
+    A session on a cluster that names none is refused; one that runs in a single process gets a folder of its own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = spark.conf.get("spark.pagefacts.localFolder", None)
     if local is None:
         local = tempfile.mkdtemp(prefix="pagefacts-")

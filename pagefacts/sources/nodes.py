@@ -8,6 +8,7 @@ browser's repair of misnested formatting.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -22,6 +23,7 @@ NODE_SCHEMA = (
 )
 TEXT_SCHEMA = "page_id bigint, text_ix int, parent_ix int, ancestors array<int>, data string"
 _ROWS_PER_BATCH = 20_000
+_CLASS_SPACE = re.compile("[\t\n\f\r ]+")
 
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split())
@@ -92,7 +94,7 @@ def _tree_of(html: str | None) -> _Tree:
 
 def _node_rows(page_id: int, html: str | None) -> Iterator[tuple]:
     for index, (parent, depth, tag, attrs, path, children) in enumerate(_tree_of(html).nodes):
-        tokens = list(dict.fromkeys((attrs.get("class") or "").split()))
+        tokens = list(dict.fromkeys(token for token in _CLASS_SPACE.split(attrs.get("class") or "") if token))
         yield page_id, index, parent, depth, tag, attrs, tokens, list(path), children, DOM_PROFILE
 
 
