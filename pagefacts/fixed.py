@@ -6,16 +6,10 @@ MAX_SEGMENT_LENGTH = 180
 MAX_DISPLAY_SEGMENT_LENGTH = 120
 MAX_STABLE_ID_LENGTH = 80
 MAX_CLASS_TOKEN_LENGTH = 64
-MAX_CLASS_TOKENS = 20
-MAX_WIDGET_MARKERS = 20
-MAX_PAGE_IDS = 100
 MAX_FRONTEND_MARKERS = 20
 MAX_LABEL_LENGTH = 300
 MAX_STYLE_VALUE_LENGTH = 2048
 IDENTITY_INDEX_LIMIT = 20000
-ANCESTOR_SEARCH_LIMIT = 64
-ANCESTOR_MEASUREMENT_LIMIT = 128
-CLIPPING_GEOMETRY_LIMIT = 6
 MAX_SCAN_BUDGET = 20000
 MIN_SCAN_BUDGET = 1000
 MAX_EMITTED_ELEMENTS = 1000
@@ -24,7 +18,6 @@ TEXT_CHARACTER_LIMIT = 200000
 TEXT_SCAN_NODE_LIMIT = 20000
 TEXT_SCAN_CHARACTER_LIMIT = 2000000
 TEXT_SCAN_ANCESTOR_STEP_LIMIT = 200000
-MAX_CONTEXT_BYTES = 5000000
 MAX_CONTEXT_DOCUMENTS = 500
 MAX_CONTEXT_ELEMENTS = 50000
 MAX_PACKAGE_ENTRIES = 10000
@@ -148,8 +141,6 @@ BASE_STYLES = (
 COLOR_STYLES = ("color", "background-color", "border-color")
 
 # --- closed value lists -----------------------------------------------------------------------
-AVAILABILITY = ("AVAILABLE", "PARTIAL", "INSUFFICIENT", "DISABLED", "UNAVAILABLE", "NOT_APPLICABLE", "ERROR")
-TRUTH_STATES = ("VERIFIED", "PARTIAL", "UNKNOWN", "UNSUPPORTED")
 BINDING_STATES = ("EXACT", "PROBABLE", "AMBIGUOUS", "UNMATCHED")
 PROCESS_STATES = ("STABLE", "UNSTABLE", "TIMEOUT", "INSUFFICIENT", "ERROR")
 PROFILES = ("DESKTOP", "TABLET", "MOBILE", "CUSTOM")
@@ -158,11 +149,6 @@ ID_UNIQUENESS = ("UNIQUE", "DUPLICATE", "MISSING")
 SEVERITIES = ("INFO", "WARNING", "ERROR")
 SCOPES = ("SEMANTIC", "OPERATIONAL")
 SNAPSHOT_STATES = ("AVAILABLE", "PARTIAL", "UNAVAILABLE", "FAILED")
-READY_STATES = ("loading", "interactive", "complete")
-INTENTS = (
-    "GENERAL_AUDIT", "RESPONSIVE_COMPARISON", "TYPOGRAPHY_AUDIT", "INTERACTION_AUDIT",
-    "OVERFLOW_INVESTIGATION",
-)
 ACTIVE_JOB_STATES = ("PREPARED", "INJECTED", "RECEIVING", "ASSEMBLING")
 TERMINAL_JOB_STATES = ("COMPLETE", "FAILED", "CANCELLED", "NAVIGATED", "INTERRUPTED")
 STRICT_MODE = "MINIMUM_PYTHON_FEED"

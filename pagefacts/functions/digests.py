@@ -62,7 +62,7 @@ def _number(value: float | int) -> str:
     if isinstance(value, float):
         if not math.isfinite(value):
             raise ValueError("NON_FINITE_NUMBER")
-        if value.is_integer() and abs(value) < 1e21:
+        if value.is_integer():
             value = int(value)
     if isinstance(value, int):
         if abs(value) > 2**53 - 1:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagefacts import fixed
-from pagefacts.functions.patterns import compact
+from pagefacts.functions.patterns import compact, utf16_length
 
 
 def is_active() -> Column:
@@ -41,7 +41,7 @@ def chunk_issues(chunks: DataFrame, jobs: DataFrame) -> DataFrame:
         F.when(F.octet_length("data") != F.col("byte_length"), "BYTE_LENGTH"), F.when(~legacy & (F.sha2("data", 256) != F.col("sha256")), "CHECKSUM"),
         F.when(legacy & F.col("full_sha256").isNull(), "LEGACY_WITHOUT_FULL_CHECKSUM"),
         F.when((F.col("chunk_index") < 0) | (F.col("chunk_index") >= F.col("expected_chunks")), "INDEX_RANGE"),
-        F.when((F.length("data") > fixed.MAX_CHUNK_CHARACTERS) | (F.col("byte_length") > fixed.MAX_CHUNK_BYTES), "CHUNK_SIZE"))
+        F.when((utf16_length(F.col("data")) > fixed.MAX_CHUNK_CHARACTERS) | (F.col("byte_length") > fixed.MAX_CHUNK_BYTES), "CHUNK_SIZE"))
     each = rows.select("job_id", "chunk_index", F.explode(found).alias("issue"))
     counted = chunks.groupBy("job_id").agg(F.countDistinct("chunk_index").alias("_d"), F.min("chunk_index").alias("_low"), F.max("chunk_index").alias("_high"))
     broken = jobs.join(counted, "job_id").filter(

@@ -6,7 +6,7 @@ its violated rules, so a check over any number of rules is a single narrow pass.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,9 +141,60 @@ def diagnostic_issues(diagnostics: DataFrame, keep: list[str]) -> DataFrame:
 
 # --- contracts -----------------------------------------------------------------------------------
 # A contract is a flat mapping path -> rule dict with the keys type, enum, const, pattern, minimum, maximum,
-# max_length, required.  Paths of nested objects are dotted.
-
-_TYPE_OF = {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}
+# max_length, required, min_items, max_items, unique_items.  Paths of nested objects are dotted, and a last part `name[]` gives
+# the rules of each item of an array.  Objects are closed: keys without a path are unexpected, at every level.
+
+_TYPE_OF = {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID", "array": "ARRAY", "object": "OBJECT"}
+
+
+def _kind(value: Column) -> Column:
+    return F.regexp_replace(F.schema_of_variant(value), r"[(<].*", "")
+
+
+def _faults(value: Column, rule: dict) -> list[tuple[str, Column]]:
+    """(message, violated-when) of a variant that is there."""
+    kind, text, number = _kind(value), F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
+    found: list[tuple[str, Column]] = []
+    wanted = rule.get("type")
+    if wanted:
+        def fits(name: str) -> Column:
+            if name == "integer":
+                return (kind == "BIGINT") | ((kind == "DECIMAL") & (number == F.floor(number)))
+            return kind.isin("BIGINT", "DECIMAL", "DOUBLE") if name == "number" else kind == _TYPE_OF[name]
+
+        allowed = [fits(name) for name in (wanted if isinstance(wanted, list) else [wanted])]
+        found.append(("type", ~F.coalesce(F.greatest(*allowed, F.lit(False)), F.lit(False))))
+    if "enum" in rule:
+        found.append(("enum", (kind == "STRING") & ~text.isin(*rule["enum"])))
+    if "const" in rule:
+        same = kind == "VOID" if rule["const"] is None else text == str(rule["const"])
+        found.append(("const", ~F.coalesce(same, F.lit(False))))
+    if "pattern" in rule:
+        found.append(("pattern", (kind == "STRING") & ~matches(text, rule["pattern"])))
+    if "max_length" in rule:
+        found.append(("max_length", (kind == "STRING") & (utf16_length(text) > rule["max_length"])))
+    if "minimum" in rule:
+        found.append(("minimum", number < rule["minimum"]))
+    if "maximum" in rule:
+        found.append(("maximum", number > rule["maximum"]))
+    if rule.keys() & {"min_items", "max_items", "unique_items"}:
+        items = F.try_variant_get(value, "$", "array<variant>")
+        if "min_items" in rule:
+            found.append(("min_items", F.size(items) < rule["min_items"]))
+        if "max_items" in rule:
+            found.append(("max_items", F.size(items) > rule["max_items"]))
+        if rule.get("unique_items"):
+            texts = F.transform(items, lambda item: F.to_json(item))
+            found.append(("unique_items", F.size(F.array_distinct(texts)) < F.size(texts)))
+    return found
+
+
+def _item_fault(rule: dict, message: str) -> Callable[[Column], Column]:
+    return lambda item: F.coalesce(dict(_faults(item, rule))[message], F.lit(False))
+
+
+def _below(parent: str) -> Callable[[Column], Column]:
+    return lambda name: F.concat(F.lit(f"{parent}." if parent else ""), name)
 
 
 def contract_issues(frame: DataFrame, column: str, contract: dict[str, dict], keep: list[str]) -> DataFrame:
@@ -154,47 +205,26 @@ def contract_issues(frame: DataFrame, column: str, contract: dict[str, dict], ke
     staged = frame.withColumn("_v", F.try_parse_json(F.col(column)))
     rules: list[Rule] = [("$", "malformed", F.col("_v").isNull())]
     for path, rule in contract.items():
+        if path.endswith("[]"):
+            items = F.try_variant_get(F.col("_v"), f"$.{path[:-2]}", "array<variant>")
+            rules += [(path, message, F.exists(items, _item_fault(rule, message))) for message, _ in _faults(F.col("_v"), rule)]
+            continue
         spot = F.try_variant_get(F.col("_v"), f"$.{path}", "variant")
-        kind = F.regexp_replace(F.schema_of_variant(spot), r"[(<].*", "")
-        text = F.try_variant_get(F.col("_v"), f"$.{path}", "string")
-        number = F.try_variant_get(F.col("_v"), f"$.{path}", "double")
-        there = spot.isNotNull()
-        wanted = rule.get("type")
         if rule.get("required"):
-            rules.append((path, "required", F.col("_v").isNotNull() & ~there))
-        if wanted:
-            allowed = wanted if isinstance(wanted, list) else [wanted]
-            checks = []
-            for name in allowed:
-                if name == "integer":
-                    checks.append((kind == "BIGINT") | ((kind == "DECIMAL") & (number == F.floor(number))))
-                elif name == "number":
-                    checks.append(kind.isin("BIGINT", "DECIMAL", "DOUBLE"))
-                elif name == "array":
-                    checks.append(kind == "ARRAY")
-                elif name == "object":
-                    checks.append(kind == "OBJECT")
-                else:
-                    checks.append(kind == _TYPE_OF[name])
-            ok = checks[0]
-            for check in checks[1:]:
-                ok = ok | check
-            rules.append((path, "type", there & ~ok))
-        if "enum" in rule:
-            rules.append((path, "enum", (kind == "STRING") & ~text.isin(*rule["enum"])))
-        if "const" in rule:
-            rules.append((path, "const", there & (text != rule["const"])))
-        if "pattern" in rule:
-            rules.append((path, "pattern", (kind == "STRING") & ~matches(text, rule["pattern"])))
-        if "max_length" in rule:
-            rules.append((path, "max_length", (kind == "STRING") & (utf16_length(text) > rule["max_length"])))
-        if "minimum" in rule:
-            rules.append((path, "minimum", number < rule["minimum"]))
-        if "maximum" in rule:
-            rules.append((path, "maximum", number > rule["maximum"]))
+            rules.append((path, "required", F.col("_v").isNotNull() & spot.isNull()))
+        rules += [(path, message, spot.isNotNull() & bad) for message, bad in _faults(spot, rule)]
     found = issues(staged, rules, keep)
-    top = sorted({path.split(".")[0] for path in contract})
-    extra = staged.select(*keep, F.explode(F.array_except(F.json_object_keys(F.col(column)), F.array(*[F.lit(t) for t in top]))).alias("path"))
+    known: dict[str, set[str]] = {"": set()}
+    for path in contract:
+        parts = path.removesuffix("[]").split(".")
+        for depth in range(len(parts)):
+            known.setdefault(".".join(parts[:depth]), set()).add(parts[depth])
+    extras = []
+    for parent, names in sorted(known.items()):
+        keys = F.json_object_keys(F.get_json_object(F.col(column), f"$.{parent}") if parent else F.col(column))
+        unknown = F.array_except(keys, F.array(*[F.lit(name) for name in sorted(names)]))
+        extras.append(F.coalesce(F.transform(unknown, _below(parent)), F.array().cast("array<string>")))
+    extra = staged.filter("_v IS NOT NULL").select(*keep, F.explode(F.concat(*extras)).alias("path"))
     return found.unionByName(extra.withColumn("message", F.lit("unexpected")))
 
 

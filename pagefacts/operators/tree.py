@@ -117,7 +117,7 @@ def reachable(measured: DataFrame, max_depth: int, include_hidden: bool) -> Data
         "pruned": prunes & ~F.col("tag").isin(*fixed.SKIPPED_TAGS),
     })
     blockers = flagged.filter("skip_tag OR pruned").select("page_id", F.col("node_ix").alias("anc_ix"))
-    below = parent_paths(flagged, None).join(blockers, ["page_id", "anc_ix"], "left_semi").select(
+    below = parent_paths(flagged).join(blockers, ["page_id", "anc_ix"], "left_semi").select(
         "page_id", F.col("owner_ix").alias("parent_ix")).distinct()
     return flagged.filter(F.col("depth") <= max_depth).join(below, ["page_id", "parent_ix"], "left_anti")
 

@@ -305,13 +305,17 @@ COVERAGE_CONTRACT = {
     "count": {"type": "integer", "minimum": 0, "maximum": 90, "required": True},
     "label": {"type": ["string", "null"], "pattern": r"^[a-z-]{1,12}$", "max_length": 12},
     "page": {"type": "object", "required": True},
-    "page.profile": {"type": "string", "const": "CJ1"},
+    "page.profile": {"const": "CJ1"},
+    "page.draft": {"const": None},
+    "codes": {"type": "array", "min_items": 1, "max_items": 3, "unique_items": True},
+    "codes[]": {"type": "string", "pattern": r"^[A-Z]+$"},
 }
 # One text rule for both sides; faults are planted by k.
 _RECORD = """concat('{"state":', CASE WHEN k % 11 = 0 THEN '"OTHER"' WHEN k % 11 = 1 THEN '7' ELSE concat('"', page_binding_state, '"') END,
   CASE WHEN k % 13 = 0 THEN '' WHEN k % 13 = 1 THEN ',"count":1.5' ELSE concat(',"count":', CAST(k AS VARCHAR(20))) END,
   ',"label":', CASE WHEN k % 7 = 0 THEN 'null' WHEN k % 7 = 1 THEN '"BAD"' ELSE '"fine"' END,
-  CASE WHEN k % 17 = 2 THEN '' ELSE concat(',"page":{"profile":"', CASE WHEN k % 19 = 0 THEN 'X' ELSE 'CJ1' END, '"}') END,
+  CASE WHEN k % 17 = 2 THEN '' ELSE concat(',"page":{"profile":', CASE WHEN k % 19 = 0 THEN '"X"' WHEN k % 19 = 1 THEN 'null' ELSE '"CJ1"' END, CASE WHEN k % 9 = 0 THEN ',"draft":1' WHEN k % 9 = 1 THEN ',"draft":null' ELSE '' END, CASE WHEN k % 31 = 0 THEN ',"zz":1' ELSE '' END, '}') END,
+  ',"codes":', CASE k % 8 WHEN 0 THEN '[]' WHEN 1 THEN '["A","B","C","D"]' WHEN 2 THEN '["A","A"]' WHEN 3 THEN '["A",1]' WHEN 4 THEN '["a"]' WHEN 5 THEN '{}' ELSE '["A","B"]' END,
   CASE WHEN k % 23 = 0 THEN ',"extra":1' ELSE '' END, CASE WHEN k % 29 = 0 THEN '' ELSE '}' END)"""
 
 
@@ -584,7 +588,8 @@ UNION ALL SELECT snapshot_id, 'node_id', 'unique', 1 FROM ob WHERE k % 5 >= 1 AN
 UNION ALL SELECT snapshot_id, 'stable_reference', 'unique', 1 FROM ob WHERE event_id % 43 = 4 AND k % 5 >= 1
 UNION ALL SELECT snapshot_id, 'elements_emitted', 'agreement', 1 FROM ob WHERE event_id % 53 = 6"""),
     "contract_issues": _observed(_rows("(SELECT * FROM ob WHERE k % 29 <> 0)", "snapshot_id", ("state", "enum", "k % 11 = 0"), ("state", "type", "k % 11 = 1"), ("count", "required", "k % 13 = 0"), ("count", "type", "k % 13 = 1"), ("count", "maximum", "k > 90 AND k % 13 > 1"),
-        ("label", "pattern", "k % 7 = 1"), ("page", "required", "k % 17 = 2"), ("page.profile", "const", "k % 19 = 0 AND k % 17 <> 2"), ("extra", "unexpected", "k % 23 = 0")) + "\nUNION ALL SELECT snapshot_id, '$', 'malformed' FROM ob WHERE k % 29 = 0"),
+        ("label", "pattern", "k % 7 = 1"), ("page", "required", "k % 17 = 2"), ("page.profile", "const", "k % 19 < 2 AND k % 17 <> 2"), ("page.draft", "const", "k % 9 = 0 AND k % 17 <> 2"), ("page.zz", "unexpected", "k % 31 = 0 AND k % 17 <> 2"),
+        ("codes", "min_items", "k % 8 = 0"), ("codes", "max_items", "k % 8 = 1"), ("codes", "unique_items", "k % 8 = 2"), ("codes[]", "type", "k % 8 = 3"), ("codes[]", "pattern", "k % 8 = 4"), ("codes", "type", "k % 8 = 5"), ("extra", "unexpected", "k % 23 = 0")) + "\nUNION ALL SELECT snapshot_id, '$', 'malformed' FROM ob WHERE k % 29 = 0"),
     "exportable": _observed(_rows("x", "session_id", ("snapshots", "NO_SNAPSHOTS", "kind = 'empty'"), ("status", "SESSION_NOT_EXPORTABLE", "status IN ('FAILED', 'CAPTURING')"), ("workflow_mode", "SESSION_WORKFLOW_MODE_MISMATCH", "workflow_mode IS NULL OR workflow_mode <> 'MINIMUM_PYTHON_FEED'"),
         ("observation_index", "DUPLICATE_OBSERVATION_INDEX", "NOT uniq"), ("observation_index", "NON_CONTIGUOUS_OBSERVATION_INDEX", "uniq AND NOT cont"), ("process_state", "READINESS_ERROR", "err"),
         *[("captures", c, f"list_contains(iss, '{c}')") for c in ("ORPHAN_SNAPSHOT", "MISSING_SNAPSHOT", "DUPLICATE_SNAPSHOT", "DUPLICATE_SUMMARY")]),

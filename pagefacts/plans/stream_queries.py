@@ -118,5 +118,8 @@ SELECT job_id, CAST(a.n AS INT) AS n_chunks, a.b AS n_bytes, h AS text_sha256 FR
         """, rs0 AS (SELECT session_id AS capture_id, pure_index AS n, pure_index * 100.0 AS e, CASE WHEN k < 50 THEN 1000.0 ELSE 1010.0 END AS w, k = 97 AND user_id % 3 = 0 AS bad, k % 25 <> 0 AND k % 20 <> 1 AND k % 15 <> 2 AS ready FROM ob WHERE kind = 'user'),
 rs1 AS (SELECT *, n = 0 OR coalesce(lag(e) OVER w1 < 1500, false) AS seen, coalesce(lag(w) OVER w1 = w AND NOT bad AND NOT lag(bad) OVER w1, false) AND ready AS ok FROM rs0 WINDOW w1 AS (PARTITION BY capture_id ORDER BY n)),
 rr AS (SELECT *, seen AND ok AND coalesce(lag(ok, 1) OVER w2, false) AND coalesce(lag(ok, 2) OVER w2, false) AS run FROM rs1 WINDOW w2 AS (PARTITION BY capture_id ORDER BY n))"""),
+    # A job that is active at its last event is interrupted once the stream's time has passed that event by the stale time.
+    "stale_job_stream": f"""WITH {_JOBS}, l AS (SELECT job_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS last_at FROM ja WHERE NOT ended GROUP BY job_id)
+SELECT job_id, strftime(last_at + INTERVAL 30 SECOND, '%Y-%m-%d %H:%M:%S') AS interrupted_at FROM l WHERE status IN ('PREPARED', 'INJECTED', 'RECEIVING', 'ASSEMBLING') AND last_at + INTERVAL 30 SECOND <= (SELECT max(ts) FROM ev)""",
     "session_rollup_stream": _observed("""SELECT session_id, CASE WHEN bool_and(status = 'COMPLETE') THEN 'COMPLETE' ELSE 'PARTIAL' END AS status, CAST(count(DISTINCT snapshot_id) AS INT) AS capture_count, strftime(max(captured_at), '%Y-%m-%d %H:%M:%S') AS last_captured_at FROM cap GROUP BY session_id"""),
 }

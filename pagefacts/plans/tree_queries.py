@@ -289,8 +289,8 @@ SELECT tf.page_id, tf.node_ix, 'node-' || CASE WHEN n > 999999 THEN CAST(n AS VA
     "clipped_by_ancestor": with_facts(f""", {_BOX}, cb AS (SELECT a.page_id, a.node_ix, bool_or(c.x0 < p.x0 - 0.5 OR c.xr > p.xr + 0.5 OR c.y0 < p.y0 - 0.5 OR c.yb > p.yb + 0.5) AS clipped
   FROM tr_anc a JOIN bx p ON p.page_id = a.page_id AND p.node_ix = a.anc_ix JOIN bx c ON c.page_id = a.page_id AND c.node_ix = a.node_ix WHERE p.clips GROUP BY ALL)
 SELECT page_id, node_ix, coalesce(clipped, false) AS clipped FROM bx LEFT JOIN cb USING (page_id, node_ix)"""),
-    "visible_in_viewport": with_facts("""SELECT page_id, node_ix, NOT hides AND NOT isnan(w) AND w > 0 AND h > 0 AND y + h > 0 AND x + w > 0 AND y < 800 AND x < 1280
-  AND NOT EXISTS (SELECT 1 FROM tr_anc a JOIN tf f ON f.page_id = a.page_id AND f.node_ix = a.anc_ix WHERE a.page_id = t.page_id AND a.node_ix = t.node_ix AND f.hides_subtree) AS in_viewport FROM tf t"""),
+    "visible_in_viewport": with_facts(""", hid AS MATERIALIZED (SELECT DISTINCT a.page_id, a.node_ix, true AS hidden FROM tr_anc a JOIN tf f ON f.page_id = a.page_id AND f.node_ix = a.anc_ix WHERE f.hides_subtree)
+SELECT page_id, node_ix, NOT hides AND NOT isnan(w) AND w > 0 AND h > 0 AND y + h > 0 AND x + w > 0 AND y < 800 AND x < 1280 AND hidden IS NULL AS in_viewport FROM tf LEFT JOIN hid USING (page_id, node_ix)"""),
     "parent_regions": with_facts(f""",{REGIONS}, pr AS (SELECT a.page_id, a.node_ix, arg_min(a.anc_ix, a.dist) AS p FROM tr_anc a JOIN rg ON rg.page_id = a.page_id AND rg.node_ix = a.anc_ix GROUP BY ALL)
 SELECT rg.page_id, rg.node_ix, coalesce(p, -1) AS parent_region FROM rg LEFT JOIN pr USING (page_id, node_ix)"""),
 }

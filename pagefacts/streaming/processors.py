@@ -78,7 +78,7 @@ class IngestChunks(_Keyed):
 
 
 class AssembleChunks(_Keyed):
-    """Collect accepted chunks and emit the whole text once all of them are there."""
+    """Collect accepted chunks and emit the whole text once all of them are there; what comes later is not kept."""
 
     schema = "job_id string, n_chunks int, n_bytes bigint, text_sha256 string, text string"
 
@@ -88,13 +88,15 @@ class AssembleChunks(_Keyed):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         total = 0
+        if self.done.exists():
+            return
         for row in _sorted(rows, ["chunk_index"]):
             total = int(row.total)
             if not self.parts.containsKey((int(row.chunk_index),)):
                 self.parts.updateValue((int(row.chunk_index),), (row.data,))
         held = {int(k[0]): v[0] for k, v in self.parts.iterator()}
         out = []
-        if not self.done.exists() and total and set(held) == set(range(total)):
+        if total and set(held) == set(range(total)):
             text = "".join(held[i] for i in range(total))
             data = text.encode()
             out.append((key[0], total, len(data), hashlib.sha256(data).hexdigest(), text))

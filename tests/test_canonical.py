@@ -11,7 +11,7 @@ CASES = [
     ('{"array":[{},[],null,true,false],"empty":""}', '{"array":[{},[],null,true,false],"empty":""}'),
     ('{"control":"\\b\\t\\n\\f\\r\\u0001","quote":"\\\\\\"","slash":"a/b"}', '{"control":"\\b\\t\\n\\f\\r\\u0001","quote":"\\\\\\"","slash":"a/b"}'),
     ("-0.0", "0"), ("1.25", "1.25"), ("-12.5", "-12.5"), ("1e-07", "1e-7"), ("9007199254740991", "9007199254740991"), ('"🧭"', '"🧭"'),
-    ("1e21", "1e21"), ("0.00001", "0.00001"), ("100.0", "100"), ('"é"', '"é"'),
+    ("0.00001", "0.00001"), ("100.0", "100"), ('"é"', '"é"'),
 ]
 
 
@@ -20,7 +20,7 @@ def test_cases(text, wanted):
     assert canonical_text(json.loads(text)) == wanted
 
 
-@pytest.mark.parametrize("value", [float("nan"), float("inf"), -float("inf"), 9007199254740992, {"__proto__": 1}])
+@pytest.mark.parametrize("value", [float("nan"), float("inf"), -float("inf"), 9007199254740992, 1e21, -1e21, 10**21, {"__proto__": 1}])
 def test_refusals(value):
     with pytest.raises(ValueError):
         canonical_text(value)
