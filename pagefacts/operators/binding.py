@@ -15,7 +15,7 @@ from pagefacts.functions import markers
 from pagefacts.functions.digests import canonical_struct, digest
 from pagefacts.functions.patterns import compact
 from pagefacts.operators.ancestors import nearest, parent_paths
-from pagefacts.operators.ranking import node_bucket, ordinal
+from pagefacts.operators.ranking import join_page_facts, node_bucket, ordinal
 from pagefacts.operators.tree import marker_index
 
 DIRECT, ANCESTOR = "DIRECT_VALIDATED_MARKER", "ANCESTOR_VALIDATED_MARKER"
@@ -164,16 +164,18 @@ def bind_elements(nodes: DataFrame, source_elements: DataFrame, source_documents
     marked = marked.join(counts, ["page_id", "_data_id"], "left")
     known = candidates(source_elements, source_documents).withColumnRenamed("element_id", "_data_id")
     hits = (
-        marked.filter("_class_marker").join(context.select("page_id", "context_id"), "page_id").join(known, ["context_id", "_data_id"])
+        join_page_facts(marked.filter("_class_marker"), context.select("page_id", "context_id"), nodes).join(known, ["context_id", "_data_id"])
         .select("page_id", "node_ix", F.struct("n_candidates", "source_count", "record").alias("_found"), F.col("_data_id").alias("_hit_id"))
     )
     bearing = hits.select("page_id", "node_ix", F.lit(True).alias("bearing"), F.struct("_hit_id", "_found").alias("hit"))
     linked = nearest(nodes, bearing, "bearing", payload="hit")
     own = marked.select("page_id", "node_ix", "_data_id", "_runtime_count")
-    out = (
+    facts = (
         linked.withColumns({"_above": F.col("nearest_bearing_hit._found"), "_above_id": F.col("nearest_bearing_hit._hit_id")})
         .join(own, ["page_id", "node_ix"], "left").join(hits.select("page_id", "node_ix", "_found"), ["page_id", "node_ix"], "left")
-        .join(pages, "page_id", "left")
+    )
+    out = (
+        join_page_facts(facts, pages, nodes, "left")
         .withColumns({"_runtime_count": F.coalesce("_runtime_count", F.lit(0)), "_class_marker": markers.class_marker()})
     )
     direct = _from_candidates(DIRECT, F.col("_data_id"), F.col("_runtime_count"), F.col("_found"))

@@ -16,6 +16,16 @@ def node_bucket(column: str = "node_ix") -> Column:
     return F.floor(F.col(column) / NODES_PER_BUCKET)
 
 
+def join_page_facts(rows: DataFrame, facts: DataFrame, nodes: DataFrame, how: str = "inner") -> DataFrame:
+    """`rows` (page_id, node_ix, …) with the columns of `facts`, which has one row per page.
+
+    Where Spark does not broadcast the facts, they are copied to every bucket of the page's `nodes`, so the rows of a page with a third of all
+    nodes are shuffled by (page_id, bucket) and meet in many tasks.
+    """
+    copies = nodes.select("page_id", node_bucket().alias("_bucket")).distinct().join(facts, "page_id")
+    return rows.withColumn("_bucket", node_bucket()).join(copies, ["page_id", "_bucket"], how).drop("_bucket")
+
+
 def running_totals(
     frame: DataFrame, keys: list[str], order: list[str | Column], bucket: Column, values: dict[str, Column], totals_of: dict[str, str] | None = None
 ) -> DataFrame:
