@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from llm.common import texts
 
-SMALLEST, LARGEST, BITS = 16, 1024, 5
+#: A run of one repeated word has no content-defined end.  The largest size is a multiple of most short periods, so its chunks are equal.
+SMALLEST, LARGEST, BITS = 16, 240, 5
 MIN_CHARS = 100
 _WINDOW = 16
 

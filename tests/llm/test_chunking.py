@@ -12,6 +12,11 @@ def naive_cuts(raw):
     gear = chunking._gear().tolist()
     ends, last = [], 0
     for i in range(1, len(raw)):
+        if i - last > chunking.LARGEST:
+            last += chunking.LARGEST
+            while raw[last] & 0xC0 == 0x80:
+                last -= 1
+            ends.append(last)
         rolled = sum(gear[raw[j]] << (i - 1 - j) for j in range(max(0, i - 16), i)) & 0xFFFF
         if rolled >> 11 == 0 and raw[i] & 0xC0 != 0x80 and i - last >= chunking.SMALLEST:
             ends.append(i)
