@@ -24,11 +24,19 @@ def module_state(enabled: Column, availability: Column) -> Column:
 
 
 def module_availability(elements: DataFrame, observations: DataFrame, modules: dict[str, str]) -> DataFrame:
-    """`modules` maps a module to the observation flag that enables it."""
+    """State of every module of a session; `modules` maps those that a flag enables to the observation's flag.
+
+    Geometry and computed styles are there as soon as one element is; readiness is always on and goes by the process states.
+    """
     flags = observations.select("session_id", "snapshot_id", *dict.fromkeys(modules.values()))
-    joined = flags.join(elements.select("snapshot_id", *[f"{m}_availability" for m in modules]), "snapshot_id", "left")
-    return joined.groupBy("session_id").agg(*[
+    joined = flags.join(elements.select("snapshot_id", F.lit(True).alias("_element"), *[f"{m}_availability" for m in modules]), "snapshot_id", "left")
+    measured = F.when(F.count("_element") > 0, "AVAILABLE").otherwise("INSUFFICIENT")
+    by_element = joined.groupBy("session_id").agg(measured.alias("geometry_module"), measured.alias("computed_styles_module"), *[
         module_state(F.col(flag), F.col(f"{module}_availability")).alias(f"{module}_module") for module, flag in modules.items()])
+    process = F.col("process_state")
+    ready = F.when(process.isin("STABLE", "UNSTABLE"), "AVAILABLE").when(process == "TIMEOUT", "PARTIAL").otherwise(process)
+    by_sample = observations.groupBy("session_id").agg(module_state(F.lit(True), ready).alias("capture_readiness_module"))
+    return by_element.join(by_sample, "session_id")
 
 
 def budget_totals(observations: DataFrame) -> DataFrame:

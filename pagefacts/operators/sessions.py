@@ -310,17 +310,20 @@ def image_readiness(images: DataFrame) -> DataFrame:
 
 
 def merge_sessions(sessions: DataFrame, capture_summaries: DataFrame, observations: DataFrame) -> DataFrame:
-    """Sessions after their captures: complete only when all are, latest environment wins."""
+    """Sessions after their captures: complete only when all are, latest environment wins, and so does the strongest page binding."""
     once = capture_summaries.groupBy("session_id", "snapshot_id").agg(F.max(F.struct("captured_at", "status")).alias("_s"))
     merged = once.groupBy("session_id").agg(
         F.count("*").alias("capture_count"), F.bool_and(F.col("_s.status") == "COMPLETE").alias("_all"), F.max("_s.captured_at").alias("last_captured_at"))
-    newest = observations.groupBy("session_id").agg(F.max(F.struct("captured_at", "snapshot_id", "user_agent", "reference_digest")).alias("_o"))
+    strength = F.array_position(F.array(*[F.lit(s) for s in ("UNMATCHED", "AMBIGUOUS", "PROBABLE", "EXACT")]), F.col("page_binding_state"))
+    newest = observations.groupBy("session_id").agg(
+        F.max(F.struct("captured_at", "snapshot_id", "user_agent", "reference_digest")).alias("_o"), F.max_by("page_binding_state", strength).alias("_strongest"))
     out = sessions.select("session_id", "status").join(merged, "session_id", "left").join(newest, "session_id", "left")
     facts = client_facts(F.col("_o.user_agent"))
     return out.select(
         "session_id", F.when(F.col("_all").isNull(), F.col("status")).when(F.col("_all"), "COMPLETE").otherwise("PARTIAL").alias("status"),
         F.coalesce("capture_count", F.lit(0)).alias("capture_count"), "last_captured_at",
-        F.when(F.col("_o").isNotNull(), facts["family"]).alias("browser_family"), F.col("_o.reference_digest").alias("reference_digest"))
+        F.when(F.col("_o").isNotNull(), facts["family"]).alias("browser_family"), F.when(F.col("_o").isNotNull(), facts["version"]).alias("browser_version"),
+        F.coalesce("_strongest", F.lit("UNMATCHED")).alias("source_binding_state"), F.col("_o.reference_digest").alias("reference_digest"))
 
 
 def capture_summaries(observations: DataFrame, elements: DataFrame, screenshots: DataFrame) -> DataFrame:

@@ -455,6 +455,7 @@ oi AS MATERIALIZED (SELECT session_id, snapshot_id, unnest(list_filter([CASE WHE
 _INDEX = ", ic AS MATERIALIZED (SELECT session_id, count(*) = count(DISTINCT observation_index) AS uniq, count(*) = count(DISTINCT observation_index) AND min(observation_index) = 0 AND max(observation_index) = count(*) - 1 AS cont FROM ob GROUP BY session_id)"
 _BEFORE = "EXISTS (SELECT 1 FROM ob e WHERE e.session_id = o.session_id AND (e.observation_index, e.snapshot_id) < (o.observation_index, o.snapshot_id) AND {})"
 _FAMILY = """CASE WHEN user_agent LIKE '%Edg/%' THEN 'Edge' WHEN user_agent LIKE '%Chrome/%' THEN 'Chrome' WHEN user_agent LIKE '%Firefox/%' THEN 'Firefox' WHEN user_agent LIKE '%Version/%Safari%' THEN 'Safari' ELSE 'Unknown' END"""
+_VERSION = f"""CASE {_FAMILY} WHEN 'Edge' THEN regexp_extract(user_agent, 'Edg/([0-9.]+)', 1) WHEN 'Chrome' THEN regexp_extract(user_agent, 'Chrome/([0-9.]+)', 1) WHEN 'Firefox' THEN regexp_extract(user_agent, 'Firefox/([0-9.]+)', 1) WHEN 'Safari' THEN regexp_extract(user_agent, 'Version/([0-9.]+)', 1) END"""
 
 
 def _rows(frame: str, keep: str, *items: tuple[str, str, str]) -> str:
@@ -470,8 +471,7 @@ ORACLES = {
   _when("incomplete_in_viewport > 0", "IMAGES_IN_VIEWPORT_INCOMPLETE"))} AS warning_codes FROM ob"""),
     "modal_counts": """SELECT CAST(c_nationkey AS BIGINT) AS page_id, count_if(v AND o_orderkey % 5 = 0) AS dialogs, count_if(v AND o_orderkey % 7 = 0) AS aria_modals, count_if(v AND (o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 4 = 0)) AS modal_count
   FROM (SELECT *, o_orderkey % 11 <> 0 AS v FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY 1""",
-    "client_mix": _observed(f"""SELECT {_FAMILY} AS family, CASE {_FAMILY} WHEN 'Edge' THEN regexp_extract(user_agent, 'Edg/([0-9.]+)', 1) WHEN 'Chrome' THEN regexp_extract(user_agent, 'Chrome/([0-9.]+)', 1) WHEN 'Firefox' THEN regexp_extract(user_agent, 'Firefox/([0-9.]+)', 1)
-  WHEN 'Safari' THEN regexp_extract(user_agent, 'Version/([0-9.]+)', 1) END AS version, CASE WHEN regexp_matches(lower(user_agent), 'tablet|ipad') THEN 'TABLET' WHEN regexp_matches(lower(user_agent), 'mobile|android|iphone') THEN 'MOBILE'
+    "client_mix": _observed(f"""SELECT {_FAMILY} AS family, {_VERSION} AS version, CASE WHEN regexp_matches(lower(user_agent), 'tablet|ipad') THEN 'TABLET' WHEN regexp_matches(lower(user_agent), 'mobile|android|iphone') THEN 'MOBILE'
   WHEN regexp_matches(lower(user_agent), 'windows|macintosh|linux|cros') THEN 'DESKTOP' ELSE 'UNKNOWN' END AS platform, count(*) AS n FROM ob GROUP BY ALL"""),
     "gate_modules": _observed("""SELECT oe.snapshot_id, i, CASE WHEN include_relationships THEN relationships_availability ELSE 'DISABLED' END AS relationships_availability,
   CASE WHEN include_interaction THEN interaction_availability ELSE 'DISABLED' END AS interaction_availability, CASE WHEN include_text THEN text_availability ELSE 'DISABLED' END AS text_availability FROM oe JOIN ob USING (snapshot_id)"""),
@@ -525,9 +525,9 @@ rs1 AS (SELECT *, n = 0 OR coalesce(lag(e) OVER w1 < 1500, false) AS seen, coale
 rr AS (SELECT *, seen AND ok AND coalesce(lag(ok, 1) OVER w2, false) AND coalesce(lag(ok, 2) OVER w2, false) AS run FROM rs1 WINDOW w2 AS (PARTITION BY capture_id ORDER BY n))"""),
     "image_readiness": _observed("""SELECT *, broken + pending + decode_failed + timed_out AS unresolved FROM (SELECT session_id, count(*) AS candidates, count_if(k % 3 <> 0 AND k % 5 > 0) AS loaded, count_if(k % 3 <> 0 AND k % 5 = 0) AS broken, count_if(k % 3 = 0 AND k % 4 = 1) AS decode_failed,
   count_if(k % 3 = 0 AND k % 4 <> 1 AND k % 2 = 0) AS timed_out, count_if(k % 3 = 0 AND k % 4 <> 1 AND k % 2 <> 0) AS pending FROM ob GROUP BY session_id)"""),
-    "merge_sessions": _observed(f"""SELECT session_id, CASE WHEN c.n IS NULL THEN status WHEN c.a THEN 'COMPLETE' ELSE 'PARTIAL' END AS status, coalesce(c.n, 0) AS capture_count, strftime(c.t, '%Y-%m-%d %H:%M:%S') AS last_captured_at, o.f AS browser_family, o.r AS reference_digest
-  FROM ses LEFT JOIN (SELECT session_id, count(DISTINCT snapshot_id) AS n, bool_and(status = 'COMPLETE') AS a, max(captured_at) AS t FROM cap GROUP BY ALL) c USING (session_id)
-  LEFT JOIN (SELECT session_id, {_FAMILY} AS f, reference_digest AS r FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY captured_at DESC, snapshot_id DESC) AS rn FROM ob) WHERE rn = 1) o USING (session_id)"""),
+    "merge_sessions": _observed(f"""SELECT session_id, CASE WHEN c.n IS NULL THEN status WHEN c.a THEN 'COMPLETE' ELSE 'PARTIAL' END AS status, coalesce(c.n, 0) AS capture_count, strftime(c.t, '%Y-%m-%d %H:%M:%S') AS last_captured_at, o.f AS browser_family, o.v AS browser_version, coalesce(sb.s, 'UNMATCHED') AS source_binding_state, o.r AS reference_digest
+  FROM ses LEFT JOIN (SELECT session_id, CASE max(CASE page_binding_state WHEN 'EXACT' THEN 3 WHEN 'PROBABLE' THEN 2 WHEN 'AMBIGUOUS' THEN 1 ELSE 0 END) WHEN 3 THEN 'EXACT' WHEN 2 THEN 'PROBABLE' WHEN 1 THEN 'AMBIGUOUS' ELSE 'UNMATCHED' END AS s FROM ob GROUP BY ALL) sb USING (session_id) LEFT JOIN (SELECT session_id, count(DISTINCT snapshot_id) AS n, bool_and(status = 'COMPLETE') AS a, max(captured_at) AS t FROM cap GROUP BY ALL) c USING (session_id)
+  LEFT JOIN (SELECT session_id, {_FAMILY} AS f, {_VERSION} AS v, reference_digest AS r FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY captured_at DESC, snapshot_id DESC) AS rn FROM ob) WHERE rn = 1) o USING (session_id)"""),
     "capture_summaries": _observed(f"""SELECT session_id, snapshot_id, strftime(captured_at, '%Y-%m-%d %H:%M:%S') AS captured_at, inner_width, inner_height, e.n AS element_count, e.o AS overflow_count, {', '.join(f'e.{s} AS n_{s.lower()}' for s in _STATES)},
   EXISTS (SELECT 1 FROM shot WHERE shot.snapshot_id = ob.snapshot_id) AS screenshot_available, completeness AS completeness_status, reason_text AS reasons, CASE status WHEN 'AVAILABLE' THEN 'COMPLETE' ELSE 'PARTIAL' END AS status
   FROM ob JOIN (SELECT snapshot_id, count(*) AS n, count_if(overflowing) AS o, {', '.join(f"count_if(binding_state = '{s}') AS {s}" for s in _STATES)} FROM oe GROUP BY ALL) e USING (snapshot_id)"""),
@@ -554,7 +554,9 @@ rr AS (SELECT *, seen AND ok AND coalesce(lag(ok, 1) OVER w2, false) AND coalesc
   LEFT JOIN (SELECT session_id, count(DISTINCT t) AS n FROM (SELECT session_id, {_DIAGNOSTIC} AS t FROM dg WHERE scope = 'SEMANTIC' AND severity = 'ERROR') GROUP BY ALL) d USING (session_id)""", _SHOTS),
     "module_availability": _observed("SELECT session_id, " + ", ".join(
         f"CASE WHEN NOT bool_or({flag}) THEN 'DISABLED' WHEN bool_or({flag} AND {m}_availability = 'ERROR') THEN 'ERROR' WHEN bool_or({flag} AND {m}_availability = 'UNAVAILABLE') THEN 'UNAVAILABLE' WHEN bool_or({flag} AND {m}_availability IN ('PARTIAL', 'INSUFFICIENT')) THEN 'PARTIAL' ELSE 'AVAILABLE' END AS {m}_module"
-        for m, flag in MODULES.items()) + " FROM ob JOIN (SELECT snapshot_id, " + ", ".join(f"{m}_availability" for m in MODULES) + " FROM oe) USING (snapshot_id) GROUP BY session_id"),
+        for m, flag in MODULES.items()) + """, 'AVAILABLE' AS geometry_module, 'AVAILABLE' AS computed_styles_module, any_value(ready) AS capture_readiness_module FROM ob JOIN (SELECT snapshot_id, """
+        + ", ".join(f"{m}_availability" for m in MODULES) + """ FROM oe) USING (snapshot_id) JOIN (SELECT session_id, CASE WHEN bool_or(process_state = 'ERROR') THEN 'ERROR'
+          WHEN bool_or(process_state IN ('TIMEOUT', 'INSUFFICIENT')) THEN 'PARTIAL' ELSE 'AVAILABLE' END AS ready FROM ob GROUP BY session_id) USING (session_id) GROUP BY session_id"""),
     "binding_coverage": _observed(f"""SELECT session_id, p.* EXCLUDE (session_id, imp), e.* EXCLUDE (session_id), imp AS source_context_imported, CASE WHEN imp THEN selected_document_id END AS selected_document_id,
   CASE WHEN NOT imp OR selected_document_id IS NULL THEN 'INSUFFICIENT' WHEN elements_ambiguous > 0 THEN 'PARTIAL' ELSE 'AVAILABLE' END AS availability, elements_total - elements_unmatched AS elements_with_evidence
   FROM (SELECT session_id, count(*) AS pages_total, {', '.join(f"count_if(page_binding_state = '{s}') AS pages_{s.lower()}" for s in _STATES)}, bool_or(reference_digest IS NOT NULL) AS imp FROM ob GROUP BY ALL) p
