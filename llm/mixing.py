@@ -25,10 +25,9 @@ def tokens_of(data: str | Column) -> Column:
 
 def host_totals(pages: DataFrame, host: str = "host", tokens: str = "tokens") -> DataFrame:
     """`host`, `pages`, `tokens`, `share` of each host; a null host is a host of its own.  Partial sums come before the shuffle."""
+    whole = pages.agg(F.sum(tokens)).first()[0] or 1
     totals = pages.groupBy(host).agg(F.count("*").alias("pages"), F.sum(tokens).alias("tokens"))
-    whole = totals.agg(F.sum("tokens").alias("all_tokens"))
-    return totals.join(F.broadcast(whole)).select(
-        F.col(host).alias("host"), "pages", "tokens", (F.col("tokens") / F.greatest(F.lit(1), F.col("all_tokens"))).alias("share"))
+    return totals.select(F.col(host).alias("host"), "pages", "tokens", (F.col("tokens") / F.lit(whole)).alias("share"))
 
 
 def _of_exponent(totals: DataFrame, exponent: float) -> tuple[float, float, float]:
