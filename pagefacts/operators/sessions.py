@@ -326,15 +326,17 @@ def merge_sessions(sessions: DataFrame, capture_summaries: DataFrame, observatio
         F.coalesce("_strongest", F.lit("UNMATCHED")).alias("source_binding_state"), F.col("_o.reference_digest").alias("reference_digest"))
 
 
-def capture_summaries(observations: DataFrame, elements: DataFrame, screenshots: DataFrame) -> DataFrame:
-    """One summary row per observation."""
+def capture_summaries(observations: DataFrame, elements: DataFrame, screenshots: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """One summary row per observation.  An element overflows by itself or by leaving a clipping ancestor."""
     states = [F.count_if(F.col("binding_state") == s).alias(f"n_{s.lower()}") for s in fixed.BINDING_STATES]
-    rolled = elements.groupBy("snapshot_id").agg(F.count("*").alias("element_count"), F.count_if("overflowing").alias("overflow_count"), *states)
+    rolled = elements.groupBy("snapshot_id").agg(F.count("*").alias("element_count"), F.count_if(F.col("overflowing") | F.col("clipped")).alias("overflow_count"), *states)
     shots = screenshots.select("snapshot_id").distinct().withColumn("_shot", F.lit(True))
-    out = observations.join(rolled, "snapshot_id", "left").join(shots, "snapshot_id", "left")
-    counts = ["element_count", "overflow_count", *[f"n_{s.lower()}" for s in fixed.BINDING_STATES]]
+    said = diagnostics.groupBy("snapshot_id").agg(F.count("*").alias("diagnostic_count"))
+    out = observations.join(rolled, "snapshot_id", "left").join(shots, "snapshot_id", "left").join(said, "snapshot_id", "left")
+    counts = ["element_count", "overflow_count", "diagnostic_count", *[f"n_{s.lower()}" for s in fixed.BINDING_STATES]]
     return out.select(
-        "session_id", "snapshot_id", "captured_at", "inner_width", "inner_height", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+        "session_id", "snapshot_id", "captured_at", "inner_width", "inner_height", "page_fingerprint", "page_binding_state",
+        F.col("truncated").alias("truncated_branch_count"), *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
         F.col("_shot").isNotNull().alias("screenshot_available"), F.col("completeness").alias("completeness_status"), "reasons",
         F.when(F.col("status") == "AVAILABLE", "COMPLETE").otherwise("PARTIAL").alias("status"))
 

@@ -148,6 +148,7 @@ SESSION_COLUMNS = {
     "confirmation_state": "CASE WHEN user_id % 9 = 0 THEN NULL WHEN user_id % 5 = 1 THEN 'NOT_CONFIRMED' ELSE 'CONFIRMED' END",
 }
 ELEMENT_COLUMNS = {
+    "clipped": "(k + i) % 13 = 0",
     "binding_state": "CASE (event_id + i) % 4 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'PROBABLE' WHEN 2 THEN 'AMBIGUOUS' ELSE 'UNMATCHED' END",
     "relationships_availability": "CASE WHEN (event_id + i) % 331 = 0 THEN 'ERROR' WHEN (event_id + i) % 237 = 0 THEN 'UNAVAILABLE' WHEN (event_id + i) % 117 = 0 THEN 'PARTIAL' ELSE 'AVAILABLE' END",
     "interaction_availability": "CASE WHEN (event_id + i) % 411 = 0 THEN 'INSUFFICIENT' ELSE 'AVAILABLE' END",

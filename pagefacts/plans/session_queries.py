@@ -197,7 +197,7 @@ def merge_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sessions.capture_summaries(derive.observations(spark, sf_dir), derive.observed_elements(spark, sf_dir), derive.screenshots(spark, sf_dir))
+    out = sessions.capture_summaries(derive.observations(spark, sf_dir), derive.observed_elements(spark, sf_dir), derive.screenshots(spark, sf_dir), derive.diagnostics(spark, sf_dir))
     return out.withColumns({"captured_at": _stamp("captured_at"), "reasons": joined("reasons")})
 
 
@@ -528,9 +528,10 @@ rr AS (SELECT *, seen AND ok AND coalesce(lag(ok, 1) OVER w2, false) AND coalesc
     "merge_sessions": _observed(f"""SELECT session_id, CASE WHEN c.n IS NULL THEN status WHEN c.a THEN 'COMPLETE' ELSE 'PARTIAL' END AS status, coalesce(c.n, 0) AS capture_count, strftime(c.t, '%Y-%m-%d %H:%M:%S') AS last_captured_at, o.f AS browser_family, o.v AS browser_version, coalesce(sb.s, 'UNMATCHED') AS source_binding_state, o.r AS reference_digest
   FROM ses LEFT JOIN (SELECT session_id, CASE max(CASE page_binding_state WHEN 'EXACT' THEN 3 WHEN 'PROBABLE' THEN 2 WHEN 'AMBIGUOUS' THEN 1 ELSE 0 END) WHEN 3 THEN 'EXACT' WHEN 2 THEN 'PROBABLE' WHEN 1 THEN 'AMBIGUOUS' ELSE 'UNMATCHED' END AS s FROM ob GROUP BY ALL) sb USING (session_id) LEFT JOIN (SELECT session_id, count(DISTINCT snapshot_id) AS n, bool_and(status = 'COMPLETE') AS a, max(captured_at) AS t FROM cap GROUP BY ALL) c USING (session_id)
   LEFT JOIN (SELECT session_id, {_FAMILY} AS f, {_VERSION} AS v, reference_digest AS r FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY captured_at DESC, snapshot_id DESC) AS rn FROM ob) WHERE rn = 1) o USING (session_id)"""),
-    "capture_summaries": _observed(f"""SELECT session_id, snapshot_id, strftime(captured_at, '%Y-%m-%d %H:%M:%S') AS captured_at, inner_width, inner_height, e.n AS element_count, e.o AS overflow_count, {', '.join(f'e.{s} AS n_{s.lower()}' for s in _STATES)},
+    "capture_summaries": _observed(f"""SELECT session_id, snapshot_id, strftime(captured_at, '%Y-%m-%d %H:%M:%S') AS captured_at, inner_width, inner_height, page_fingerprint, page_binding_state, truncated AS truncated_branch_count, e.n AS element_count, e.o AS overflow_count, coalesce(d.n, 0) AS diagnostic_count, {', '.join(f'e.{s} AS n_{s.lower()}' for s in _STATES)},
   EXISTS (SELECT 1 FROM shot WHERE shot.snapshot_id = ob.snapshot_id) AS screenshot_available, completeness AS completeness_status, reason_text AS reasons, CASE status WHEN 'AVAILABLE' THEN 'COMPLETE' ELSE 'PARTIAL' END AS status
-  FROM ob JOIN (SELECT snapshot_id, count(*) AS n, count_if(overflowing) AS o, {', '.join(f"count_if(binding_state = '{s}') AS {s}" for s in _STATES)} FROM oe GROUP BY ALL) e USING (snapshot_id)"""),
+  FROM ob JOIN (SELECT snapshot_id, count(*) AS n, count_if(overflowing OR clipped) AS o, {', '.join(f"count_if(binding_state = '{s}') AS {s}" for s in _STATES)} FROM oe GROUP BY ALL) e USING (snapshot_id)
+  LEFT JOIN (SELECT snapshot_id, count(*) AS n FROM dg GROUP BY ALL) d USING (snapshot_id)"""),
     "semantic_completeness": _observed("""SELECT session_id, array_to_string(list_sort(coalesce(l, [])), ',') AS reasons, CASE WHEN len(coalesce(l, [])) = 0 THEN 'COMPLETE' ELSE 'PARTIAL' END AS status FROM (SELECT session_id, list(DISTINCT code) FILTER (scope = 'SEMANTIC') AS l FROM dg GROUP BY session_id)"""),
     "feed_readiness": _observed(f"""SELECT session_id, state, blocking_codes, coalesce(n, 0) AS observation_count, coalesce(widths, 0) AS distinct_viewport_widths, coalesce(profiles, '') AS profiles,
   array_to_string(list_filter([CASE WHEN NOT coalesce(pd, false) THEN 'DESKTOP' END, CASE WHEN NOT coalesce(pt, false) THEN 'TABLET' END, CASE WHEN NOT coalesce(pmob, false) THEN 'MOBILE' END], lambda x: x IS NOT NULL), ',') AS missing_profiles,
