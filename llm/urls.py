@@ -73,10 +73,15 @@ def rule_of(rules: Sequence[tuple[str, str]], host: str | Column = "host", path:
 
 
 def _grams(text: Column, mark: str) -> Column:
+    """Distinct n-grams; characters are split off once, so a long path costs its length."""
     padded = F.concat(F.lit("^"), text, F.lit("$"))
-    parts = [F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i, n=n: F.concat(
-        F.lit(mark), F.substring(padded, i, F.lit(n))))).otherwise(F.array().cast("array<string>")) for n in GRAMS]
-    return F.array_distinct(F.flatten(F.array(*parts)))
+
+    def of_size(chars: Column, n: int) -> Column:
+        joined = F.transform(F.sequence(F.lit(0), F.length(padded) - n), lambda i: F.concat(F.lit(mark), *(F.get(chars, i + k) for k in range(n))))
+        return F.when(F.length(padded) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    found = F.transform(F.array(F.split(padded, "")), lambda chars: F.flatten(F.array(*(of_size(chars, n) for n in GRAMS))))
+    return F.array_distinct(F.element_at(found, 1))
 
 
 def _featured(locations: DataFrame) -> DataFrame:
