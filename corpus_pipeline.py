@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from llm import lines, mixing, packing, queries, simhash
 from llm.common import checkpointed, shared_folder
 
+#: `op4_line_classes` takes one edit, as its SQL says; the stage also finds lines with a replaced word.
+LINE_EDITS = 2
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -27,7 +29,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first line of each class stays, of all documents; `n_chars` follows the text.  No document goes."""
     rows = docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("data"), "lang", "source", F.col("n_chars").alias("before"))
-    left = lines.without_repeated_lines(rows, lines.line_classes(_page_texts(docs)))
+    left = lines.without_repeated_lines(rows, lines.line_classes(_page_texts(docs), max_edits=LINE_EDITS))
     length = F.coalesce(F.length("data").cast("long"), F.col("before"))
     return left.select(F.col("page_id").alias("doc_id"), F.col("data").alias("text"), "lang", "source", length.alias("n_chars"))
 

@@ -42,6 +42,13 @@ def test_stages_step_by_step(spark, tmp_path):
     assert cp.run(spark, SF).count() == len(pieces)
 
 
+def test_line_stage_drops_a_line_with_a_replaced_word(spark):
+    line = "a line of some length that goes on to lladoque de ta {} ciie co and then ends"
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, line.format(word), "en", "s", 0) for i, word in enumerate(("de", "su"))], schema)
+    assert {r.doc_id: r.text for r in cp.line_dedup(spark, docs, SF).collect()} == {0: line.format("de"), 1: ""}
+
+
 def test_stages_take_odd_and_empty_tables(spark):
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
     rows = [(None, None, None, None, None), (1, None, "en", None, 0), (2, "", None, "s", 0), (3, "some text\nsome text", "en", "s", 19), (3, "some text\nsome text", "en", "s", 19)]
