@@ -93,6 +93,12 @@ def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.withColumnsRenamed({"page_id": "doc_id", "first_page_id": "first_doc_id"})
 
 
+def op7_repeated_spans_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `op7_repeated_spans`, with spans to their true ends and the length asked of those."""
+    spans = chunking.extended_spans(_page_texts(_documents(spark, sf_dir)))
+    return spans.withColumnsRenamed({"page_id": "doc_id", "first_page_id": "first_doc_id"})
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.main_texts(_pages(spark, sf_dir))
 
@@ -120,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixture": op5_source_mixture,
     "op6_packed_sequences": op6_packed_sequences,
     "op7_repeated_spans": op7_repeated_spans,
+    "op7_repeated_spans_extended": op7_repeated_spans_extended,
     "op8_main_text": op8_main_text,
     "op9_bm25_top_pages": op9_bm25_top_pages,
     "op10_url_verdicts": op10_url_verdicts,

@@ -84,3 +84,27 @@ def test_passages_of_fifty_words_are_found(spark):
     rows = [(i, prose(60) + " " + passages[i // 2] + " " + prose(70)) for i in range(80)] + [(i, prose(200)) for i in range(80, 160)]
     found = {r.page_id for r in chunking.repeated_spans(spark.createDataFrame(rows, "page_id long, data string")).collect()}
     assert found <= set(range(80)) and len(found) >= 78
+
+
+def test_extended_spans_reach_the_ends_of_short_passages(spark):
+    random_ = random.Random(9)
+    prose = lambda n: "".join(random_.choices("abcdefghij é", k=n))
+    passages = [prose(254) for _ in range(150)]
+    rows = [(i, prose(300) + "<" + passages[i // 2] + ">" + prose(300)) for i in range(298)] + [(298, "(" + passages[149] + ")"), (299, passages[149])]
+    texts = spark.createDataFrame(rows, "page_id long, data string")
+    plain = {r.page_id for r in chunking.repeated_spans(texts).collect()}
+    spans = chunking.extended_spans(texts, beside=8)
+    found = {r.page_id: r for r in spans.collect()}
+    assert plain < set(found) and len(found) >= 296
+    text = dict(rows)
+    for page, span in found.items():
+        assert passages[page // 2] in text[page][span.start:span.start + span.n_chars] and span.n_chars <= 256 + 8 and span.kept == (page % 2 == 0)
+    left = {r.page_id: r.data for r in chunking.without_repeats(texts, spans).collect()}
+    assert all(passages[p // 2] not in left[p] and len(left[p]) <= 602 for p in found if p % 2) and all(left[p] == text[p] for p in found if p % 2 == 0)
+
+
+def test_extended_spans_of_odd_texts(odd_texts, page_texts):
+    found = chunking.extended_spans(odd_texts).toPandas()
+    assert {4, 9} <= set(found.page_id) <= {4, 9} and chunking.extended_spans(page_texts([])).count() == 0
+    left = chunking.without_repeats(odd_texts, chunking.extended_spans(odd_texts)).toPandas().set_index("page_id").data
+    assert len(left) == 12 and len(left[4]) >= 44 and left[9] == "more" and left[8] == "x"
