@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import chunking, density, lines, mixing, packing, quality, search, simhash, syncmers, urls
+from llm import chunking, density, lines, mixing, packing, prefix_trie, quality, search, simhash, syncmers, urls
 from llm.common import checkpointed, texts
 from llm.ordering import ring, ring_window
 
@@ -118,6 +118,21 @@ def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_pages(spark, sf_dir), URL_RULES, urls.train(labelled))
 
 
+def op13_conversation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix tree of rebuilt conversations: a conversation stands for a page, a turn for a segment."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        F.col("conv_id").alias("page_id"), F.col("turn").alias("position"), F.col("role").alias("kind"), F.col("text").alias("segment"))
+    ranked = checkpointed(prefix_trie.ranked_segments(turns))
+    taken = F.crc32(F.col("page_id").cast("string")) % 6
+    pages = turns.where("page_id IS NOT NULL").select("page_id").distinct().withColumns({"_taken": taken, "_base": F.col("page_id") - F.col("page_id") % 100})
+    heads = ranked.where("depth <= 5").select(F.col("page_id").alias("_base"), F.col("depth").cast("long").alias("position"), "kind", "segment")
+    given = pages.join(heads, "_base").where("position <= _taken").select("page_id", "position", "kind", "segment")
+    # A conversation's own turns come after all those given, so they keep their place or follow with a gap.
+    own = ranked.where(F.col("depth") > taken).select("page_id", F.col("depth").cast("long").alias("position"), "kind", "segment")
+    tree = prefix_trie.prefix_tree(pages, given.unionByName(own))
+    return tree.withColumnsRenamed({"page_id": "conv_id", "parent_page_id": "parent_conv_id", "n_pages": "n_convs", "saved_chars": "saved_tokens"})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
     "op2_quality_scores": op2_quality_scores,
@@ -130,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_bm25_top_pages": op9_bm25_top_pages,
     "op10_url_verdicts": op10_url_verdicts,
+    "op13_conversation_tree": op13_conversation_tree,
 }
 
 LINE_CLASSES_SQL = r"""
@@ -210,9 +226,49 @@ SELECT query_doc_id, CAST(rank AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_doc_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
 """
 
+CONVERSATION_TREE_SQL = r"""
+WITH turn AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), conv AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ord(c))), lambda crc, byte:
+           list_reduce(list_concat([xor(crc, byte)], [1, 2, 3, 4, 5, 6, 7, 8]), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS crc
+  FROM (SELECT DISTINCT conv_id FROM turn)
+), taken AS (
+  SELECT conv_id, base, xor(crc, 4294967295) % 6 AS h FROM conv
+), rebuilt AS (
+  SELECT t.conv_id, place, role, text FROM taken t JOIN turn ON turn.conv_id = t.base WHERE place <= h
+  UNION ALL SELECT turn.conv_id, place, role, text FROM turn JOIN taken t USING (conv_id) WHERE place > h
+), step AS (
+  SELECT conv_id, row_number() OVER w AS depth, count(*) OVER (PARTITION BY conv_id) AS len, length(text) AS chars,
+         list({'role': role, 'text': text}) OVER (w ROWS UNBOUNDED PRECEDING) AS prefix
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY place)
+  UNION ALL SELECT conv_id, 0, coalesce(len, 0), 0, [] FROM taken LEFT JOIN (SELECT conv_id, count(*) AS len FROM rebuilt GROUP BY conv_id) USING (conv_id)
+), node AS (
+  SELECT depth, prefix, min(conv_id) AS node, count(*) AS n_convs, max(len) = depth AS leaf, max(chars) AS chars,
+         sha256(coalesce(string_agg(CASE WHEN len = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM step GROUP BY depth, prefix
+), placed AS (
+  SELECT step.conv_id, node.* FROM step JOIN node USING (depth, prefix)
+), owned AS (
+  SELECT conv_id, depth, node, sum(CASE WHEN conv_id = node AND leaf THEN 1 ELSE 0 END) OVER w AS leaves,
+         sum(CASE WHEN conv_id = node THEN (n_convs - 1) * chars ELSE 0 END) OVER w AS saved, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent
+  FROM placed WINDOW w AS (PARTITION BY conv_id ORDER BY depth DESC)
+), below AS (
+  SELECT node, depth, min(parent) AS parent, sum(leaves) AS n_leaves, sum(saved) AS saved_tokens FROM owned GROUP BY node, depth
+), child AS (
+  SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM below GROUP BY ALL
+)
+SELECT node AS conv_id, CAST(depth AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM node JOIN below USING (node, depth) LEFT JOIN child USING (node, depth)
+"""
+
 #: The others need a tokenizer, XXH64, a rolling hash, a trained model or the tree of a page: tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op4_line_classes": LINE_CLASSES_SQL,
     "op5_source_mixture": SOURCE_MIXTURE_SQL,
     "op9_bm25_top_pages": TOP_PAGES_SQL,
+    "op13_conversation_tree": CONVERSATION_TREE_SQL,
 }
