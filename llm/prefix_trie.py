@@ -80,12 +80,11 @@ def _prefix_digests(ranked: DataFrame) -> DataFrame:
                          *(F.col(n).bitwiseXOR(F.coalesce(f"_carried{n}", F.lit(0))).alias(n) for n in names))
 
 
-def _ends_digests(ends: DataFrame) -> DataFrame:
+def _ends_digests(ends: DataFrame, bounds: list) -> DataFrame:
     """`node`, `depth`, `ends_sha256`: SHA-256 of the decimal page ids that end at a node, ascending and comma-joined.
 
-    Ids are joined within ranges of ids first; the ranges of a node then stream through one running digest.
+    Ids are joined within ranges of ids first, cut at `bounds`; the ranges of a node then stream through one running digest.
     """
-    bounds = quantile_bounds(ends, "page_id", 4 * int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pieces = ends.withColumn("_range", range_of("page_id", bounds) if bounds else F.lit(0)).groupBy("node", "depth", "_range").agg(
         F.array_join(F.sort_array(F.collect_list("page_id")), ",").alias("piece"))
 
@@ -181,13 +180,12 @@ def _settled(rows: list[tuple]) -> pa.RecordBatch:
 def subtree_totals(nodes: DataFrame, members: DataFrame, local_nodes: int = LOCAL_NODES) -> DataFrame:
     """`node`, `depth`, `n_leaves`, `saved_chars` of each subtree, by centroid decomposition.
 
-    `nodes`: `node`, `depth`, `parent` (the parent's node; null at a root), `load` (any positive weight, summed over the subtree), `leaf`, `saved`.
+    `nodes`: `node`, `depth`, `parent` (the parent's node; null at a root), `load` (any positive weight, summed over the subtree), `leaf`, `saved`, and
+    `top`, `top_depth`, which name the component: one name for all, at first.
     `members`: `page_id`, `depth`, `node`, `parent` of each page on its way down, which tells a node's ancestor at a depth.
     """
     none = F.lit(0).cast("long")
-    # The first component is the whole tree; its name is only a name.
-    state = nodes.select("node", "depth", "parent", none.alias("top"), F.lit(-1).alias("top_depth"), "load", "leaf", "saved",
-                         none.alias("more_leaves"), none.alias("more_saved"))
+    state = nodes.select("node", "depth", "parent", "top", "top_depth", "load", "leaf", "saved", none.alias("more_leaves"), none.alias("more_saved"))
     small, finished = [], []
     steps = members.select(F.col("page_id").alias("node"), F.col("depth").alias("_step_depth"), F.col("node").alias("_step"), F.col("parent").alias("_step_parent"))
     while True:
@@ -201,7 +199,7 @@ def subtree_totals(nodes: DataFrame, members: DataFrame, local_nodes: int = LOCA
         lowest = F.max(F.when(F.col("_heavy"), F.struct("depth", "node", "load")))
         centroids = large.groupBy(*key).agg(lowest.alias("_c")).select(
             *key, F.col("_c.node").alias("_node"), F.col("_c.depth").alias("_depth"), F.col("_c.load").alias("_load"))
-        split = large.join(checkpointed(centroids), key).withColumns({
+        split = large.join(centroids, key).withColumns({
             "_is": (F.col("node") == F.col("_node")) & (F.col("depth") == F.col("_depth")), "_step_depth": F.col("_depth") + 1})
         deeper = split.join(steps, ["node", "_step_depth"], "left").withColumn(
             "_below", F.coalesce((F.col("depth") >= F.col("_step_depth")) & (F.col("_step_parent") == F.col("_node")), F.lit(False)))
@@ -239,31 +237,37 @@ def prefix_tree(pages: DataFrame, segments: DataFrame, local_nodes: int = LOCAL_
     columns are not read.
     """
     pages = checkpointed(pages.where("page_id IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id")).distinct())
-    steps = checkpointed(_prefix_digests(ranked_segments(segments.join(pages, "page_id", "left_semi"))))
+    return tree_of_ranked(pages, ranked_segments(segments.join(pages, "page_id", "left_semi")), local_nodes)
+
+
+def tree_of_ranked(pages: DataFrame, ranked: DataFrame, local_nodes: int = LOCAL_NODES) -> DataFrame:
+    """`prefix_tree` of distinct `pages` and segments in the form of `ranked_segments`."""
+    steps = checkpointed(_prefix_digests(ranked))
     prefix = ["depth", "_a", "_b"]
     nodes = checkpointed(steps.groupBy(*prefix).agg(
         F.min("page_id").alias("node"), F.count("*").alias("n_pages"), F.max("chars").alias("chars"),
         F.sum(F.col("n_segments") - F.col("depth") + 1).alias("load"), (F.max("n_segments") == F.col("depth")).alias("_childless")))
     whole = pages.agg(F.min("page_id").alias("node"), F.count("*").alias("n_pages")).first()
-    below = steps.agg(F.count("*").alias("n"), F.sum(F.col("n_segments") - F.col("depth") + 1).alias("load")).first()
+    below = nodes.agg(F.count("*").alias("n"), F.sum(F.when(F.col("depth") == 1, F.col("load"))).alias("load")).first()
     root = pages.sparkSession.createDataFrame(
         [(whole.node, 0, whole.n_pages, 0, (below.load or 0) + whole.n_pages, below.n == 0, None)][:whole.n_pages],
         "node long, depth int, n_pages long, chars int, load long, _childless boolean, parent long")
-    ways = checkpointed(steps.join(nodes.select(*prefix, "node"), prefix).select("page_id", "depth", "n_segments", "node"))
+    ways = steps.join(nodes.select(*prefix, "node"), prefix).select("page_id", "depth", "n_segments", "node")
     above = ways.select("page_id", (F.col("depth") + 1).alias("depth"), F.col("node").alias("parent"))
     first = F.lit(whole.node).cast("long")
     members = checkpointed(ways.join(above, ["page_id", "depth"], "left").withColumn("parent", F.when(F.col("depth") == 1, first).otherwise(F.col("parent"))))
     named = nodes.select("node", "depth", "n_pages", "chars", "load", "_childless").join(
         members.select(F.col("page_id").alias("node"), "depth", "parent"), ["node", "depth"]).unionByName(root)
-    named = checkpointed(named)
-    weighed = named.select("node", "depth", "parent", "load", F.col("_childless").cast("long").alias("leaf"),
+    named = checkpointed(named.withColumns({"top": F.lit(0).cast("long"), "top_depth": F.lit(-1)}))
+    weighed = named.select("node", "depth", "parent", "top", "top_depth", "load", F.col("_childless").cast("long").alias("leaf"),
                            ((F.col("n_pages") - 1) * F.col("chars")).alias("saved"))
     totals = subtree_totals(weighed, members, local_nodes)
     children = named.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node"), (F.col("depth") - 1).alias("depth")).agg(F.count("*").alias("n_children"))
-    short = pages.join(steps.select("page_id").distinct(), "page_id", "left_anti").select(first.alias("node"), F.lit(0).alias("depth"), "page_id")
-    ends = checkpointed(ways.where("depth = n_segments").select("node", "depth", "page_id").unionByName(short))
+    short = pages.join(members.where("depth = 1").select("page_id"), "page_id", "left_anti").select(first.alias("node"), F.lit(0).alias("depth"), "page_id")
+    ends = members.where("depth = n_segments").select("node", "depth", "page_id").unionByName(short)
+    bounds = quantile_bounds(pages, "page_id", 4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = ["node", "depth"]
-    out = named.join(totals, key).join(children, key, "left").join(_ends_digests(ends), key, "left")
+    out = named.join(totals, key).join(children, key, "left").join(_ends_digests(ends, bounds), key, "left")
     return out.select(
         F.col("node").alias("page_id"), F.col("depth").cast("long").alias("depth"), F.col("parent").alias("parent_page_id"), "n_pages",
         F.coalesce("n_children", F.lit(0)).alias("n_children"), "n_leaves", "saved_chars", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))

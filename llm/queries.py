@@ -123,13 +123,16 @@ def op13_conversation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
         F.col("conv_id").alias("page_id"), F.col("turn").alias("position"), F.col("role").alias("kind"), F.col("text").alias("segment"))
     ranked = checkpointed(prefix_trie.ranked_segments(turns))
-    taken = F.crc32(F.col("page_id").cast("string")) % 6
-    pages = turns.where("page_id IS NOT NULL").select("page_id").distinct().withColumns({"_taken": taken, "_base": F.col("page_id") - F.col("page_id") % 100})
-    heads = ranked.where("depth <= 5").select(F.col("page_id").alias("_base"), F.col("depth").cast("long").alias("position"), "kind", "segment")
-    given = pages.join(heads, "_base").where("position <= _taken").select("page_id", "position", "kind", "segment")
-    # A conversation's own turns come after all those given, so they keep their place or follow with a gap.
-    own = ranked.where(F.col("depth") > taken).select("page_id", F.col("depth").cast("long").alias("position"), "kind", "segment")
-    tree = prefix_trie.prefix_tree(pages, given.unionByName(own))
+    lengths = ranked.where("depth = 1").select("page_id", F.col("n_segments").alias("_own"))
+    sized = lengths.withColumns({"_taken": F.crc32(F.col("page_id").cast("string")) % 6, "_base": F.col("page_id") - F.col("page_id") % 100}).join(
+        lengths.select(F.col("page_id").alias("_base"), F.col("_own").alias("_there")), "_base", "left")
+    sized = checkpointed(sized.withColumn("_given", F.least("_taken", F.coalesce("_there", F.lit(0)))).select(
+        "page_id", "_base", "_taken", "_given", (F.col("_given") + F.greatest(F.col("_own") - F.col("_taken"), F.lit(0))).cast("int").alias("n_segments")))
+    columns = ("page_id", "depth", "kind", "segment", "n_segments")
+    heads = ranked.where("depth <= 5").select(F.col("page_id").alias("_base"), "depth", "kind", "segment")
+    given = sized.join(heads, "_base").where("depth <= _given").select(*columns)
+    own = ranked.drop("n_segments").join(sized, "page_id").where("depth > _taken").withColumn("depth", (F.col("depth") - F.col("_taken") + F.col("_given")).cast("int"))
+    tree = prefix_trie.tree_of_ranked(sized.select("page_id"), given.unionByName(own.select(*columns)))
     return tree.withColumnsRenamed({"page_id": "conv_id", "parent_page_id": "parent_conv_id", "n_pages": "n_convs", "saved_chars": "saved_tokens"})
 
 
