@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import chunking, density, lines, mixing, packing, prefix_trie, quality, search, simhash, syncmers, urls
+from llm import chunking, density, lines, mixing, nearest, negatives, packing, prefix_trie, quality, search, simhash, syncmers, urls
 from llm.common import checkpointed, texts
 from llm.ordering import ring, ring_window
 
@@ -118,6 +118,22 @@ def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_pages(spark, sf_dir), URL_RULES, urls.train(labelled))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector stands for an element, its label for the kind; every seventh label is moved on by one."""
+    elements = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").alias("element_ref"), F.col("embedding").alias("measures"),
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("element_kind"))
+    found = negatives.hard_negatives(elements, F.col("element_ref") % 50 == 0, scale=256.0)
+    return found.withColumnsRenamed({"anchor_ref": "anchor_id", "positive_ref": "positive_id", "negative_ref": "negative_id"})
+
+
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector stands for an element; those whose id is divisible by 50 ask all others."""
+    elements = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("element_ref"), F.col("embedding").alias("measures"))
+    found = nearest.nearest_elements(elements, F.col("element_ref") % 50 == 0)
+    return found.withColumnsRenamed({"query_ref": "query_id", "element_ref": "vec_id"})
+
+
 def op13_conversation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix tree of rebuilt conversations: a conversation stands for a page, a turn for a segment."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
@@ -148,6 +164,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_bm25_top_pages": op9_bm25_top_pages,
     "op10_url_verdicts": op10_url_verdicts,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_nearest_vectors": op12_nearest_vectors,
     "op13_conversation_tree": op13_conversation_tree,
 }
 
@@ -229,6 +247,25 @@ SELECT query_doc_id, CAST(rank AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_doc_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
 """
 
+HARD_NEGATIVES_SQL = r"""
+WITH vector AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM vector a JOIN vector b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
 CONVERSATION_TREE_SQL = r"""
 WITH turn AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, role, text
@@ -273,5 +310,6 @@ ORACLES: dict[str, str] = {
     "op4_line_classes": LINE_CLASSES_SQL,
     "op5_source_mixture": SOURCE_MIXTURE_SQL,
     "op9_bm25_top_pages": TOP_PAGES_SQL,
+    "op11_hard_negatives": HARD_NEGATIVES_SQL,
     "op13_conversation_tree": CONVERSATION_TREE_SQL,
 }
