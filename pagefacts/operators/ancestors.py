@@ -1,8 +1,6 @@
-"""Nearest-ancestor facts.
+"""Nearest-ancestor facts, by nested intervals (see `intervals`).
 
-Siblings share all their ancestors, so each path is expanded once per *parent* (rows with children), joined to
-the ancestors that satisfy at least one predicate, reduced with `min(struct(distance, node))` and joined back on
-the parent.  Searches go up to the root; distances come along, so a published limit is a comparison with them.
+Searches go up to the root; distances come along, so a published limit is a comparison with them.
 """
 
 from __future__ import annotations
@@ -11,14 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagefacts.functions import geometry
-
-
-def parent_paths(nodes: DataFrame) -> DataFrame:
-    """(page_id, owner_ix, anc_ix, dist) for every node with children, the node itself at distance 1."""
-    path = F.reverse(F.concat("ancestors", F.array("node_ix")))
-    return nodes.filter("child_count > 0").select(
-        "page_id", F.col("node_ix").alias("owner_ix"), F.posexplode(path).alias("_pos", "anc_ix")
-    ).select("page_id", "owner_ix", "anc_ix", (F.col("_pos") + 1).alias("dist"))
+from pagefacts.operators.intervals import enclosing, enclosing_extremes, with_nearest
 
 
 def nearest(nodes: DataFrame, facts: DataFrame, *names: str, payload: str | None = None) -> DataFrame:
@@ -27,17 +18,7 @@ def nearest(nodes: DataFrame, facts: DataFrame, *names: str, payload: str | None
     `facts` has page_id, node_ix and one boolean column per name.  A `payload` column of `facts` comes along as
     `nearest_<name>_<payload>`, which saves a join on the ancestor found.
     """
-    any_true = F.greatest(*[F.col(n) for n in names], F.lit(False))
-    carried = [] if payload is None else [payload]
-    holders = facts.filter(any_true).select("page_id", F.col("node_ix").alias("anc_ix"), *names, *carried)
-    best = [F.min(F.when(F.col(n), F.struct("dist", "anc_ix", *carried))).alias(f"_best_{n}") for n in names]
-    found = parent_paths(nodes).join(holders, ["page_id", "anc_ix"]).groupBy("page_id", "owner_ix").agg(*best)
-    out = nodes.join(found.withColumnRenamed("owner_ix", "parent_ix"), ["page_id", "parent_ix"], "left")
-    return out.withColumns({
-        **{f"nearest_{n}": F.col(f"_best_{n}.anc_ix") for n in names},
-        **{f"nearest_{n}_dist": F.col(f"_best_{n}.dist") for n in names},
-        **{f"nearest_{n}_{c}": F.col(f"_best_{n}.{c}") for n in names for c in carried},
-    }).drop(*[f"_best_{n}" for n in names])
+    return with_nearest(nodes, enclosing(nodes, facts, *names, payload=payload), names, [] if payload is None else [payload])
 
 
 def nearest_ancestors(measured: DataFrame) -> DataFrame:
@@ -57,13 +38,11 @@ def clipped_by_ancestor(measured: DataFrame) -> DataFrame:
 
     The boxes above a parent reduce to one bound per side, so no pair of boxes is ever formed.
     """
-    holders = measured.filter(geometry.clips()).select("page_id", F.col("node_ix").alias("anc_ix"), "rect")
-
     def side(name: str) -> Column:
         return F.when(~F.isnan(F.col("rect")[name]), F.col("rect")[name])
 
-    bounds = parent_paths(measured).join(holders, ["page_id", "anc_ix"]).groupBy("page_id", F.col("owner_ix").alias("parent_ix")).agg(
-        F.max(side("left")).alias("_left"), F.max(side("top")).alias("_top"), F.min(side("right")).alias("_right"), F.min(side("bottom")).alias("_bottom"))
+    facts = measured.select("page_id", "node_ix", geometry.clips().alias("clipping"), *[side(n).alias(f"_{n}") for n in ("left", "top", "right", "bottom")])
+    bounds = enclosing_extremes(measured, facts, "clipping", ["_left", "_top"], ["_right", "_bottom"]).withColumnRenamed("owner_ix", "parent_ix")
     out = measured.join(bounds, ["page_id", "parent_ix"], "left")
     rect = F.col("rect")
     beyond = (

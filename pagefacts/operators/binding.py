@@ -14,8 +14,8 @@ from pagefacts import fixed
 from pagefacts.functions import markers
 from pagefacts.functions.digests import canonical_struct, digest
 from pagefacts.functions.patterns import compact
-from pagefacts.operators.ancestors import nearest, parent_paths
-from pagefacts.operators.ranking import join_page_facts, node_bucket, ordinal
+from pagefacts.operators.ancestors import nearest
+from pagefacts.operators.ranking import join_page_facts, node_bucket, ordinal, running_totals
 from pagefacts.operators.tree import marker_index
 
 DIRECT, ANCESTOR = "DIRECT_VALIDATED_MARKER", "ANCESTOR_VALIDATED_MARKER"
@@ -316,17 +316,11 @@ def cardinality_summary(cardinality: DataFrame, elements: DataFrame) -> DataFram
     return out.withColumn("availability", state).withColumns(zero).withColumnRenamed("n", "n_without_source").drop("_ambiguous")
 
 
-def _emitted_paths(nodes: DataFrame, elements: DataFrame) -> DataFrame:
-    """(page_id, owner_ix, anc_ix): emitted nodes on the path of every parent."""
-    emitted = elements.select("page_id", F.col("node_ix").alias("anc_ix"))
-    return parent_paths(nodes).join(emitted, ["page_id", "anc_ix"]).select("page_id", "owner_ix", "anc_ix")
-
-
 def document_instances(elements: DataFrame, nodes: DataFrame, source_documents: DataFrame, context: DataFrame) -> DataFrame:
     """Disconnected roots of each catalogue document on a page, with their members.
 
-    Members are counted per (parent, document) before paths are expanded, so the expansion grows with the
-    inner nodes and not with the leaves.
+    The members of a root are the bound elements of its document within its interval: the running tally of the document at the root's end, less
+    that in front of the root.
     """
     bound = elements.filter(F.col("binding.source_document_id").isNotNull()).select(
         "page_id", "node_ix", "node_id", "parent_ix", "parent_node_ix", F.col("binding.source_document_id").alias("document_id"),
@@ -334,13 +328,18 @@ def document_instances(elements: DataFrame, nodes: DataFrame, source_documents:
     above = bound.select("page_id", F.col("node_ix").alias("parent_node_ix"), "document_id", F.lit(True).alias("_same"))
     roots = bound.join(above, ["page_id", "parent_node_ix", "document_id"], "left").filter("_same IS NULL")
     roots = ordinal(roots.select("page_id", "document_id", "node_ix", "node_id"), ["page_id", "document_id"], ["node_ix"], node_bucket(), "instance_index")
-    tallies = [F.count("*").alias("n"), *[F.count_if(F.col("state") == s).alias(f"n_{s}") for s in fixed.BINDING_STATES]]
-    sums = [F.sum(c).alias(c) for c in ("n", *[f"n_{s}" for s in fixed.BINDING_STATES])]
-    own = bound.groupBy("page_id", F.col("node_ix").alias("anc_ix"), "document_id").agg(*tallies)
-    by_parent = bound.filter("parent_ix IS NOT NULL").groupBy("page_id", F.col("parent_ix").alias("owner_ix"), "document_id").agg(*tallies)
-    reached = by_parent.join(_emitted_paths(nodes, elements), ["page_id", "owner_ix"]).drop("owner_ix")
-    members = own.unionByName(reached.select(*own.columns)).groupBy("page_id", "anc_ix", "document_id").agg(*sums)
-    out = roots.join(members.withColumnRenamed("anc_ix", "node_ix"), ["page_id", "node_ix", "document_id"])
+    names = ["n", *[f"n_{s}" for s in fixed.BINDING_STATES]]
+    counted = {"n": F.lit(1), **{f"n_{s}": (F.col("state") == s).cast("int") for s in fixed.BINDING_STATES}}
+    tallies = bound.select("page_id", "document_id", F.col("node_ix").alias("_at"), F.lit(1).alias("_turn"), F.lit(None).cast("int").alias("_root"),
+                           *[c.alias(n) for n, c in counted.items()])
+    ends = nodes.select("page_id", "node_ix", "subtree_end").join(roots.select("page_id", "node_ix", "document_id"), ["page_id", "node_ix"])
+    turns = F.array(*[F.struct(F.col(at).alias("_at"), F.lit(turn).alias("_turn")) for at, turn in (("node_ix", 0), ("subtree_end", 2))])
+    asked = ends.withColumn("_ask", F.explode(turns)).select(
+        "page_id", "document_id", "_ask._at", "_ask._turn", F.col("node_ix").alias("_root"), *[F.lit(0).alias(n) for n in names])
+    running = running_totals(tallies.unionByName(asked), ["page_id", "document_id"], ["_at", "_turn"], node_bucket("_at"), {f"_{n}": F.col(n) for n in names})
+    members = running.filter("_turn <> 1").groupBy("page_id", F.col("_root").alias("node_ix"), "document_id").agg(
+        *[(F.max(f"_{n}") - F.min(f"_{n}")).alias(n) for n in names])
+    out = roots.join(members, ["page_id", "node_ix", "document_id"])
     state = (
         F.when(F.col("n_AMBIGUOUS") > 0, "AMBIGUOUS").when(F.col("n_EXACT") == F.col("n"), "EXACT")
         .when(F.col("n_EXACT") + F.col("n_PROBABLE") > 0, "PROBABLE").otherwise("UNMATCHED")

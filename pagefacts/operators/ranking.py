@@ -56,3 +56,14 @@ def running_total(frame: DataFrame, keys: list[str], order: list[str | Column],
 def ordinal(frame: DataFrame, keys: list[str], order: list[str | Column], bucket: Column, name: str) -> DataFrame:
     """Add `name`: the zero-based position of the row in its group."""
     return running_total(frame, keys, order, bucket, F.lit(1), name).withColumn(name, F.col(name).cast("int"))
+
+
+def running_max(frame: DataFrame, keys: list[str], order: list[str | Column], bucket: Column, value: Column, name: str) -> DataFrame:
+    """Add `name`: the largest `value` (nulls aside) over the rows of the group up to and with this one; `keys` and `bucket` as in `running_totals`."""
+    staged = frame.withColumns({"_bucket": bucket, "_value": value})
+    largest = staged.groupBy(*keys, "_bucket").agg(F.max("_value").alias("_largest"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = largest.select(*keys, "_bucket", F.max("_largest").over(earlier).alias("_offset")).filter("_offset IS NOT NULL")
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = staged.withColumn("_inside", F.max("_value").over(inside)).join(offsets, [*keys, "_bucket"], "left")
+    return out.withColumn(name, F.greatest("_inside", "_offset")).drop("_bucket", "_value", "_inside", "_offset")

@@ -9,7 +9,9 @@ from pagefacts import fixed
 from pagefacts.functions import markers
 from pagefacts.functions.redaction import WHITE_SPACE as _SPACE
 from pagefacts.functions.redaction import redaction_stages
-from pagefacts.operators.ranking import running_totals
+from pagefacts.operators.intervals import enclosed_owners, subtree_aggregates
+from pagefacts.operators.ranking import running_total, running_totals
+from pagefacts.session import checkpointed
 
 _TEXTS_PER_BUCKET = 32_768
 
@@ -43,41 +45,51 @@ def bound_text(text_nodes: DataFrame, max_nodes: int = fixed.TEXT_SCAN_NODE_LIMI
     All three budgets only grow along the document, so the scan stops at the first row beyond any of them.
     """
     out = running_totals(text_nodes, ["page_id"], ["text_ix"], _bucket(), {
-        "_rank": F.lit(1), "_chars": F.length("data").cast("bigint"), "_steps": (2 * F.size("ancestors")).cast("bigint")})
+        "_rank": F.lit(1), "_chars": F.length("data").cast("bigint"), "_steps": (2 * F.col("depth")).cast("bigint")})
     inside = (
         (F.col("_rank") + 1 <= max_nodes) & (F.col("_chars") + F.length("data") <= max_chars)
-        & (F.col("_steps") + 2 * F.size("ancestors") <= max_steps)
+        & (F.col("_steps") + 2 * F.col("depth") <= max_steps)
     )
     return out.withColumn("limit_reached", ~inside).drop("_rank", "_chars", "_steps")
 
 
+def holding_text(nodes: DataFrame, text_nodes: DataFrame) -> DataFrame:
+    """`nodes` where a text counts as a child: `child_count` is 1 at least for elements that hold text themselves."""
+    holds = text_nodes.select("page_id", F.col("parent_ix").alias("node_ix")).distinct().withColumn("_holds", F.lit(True))
+    inner = F.when(F.col("_holds"), F.greatest(F.coalesce("child_count", F.lit(0)), F.lit(1))).otherwise(F.coalesce("child_count", F.lit(0)))
+    return nodes.join(holds, ["page_id", "node_ix"], "left").withColumn("child_count", inner).drop("_holds")
+
+
 def text_shape(text_nodes: DataFrame, nodes: DataFrame, max_nodes: int = fixed.TEXT_NODE_LIMIT, max_chars: int = fixed.TEXT_CHARACTER_LIMIT) -> DataFrame:
     """Node, grapheme, word and token counts of all the text below every element.
 
-    Text below a control, code or editable element counts for nobody above it.  Each text is measured once; only its numbers
-    go to its ancestors and are summed there, as if the texts were joined by spaces and trimmed.  `over_limit` says that an element holds more than
+    Text below a control, code or editable element counts for nobody above it.  Each text is measured once; its numbers are summed by element and
+    then over subtrees, as if the texts were joined by spaces and trimmed.  `over_limit` says that an element holds more than
     the published numbers of texts or characters.
     """
-    excluded = nodes.filter(F.col("tag").isin(*fixed.TEXT_EXCLUDED_TAGS) | markers.editable()).select("page_id", F.col("node_ix").alias("anc_ix"))
+    excluded = nodes.select("page_id", "node_ix", (F.col("tag").isin(*fixed.TEXT_EXCLUDED_TAGS) | F.coalesce(markers.editable(), F.lit(False))).alias("excludes"))
     words = F.filter(F.split("data", _SPACE + "+"), lambda t: t != "")
     blank = F.size(words) == 0
     graphemes = lambda text: F.regexp_count(text, F.lit("\\X")).cast("bigint")
     measured = text_nodes.select(
-        "page_id", "text_ix", "ancestors", blank.alias("_blank"), F.size(words).cast("bigint").alias("_words"), F.array_max(F.transform(words, F.length)).alias("_longest"),
+        "page_id", "text_ix", F.col("parent_ix").alias("node_ix"), blank.alias("_blank"), F.size(words).cast("bigint").alias("_words"), F.array_max(F.transform(words, F.length)).alias("_longest"),
         F.length("data").cast("bigint").alias("_chars"), graphemes(F.concat(F.lit(" "), "data")).alias("_graphemes"),
         graphemes(F.concat(F.lit(" "), F.regexp_extract("data", f"^{_SPACE}*", 0))).alias("_lead"),
         graphemes(F.regexp_extract("data", f"{_SPACE}*\\z", 0)).alias("_trail"))
-    below = measured.withColumn("anc_ix", F.explode("ancestors")).drop("ancestors")
-    barred = below.select("page_id", "text_ix", "anc_ix").join(excluded, ["page_id", "anc_ix"], "left_semi").select("page_id", "text_ix").distinct()
-    kept = below.join(barred, ["page_id", "text_ix"], "left_anti").withColumnRenamed("anc_ix", "node_ix")
+    barred = enclosed_owners(holding_text(nodes, text_nodes), excluded, "excludes").withColumnRenamed("owner_ix", "node_ix")
+    kept = checkpointed(measured.join(barred, ["page_id", "node_ix"], "left_anti"))
     text = F.when(~F.col("_blank"), F.col("text_ix"))
-    ends = kept.groupBy("page_id", "node_ix").agg(
+    own = kept.groupBy("page_id", "node_ix").agg(
         F.count("*").alias("_n"), F.sum(F.col("_chars") + 1).alias("_all_chars"), F.sum("_words").alias("_all_words"), F.max("_longest").alias("_longest_word"),
         F.min(text).alias("_first"), F.max(text).alias("_last"))
-    # Graphemes run from the first text that is not blank to the last: what lies outside is trimmed, like the white space at both ends.
-    inner = kept.join(ends.select("page_id", "node_ix", "_first", "_last"), ["page_id", "node_ix"]).filter("text_ix BETWEEN _first AND _last").groupBy(
-        "page_id", "node_ix").agg((F.sum("_graphemes") - F.max(F.when(F.col("text_ix") == F.col("_first"), F.col("_lead")))
-                                   - F.max(F.when(F.col("text_ix") == F.col("_last"), F.col("_trail")))).alias("_grapheme_count"))
+    ends = subtree_aggregates(nodes, own, ["_n", "_all_chars", "_all_words"], ["_first"], ["_longest_word", "_last"])
+    # Graphemes run from the first text that is not blank to the last: what lies outside is trimmed, like the white space at both ends.  The texts of a
+    # subtree follow each other, so their sum is a difference of running totals.
+    running = running_total(kept, ["page_id"], ["text_ix"], _bucket(), F.col("_graphemes"), "_before").filter("NOT _blank")
+    begins = running.select("page_id", F.col("text_ix").alias("_first"), (F.col("_before") + F.col("_lead")).alias("_from"))
+    stops = running.select("page_id", F.col("text_ix").alias("_last"), (F.col("_before") + F.col("_graphemes") - F.col("_trail")).alias("_to"))
+    inner = ends.select("page_id", "node_ix", "_first", "_last").join(begins, ["page_id", "_first"]).join(stops, ["page_id", "_last"]).select(
+        "page_id", "node_ix", (F.col("_to") - F.col("_from")).alias("_grapheme_count"))
     out = nodes.select("page_id", "node_ix", "tag", markers.editable().alias("_editable")).join(ends, ["page_id", "node_ix"], "left").join(
         inner, ["page_id", "node_ix"], "left")
     empty = F.col("_first").isNull()

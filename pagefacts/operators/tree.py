@@ -9,7 +9,7 @@ from pagefacts import fixed
 from pagefacts.functions import geometry, markers
 from pagefacts.functions.digests import node_id
 from pagefacts.functions.redaction import stable_id
-from pagefacts.operators.ancestors import parent_paths
+from pagefacts.operators.intervals import enclosed_owners, joined_paths
 from pagefacts.operators.ranking import node_bucket, ordinal, running_total, running_totals
 
 
@@ -70,15 +70,9 @@ def structural_refs(nodes: DataFrame) -> DataFrame:
     """`tag:nth-of-type(n)` steps from the nearest unique anchor down to the node."""
     steps = nth_of_type(_anchors(nodes)).withColumn(
         "_step", F.coalesce("anchor", F.concat("tag", F.lit(":nth-of-type("), F.col("nth_of_type").cast("string"), F.lit(")"))))
-    facts = steps.select("page_id", F.col("node_ix").alias("anc_ix"), F.col("_step").alias("step"),
-                         F.col("anchor").isNotNull().alias("anchored"))
-    # One reference per parent; a path is as long as the tree is deep.
-    path = F.sort_array(F.collect_list(F.struct("dist", "step", "anchored")), asc=False)
-    prefixes = parent_paths(nodes).join(facts, ["page_id", "anc_ix"]).groupBy("page_id", "owner_ix").agg(path.alias("_path"))
-    nearest_anchor = F.array_min(F.transform(F.filter("_path", lambda p: p["anchored"]), lambda p: p["dist"]))
-    prefixes = prefixes.withColumn("_stop", F.coalesce(nearest_anchor, F.lit(2_147_483_647)))
-    text = F.array_join(F.transform(F.filter("_path", lambda p: p["dist"] <= F.col("_stop")), lambda p: p["step"]), ">")
-    prefixes = prefixes.select("page_id", F.col("owner_ix").alias("parent_ix"), text.alias("_prefix"))
+    # One reference per parent; siblings share it.
+    owners = steps.filter("child_count > 0").select("page_id", "node_ix", "parent_ix", "depth", F.col("_step").alias("step"), F.col("anchor").isNotNull().alias("last"))
+    prefixes = joined_paths(owners, ">").select("page_id", F.col("node_ix").alias("parent_ix"), F.col("path").alias("_prefix"))
     out = steps.join(prefixes, ["page_id", "parent_ix"], "left")
     below = F.when(F.col("anchor").isNull(), F.col("_prefix"))
     return out.withColumn("structural_ref", F.concat_ws(">", below, "_step")).drop("_step", "_prefix")
@@ -94,7 +88,7 @@ def identities(nodes: DataFrame) -> DataFrame:
         .when(F.col("parent_ix").isNull(), "DOCUMENT_ROOT").otherwise("STRUCTURAL_PATH"),
     })
     # A reference names one node of a sound tree, so these groups are single rows and a window over them is even.
-    out = out.withColumn("occurrences", F.count("*").over(Window.partitionBy("page_id", "reference")))
+    out = out.withColumn("occurrences", F.count("*").over(Window.partitionBy("page_id", F.md5("reference"))))
     unique = F.col("occurrences") == 1
     strong = F.when(F.col("anchor_source").isNotNull(), "STRONG").otherwise("PROBABLE")
     return out.withColumns({
@@ -116,9 +110,8 @@ def reachable(measured: DataFrame, max_depth: int, include_hidden: bool) -> Data
         "skip_tag": F.col("tag").isin(*fixed.SKIPPED_TAGS),
         "pruned": prunes & ~F.col("tag").isin(*fixed.SKIPPED_TAGS),
     })
-    blockers = flagged.filter("skip_tag OR pruned").select("page_id", F.col("node_ix").alias("anc_ix"))
-    below = parent_paths(flagged).join(blockers, ["page_id", "anc_ix"], "left_semi").select(
-        "page_id", F.col("owner_ix").alias("parent_ix")).distinct()
+    blockers = flagged.select("page_id", "node_ix", (F.col("skip_tag") | F.col("pruned")).alias("blocks"))
+    below = enclosed_owners(flagged, blockers, "blocks").withColumnRenamed("owner_ix", "parent_ix")
     return flagged.filter(F.col("depth") <= max_depth).join(below, ["page_id", "parent_ix"], "left_anti")
 
 

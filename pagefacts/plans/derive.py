@@ -30,10 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _ints(*columns: str) -> Column:
-    return F.array(*[F.col(c).cast("int") for c in columns])
-
-
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per nation: nation, market segment, customer, order, line.
 
@@ -59,47 +55,39 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = Window.partitionBy("page_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
     segments = segments.withColumn("size", F.col("below") + 1).withColumn(
         "seg_ix", 1 + F.coalesce(F.sum("size").over(before), F.lit(0)))
-    n_segments = segments.groupBy("page_id").agg(F.count("*").alias("n_children"))
+    n_segments = segments.groupBy("page_id").agg(F.count("*").alias("n_children"), (F.sum("size") + 1).alias("size"))
 
     placed_customers = running_total(
         sized_customers, ["page_id", "seg"], ["custkey"], F.floor(F.col("custkey") / _NODES_PER_BUCKET), F.col("size"), "_b")
     placed_customers = placed_customers.join(segments.select("page_id", "seg", "seg_ix"), ["page_id", "seg"]).withColumn(
-        "cust_ix", F.col("seg_ix") + 1 + F.col("_b")).drop("_b", "size")
+        "cust_ix", F.col("seg_ix") + 1 + F.col("_b")).drop("_b")
     placed_orders = running_total(
         sized_orders, ["custkey"], ["orderkey"], F.floor(F.col("orderkey") / _ORDERS_PER_BUCKET), F.col("size"), "_b")
-    placed_orders = placed_orders.join(placed_customers.drop("n_children"), "custkey").withColumn(
-        "order_ix", F.col("cust_ix") + 1 + F.col("_b")).drop("_b", "size")
+    placed_orders = placed_orders.join(placed_customers.drop("n_children", "size"), "custkey").withColumn(
+        "order_ix", F.col("cust_ix") + 1 + F.col("_b")).drop("_b")
     line_bucket = F.col("linenumber") * 1_000_000 + F.floor(F.col("partkey") / 1_000_000)
     placed_lines = ordinal(lines, ["orderkey"], ["linenumber", "partkey", "suppkey", "price", "quantity"], line_bucket, "_b")
-    placed_lines = placed_lines.join(placed_orders.drop("n_children"), "orderkey").withColumn(
+    placed_lines = placed_lines.join(placed_orders.drop("n_children", "size"), "orderkey").withColumn(
         "line_ix", F.col("order_ix") + 1 + F.col("_b"))
 
-    root = nation.join(n_segments, "page_id", "left").select(
-        "page_id", F.lit(0).alias("lvl"), F.lit(0).alias("node_ix"), F.array().cast("array<int>").alias("ancestors"),
-        F.coalesce("n_children", F.lit(0)).alias("child_count"))
+    level = lambda n, ix, parent: [
+        "page_id", F.lit(n).alias("lvl"), F.col(ix).alias("node_ix"), parent.alias("parent_ix"), (F.col(ix) + F.col("size") - 1).alias("subtree_end")]
+    children = F.col("n_children").alias("child_count")
+    root = nation.join(n_segments, "page_id", "left").withColumns({"_ix": F.lit(0), "size": F.coalesce("size", F.lit(1))}).select(
+        *level(0, "_ix", F.lit(None).cast("int")), F.coalesce("n_children", F.lit(0)).alias("child_count"))
     parts = [
         root,
-        segments.select("page_id", F.lit(1).alias("lvl"), F.col("seg_ix").alias("node_ix"),
-                        F.array(F.lit(0)).alias("ancestors"), F.col("n_children").alias("child_count"), "seg"),
-        placed_customers.select("page_id", F.lit(2).alias("lvl"), F.col("cust_ix").alias("node_ix"),
-                                F.concat(F.array(F.lit(0)), _ints("seg_ix")).alias("ancestors"),
-                                F.col("n_children").alias("child_count"), "seg", "custkey"),
-        placed_orders.select("page_id", F.lit(3).alias("lvl"), F.col("order_ix").alias("node_ix"),
-                             F.concat(F.array(F.lit(0)), _ints("seg_ix", "cust_ix")).alias("ancestors"),
-                             F.col("n_children").alias("child_count"), "seg", "custkey", "orderkey"),
-        placed_lines.select("page_id", F.lit(4).alias("lvl"), F.col("line_ix").alias("node_ix"),
-                            F.concat(F.array(F.lit(0)), _ints("seg_ix", "cust_ix", "order_ix")).alias("ancestors"),
-                            F.lit(0).cast("bigint").alias("child_count"), "seg", "custkey", "orderkey", "linenumber",
-                            "partkey", "suppkey", "quantity"),
+        segments.select(*level(1, "seg_ix", F.lit(0)), children, "seg"),
+        placed_customers.select(*level(2, "cust_ix", F.col("seg_ix")), children, "seg", "custkey"),
+        placed_orders.select(*level(3, "order_ix", F.col("cust_ix")), children, "seg", "custkey", "orderkey"),
+        placed_lines.withColumn("size", F.lit(1)).select(
+            *level(4, "line_ix", F.col("order_ix")), F.lit(0).cast("bigint").alias("child_count"), "seg", "custkey", "orderkey", "linenumber", "partkey", "suppkey", "quantity"),
     ]
     nodes = parts[0]
     for part in parts[1:]:
         nodes = nodes.unionByName(part, allowMissingColumns=True)
     return nodes.withColumns({
-        "node_ix": F.col("node_ix").cast("int"),
-        "child_count": F.col("child_count").cast("int"),
-        "depth": F.col("lvl"),
-        "parent_ix": F.try_element_at("ancestors", F.lit(-1)),
+        **{name: F.col(name).cast("int") for name in ("node_ix", "parent_ix", "subtree_end", "child_count")}, "depth": F.col("lvl"),
     })
 
 
@@ -117,7 +105,7 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "page_id", "node_ix", "parent_ix", "depth", "tag", _string_map(rules.ATTRIBUTES).alias("attrs"),
         F.array_distinct(F.filter(F.split("class_text", " "), lambda t: t != "")).alias("class_tokens"),
-        "ancestors", "child_count", rect.alias("rect"), F.col("w").alias("client_w"), F.col("h").alias("client_h"),
+        "subtree_end", "child_count", rect.alias("rect"), F.col("w").alias("client_w"), F.col("h").alias("client_h"),
         (F.col("w") + F.col("extra_w")).alias("scroll_w"), (F.col("h") + F.col("extra_h")).alias("scroll_h"),
         _string_map(rules.STYLES).alias("styles"), "seg", "custkey", "orderkey", "linenumber", "partkey")
 
@@ -126,7 +114,7 @@ def measured_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "measured_tree", _measured)
 
 
-NODE_COLUMNS = ("page_id", "node_ix", "parent_ix", "depth", "tag", "attrs", "class_tokens", "ancestors", "child_count")
+NODE_COLUMNS = ("page_id", "node_ix", "parent_ix", "depth", "tag", "attrs", "class_tokens", "subtree_end", "child_count")
 
 
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,10 +375,13 @@ def document_text(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     page, ix = F.col("doc_id") % 40, (F.floor(F.col("doc_id") / 40) + 1).cast("int")
     tag = F.when(F.col("doc_id") % 13 == 0, "script").when(F.col("doc_id") % 17 == 0, "textarea").otherwise("p")
     attrs = F.when(F.col("doc_id") % 19 == 0, F.create_map(F.lit("contenteditable"), F.lit("true"))).otherwise(F.create_map().cast("map<string,string>"))
-    leaves = documents.select(page.alias("page_id"), ix.alias("node_ix"), tag.alias("tag"), attrs.alias("attrs"))
-    roots = documents.select(page.alias("page_id")).distinct().select("page_id", F.lit(0).alias("node_ix"), F.lit("html").alias("tag"), F.create_map().cast("map<string,string>").alias("attrs"))
+    leaves = documents.select(page.alias("page_id"), ix.alias("node_ix"), F.lit(0).alias("parent_ix"), F.lit(1).alias("depth"), ix.alias("subtree_end"),
+                              F.lit(0).alias("child_count"), tag.alias("tag"), attrs.alias("attrs"))
+    roots = documents.groupBy(page.alias("page_id")).agg(F.max(ix).alias("subtree_end"), F.count("*").cast("int").alias("child_count")).select(
+        "page_id", F.lit(0).alias("node_ix"), F.lit(None).cast("int").alias("parent_ix"), F.lit(0).alias("depth"), "subtree_end", "child_count", F.lit("html").alias("tag"),
+        F.create_map().cast("map<string,string>").alias("attrs"))
     lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "data"))
-    texts = lines.select(page.alias("page_id"), (ix.cast("bigint") * 10_000_000 + F.col("pos")).alias("text_ix"), ix.alias("parent_ix"), F.array(F.lit(0), ix).alias("ancestors"), "data")
+    texts = lines.select(page.alias("page_id"), (ix.cast("bigint") * 10_000_000 + F.col("pos")).alias("text_ix"), ix.alias("parent_ix"), F.lit(2).alias("depth"), "data")
     return roots.unionByName(leaves), texts
 
 

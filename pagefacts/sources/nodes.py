@@ -2,6 +2,8 @@
 
 Markup tokens are the one thing Spark has no expression for, so a page is tokenised in an Arrow batch
 (`mapInPandas`); every later fact is derived with joins, windows and column expressions.
+A node is the interval from its own number to that of the last node below it; no node carries a path, so a page of nested tags
+that nobody closes takes as much memory as a flat one.
 The tree profile is TOKEN_TREE_1: void elements, raw-text elements and implied end tags, without the
 browser's repair of misnested formatting.
 """
@@ -19,9 +21,9 @@ from pyspark.sql.functions import udtf
 DOM_PROFILE = "TOKEN_TREE_1"
 NODE_SCHEMA = (
     "page_id bigint, node_ix int, parent_ix int, depth int, tag string, attrs map<string,string>, "
-    "class_tokens array<string>, ancestors array<int>, child_count int, dom_profile string"
+    "class_tokens array<string>, subtree_end int, child_count int, dom_profile string"
 )
-TEXT_SCHEMA = "page_id bigint, text_ix int, parent_ix int, ancestors array<int>, data string"
+TEXT_SCHEMA = "page_id bigint, text_ix int, parent_ix int, depth int, data string"
 _ROWS_PER_BATCH = 20_000
 _CLASS_SPACE = re.compile("[\t\n\f\r ]+")
 
@@ -40,23 +42,34 @@ SCOPE_TAGS = frozenset("html body ul ol dl table select div section article main
 
 
 class _Tree(HTMLParser):
+    """Nodes as [parent, depth, tag, attributes, end of subtree, children]; the open elements by number, and their places by tag."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.nodes: list[list] = []
         self.texts: list[tuple] = []
         self.open: list[int] = []
+        self.places: dict[str, list[int]] = {}
+
+    def _last(self, tags: frozenset[str]) -> int:
+        """Place of the innermost open element with one of the tags, -1 if there is none."""
+        return max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=-1)
+
+    def _close_from(self, position: int) -> None:
+        for node in reversed(self.open[position:]):
+            self.nodes[node][4] = len(self.nodes) - 1
+            self.places[self.nodes[node][2]].pop()
+        del self.open[position:]
 
     def _close_implied(self, tag: str) -> None:
         closing = IMPLIED_END.get(tag)
         if not closing:
             return
-        for position in range(len(self.open) - 1, -1, -1):
+        barrier = self._last(SCOPE_TAGS - closing)
+        while (position := self._last(closing)) > barrier:
             name = self.nodes[self.open[position]][2]
-            if name in closing:
-                del self.open[position:]
-                if name != "p":
-                    return
-            elif name in SCOPE_TAGS:
+            self._close_from(position)
+            if name != "p":
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -67,22 +80,25 @@ class _Tree(HTMLParser):
         named: dict[str, str] = {}
         for key, value in attrs:
             named.setdefault(key, value or "")
-        self.nodes.append([parent, len(self.open), tag, named, tuple(self.open), 0])
+        self.nodes.append([parent, len(self.open), tag, named, len(self.nodes), 0])
         if tag not in VOID_TAGS:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(len(self.nodes) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        for position in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[position]][2] == tag:
-                del self.open[position:]
-                return
+        if self.places.get(tag):
+            self._close_from(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if self.open:
-            self.texts.append((self.open[-1], tuple(self.open), data))
+            self.texts.append((self.open[-1], len(self.open), data))
+
+    def close(self) -> None:
+        super().close()
+        self._close_from(0)
 
 
 def _tree_of(html: str | None) -> _Tree:
@@ -93,14 +109,14 @@ def _tree_of(html: str | None) -> _Tree:
 
 
 def _node_rows(page_id: int, html: str | None) -> Iterator[tuple]:
-    for index, (parent, depth, tag, attrs, path, children) in enumerate(_tree_of(html).nodes):
+    for index, (parent, depth, tag, attrs, end, children) in enumerate(_tree_of(html).nodes):
         tokens = list(dict.fromkeys(token for token in _CLASS_SPACE.split(attrs.get("class") or "") if token))
-        yield page_id, index, parent, depth, tag, attrs, tokens, list(path), children, DOM_PROFILE
+        yield page_id, index, parent, depth, tag, attrs, tokens, end, children, DOM_PROFILE
 
 
 def _text_rows(page_id: int, html: str | None) -> Iterator[tuple]:
-    for index, (parent, path, data) in enumerate(_tree_of(html).texts):
-        yield page_id, index, parent, list(path), data
+    for index, (parent, depth, data) in enumerate(_tree_of(html).texts):
+        yield page_id, index, parent, depth, data
 
 
 def _batched(rows_of, names: list[str]):
@@ -135,12 +151,12 @@ def extract_nodes(pages: DataFrame) -> DataFrame:
 
 
 def extract_text_nodes(pages: DataFrame) -> DataFrame:
-    """Text nodes in document order with the path of their parents."""
+    """Text nodes in document order; `depth` counts the elements above."""
     return pages.select("page_id", "html").mapInPandas(_batched(_text_rows, _names(TEXT_SCHEMA)), TEXT_SCHEMA)
 
 
 @udtf(returnType="node_ix int, parent_ix int, depth int, tag string, attrs map<string,string>, class_tokens array<string>, "
-                 "ancestors array<int>, child_count int")
+                 "subtree_end int, child_count int")
 class PageNodes:
     """The same extraction for SQL: `SELECT … FROM pages, LATERAL page_nodes(html)`."""
 

@@ -33,9 +33,10 @@ def random_tree(seed: int, n: int):
 
 def frame_of(spark, made, page=1):
     parents, depth, paths, kids, styles, tags = made
-    rows = [(page, i, parents[i], depth[i], tags[i], {}, [], paths[i], kids[i], styles[i]) for i in range(len(parents))]
+    ends = [max(j for j in range(len(parents)) if j == i or i in paths[j]) for i in range(len(parents))]
+    rows = [(page, i, parents[i], depth[i], tags[i], {}, [], ends[i], kids[i], styles[i]) for i in range(len(parents))]
     return spark.createDataFrame(rows, "page_id long, node_ix int, parent_ix int, depth int, tag string, attrs map<string,string>, "
-                                       "class_tokens array<string>, ancestors array<int>, child_count int, styles map<string,string>")
+                                       "class_tokens array<string>, subtree_end int, child_count int, styles map<string,string>")
 
 
 def test_running_total_equals_plain_window(spark):
