@@ -14,9 +14,10 @@ from pagefacts import fixed
 from pagefacts.functions import markers
 from pagefacts.functions.digests import canonical_struct, digest
 from pagefacts.functions.patterns import compact
-from pagefacts.operators.ancestors import nearest
+from pagefacts.operators.intervals import enclosed_owners, enclosing
 from pagefacts.operators.ranking import join_page_facts, node_bucket, ordinal, running_totals
-from pagefacts.operators.tree import marker_index
+from pagefacts.operators.tree import value_counts
+from pagefacts.session import checkpointed
 
 DIRECT, ANCESTOR = "DIRECT_VALIDATED_MARKER", "ANCESTOR_VALIDATED_MARKER"
 _RECORD = (
@@ -148,55 +149,78 @@ def _fallback() -> Column:
     )
 
 
+class _Catalogue:
+    """What the three bases of a binding share: page facts, marked nodes, and those of them that the catalogue knows."""
+
+    def __init__(self, nodes: DataFrame, source_elements: DataFrame, source_documents: DataFrame, context: DataFrame) -> None:
+        documents = source_documents.groupBy("context_id").agg(F.lit(True).alias("has_documents"))
+        self.nodes = nodes
+        self.pages = page_marker_state(nodes, context).join(context.drop("site_fingerprint"), "page_id", "left").join(documents, "context_id", "left")
+        # Only rows that carry a marker meet the catalogue.
+        marked = nodes.select("page_id", "node_ix", markers.data_id().alias("_data_id"), markers.class_marker().alias("_class_marker")).filter(
+            "_data_id IS NOT NULL")
+        counts = value_counts(nodes, (fixed.ELEMENT_ID_ATTRIBUTE,)).select("page_id", F.col("value").alias("_data_id"), F.col("n").alias("_runtime_count"))
+        marked = marked.join(counts, ["page_id", "_data_id"], "left")
+        known = candidates(source_elements, source_documents).withColumnRenamed("element_id", "_data_id")
+        hits = join_page_facts(marked.filter("_class_marker"), context.select("page_id", "context_id"), nodes).join(known, ["context_id", "_data_id"])
+        self.own = marked.select("page_id", "node_ix", "_data_id", "_runtime_count")
+        self.hits = checkpointed(hits.select("page_id", "node_ix", "_data_id", "_runtime_count", F.struct("n_candidates", "source_count", "record").alias("_found")))
+
+    def above(self) -> DataFrame:
+        """(page_id, parent_ix, _above, _above_id): the nearest known node from a parent up."""
+        nearest_hit = enclosing(self.nodes, self.hits.select("page_id", "node_ix", F.lit(True).alias("bearing")), "bearing")
+        owners = nearest_hit.select("page_id", F.col("owner_ix").alias("parent_ix"), F.col("_best_bearing.node_ix").alias("node_ix"))
+        found = self.hits.select("page_id", "node_ix", F.col("_found").alias("_above"), F.col("_data_id").alias("_above_id"))
+        return owners.join(found, ["page_id", "node_ix"]).drop("node_ix")
+
+    def bound(self, rows: DataFrame, binding: Column) -> DataFrame:
+        """`rows` with their page facts and then `binding`; nothing else is left of either."""
+        columns = self.nodes.columns
+        return join_page_facts(rows, self.pages, self.nodes, "left").withColumns({
+            "_runtime_count": F.coalesce("_runtime_count", F.lit(0)), "_class_marker": markers.class_marker()}).select(*columns, binding.alias("binding"))
+
+
+def _direct_binding() -> Column:
+    return _from_candidates(DIRECT, F.col("_data_id"), F.col("_runtime_count"), F.col("_found"))
+
+
+def _inherited_binding() -> Column:
+    inherited = _from_candidates(ANCESTOR, F.lit(None).cast("string"), F.lit(0).cast("bigint"), F.col("_above"))
+    return inherited.withField("runtime_ancestor_id", F.col("_above_id"))
+
+
 def bind_elements(nodes: DataFrame, source_elements: DataFrame, source_documents: DataFrame, context: DataFrame) -> DataFrame:
     """Add `binding`: direct marker, else nearest validated ancestor, else the reason for neither.
 
     `context` has one row per page: page_id, context_id, selected_document_id, confirmation_state.
     """
-    documents = source_documents.groupBy("context_id").agg(F.lit(True).alias("has_documents"))
-    pages = page_marker_state(nodes, context).join(context.drop("site_fingerprint"), "page_id", "left").join(
-        documents, "context_id", "left")
-    # Only rows that carry a marker meet the catalogue.
-    marked = nodes.select("page_id", "node_ix", markers.data_id().alias("_data_id"), markers.class_marker().alias("_class_marker")).filter(
-        "_data_id IS NOT NULL")
-    counts = marker_index(nodes).filter(F.col("attr") == fixed.ELEMENT_ID_ATTRIBUTE).select(
-        "page_id", F.col("value").alias("_data_id"), F.col("n").alias("_runtime_count"))
-    marked = marked.join(counts, ["page_id", "_data_id"], "left")
-    known = candidates(source_elements, source_documents).withColumnRenamed("element_id", "_data_id")
-    hits = (
-        join_page_facts(marked.filter("_class_marker"), context.select("page_id", "context_id"), nodes).join(known, ["context_id", "_data_id"])
-        .select("page_id", "node_ix", F.struct("n_candidates", "source_count", "record").alias("_found"), F.col("_data_id").alias("_hit_id"))
-    )
-    bearing = hits.select("page_id", "node_ix", F.lit(True).alias("bearing"), F.struct("_hit_id", "_found").alias("hit"))
-    linked = nearest(nodes, bearing, "bearing", payload="hit")
-    own = marked.select("page_id", "node_ix", "_data_id", "_runtime_count")
-    facts = (
-        linked.withColumns({"_above": F.col("nearest_bearing_hit._found"), "_above_id": F.col("nearest_bearing_hit._hit_id")})
-        .join(own, ["page_id", "node_ix"], "left").join(hits.select("page_id", "node_ix", "_found"), ["page_id", "node_ix"], "left")
-    )
-    out = (
-        join_page_facts(facts, pages, nodes, "left")
-        .withColumns({"_runtime_count": F.coalesce("_runtime_count", F.lit(0)), "_class_marker": markers.class_marker()})
-    )
-    direct = _from_candidates(DIRECT, F.col("_data_id"), F.col("_runtime_count"), F.col("_found"))
-    inherited = _from_candidates(ANCESTOR, F.lit(None).cast("string"), F.lit(0).cast("bigint"), F.col("_above"))
-    inherited = inherited.withField("runtime_ancestor_id", F.col("_above_id"))
-    binding = F.when(F.col("_found").isNotNull(), direct).when(F.col("_above").isNotNull(), inherited).otherwise(_fallback())
-    dropped = [c for c in out.columns if c.startswith("_")] + [
-        "nearest_bearing", "nearest_bearing_dist", "nearest_bearing_hit", "context_id", "selected_document_id", "confirmation_state", "marker_state", "has_documents"]
-    return out.withColumn("binding", binding).drop(*dropped)
+    known = _Catalogue(nodes, source_elements, source_documents, context)
+    rows = nodes.join(known.above(), ["page_id", "parent_ix"], "left").join(known.own, ["page_id", "node_ix"], "left").join(
+        known.hits.select("page_id", "node_ix", "_found"), ["page_id", "node_ix"], "left")
+    binding = F.when(F.col("_found").isNotNull(), _direct_binding()).when(F.col("_above").isNotNull(), _inherited_binding()).otherwise(_fallback())
+    return known.bound(rows, binding)
 
 
 def bind_direct(nodes: DataFrame, source_elements: DataFrame, source_documents: DataFrame, context: DataFrame) -> DataFrame:
-    return bind_elements(nodes, source_elements, source_documents, context).filter(F.col("binding.binding_basis") == DIRECT)
+    """The elements of `bind_elements` whose own marker is known; nothing is searched for the others."""
+    known = _Catalogue(nodes, source_elements, source_documents, context)
+    return known.bound(nodes.join(known.hits, ["page_id", "node_ix"]), _direct_binding())
 
 
 def bind_nearest_ancestor(nodes: DataFrame, source_elements: DataFrame, source_documents: DataFrame, context: DataFrame) -> DataFrame:
-    return bind_elements(nodes, source_elements, source_documents, context).filter(F.col("binding.binding_basis") == ANCESTOR)
+    """The elements of `bind_elements` that inherit the binding of a node above them."""
+    known = _Catalogue(nodes, source_elements, source_documents, context)
+    below = nodes.join(known.above(), ["page_id", "parent_ix"]).join(known.hits.select("page_id", "node_ix"), ["page_id", "node_ix"], "left_anti")
+    return known.bound(below.withColumn("_runtime_count", F.lit(0).cast("bigint")), _inherited_binding())
 
 
 def bind_fallback(nodes: DataFrame, source_elements: DataFrame, source_documents: DataFrame, context: DataFrame) -> DataFrame:
-    return bind_elements(nodes, source_elements, source_documents, context).filter(~F.col("binding.binding_basis").isin(DIRECT, ANCESTOR))
+    """The elements of `bind_elements` that neither carry a known marker nor lie below one."""
+    known = _Catalogue(nodes, source_elements, source_documents, context)
+    hits = known.hits.select("page_id", "node_ix", F.lit(True).alias("bearing"))
+    below = enclosed_owners(nodes, hits, "bearing").withColumnRenamed("owner_ix", "parent_ix")
+    rest = nodes.join(hits, ["page_id", "node_ix"], "left_anti").join(below, ["page_id", "parent_ix"], "left_anti").join(known.own, ["page_id", "node_ix"], "left")
+    return known.bound(rest, _fallback())
 
 
 # --- after binding -------------------------------------------------------------------------------

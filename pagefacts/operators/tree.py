@@ -11,6 +11,7 @@ from pagefacts.functions.digests import node_id
 from pagefacts.functions.redaction import stable_id
 from pagefacts.operators.intervals import enclosed_owners, joined_paths
 from pagefacts.operators.ranking import node_bucket, ordinal, running_total, running_totals
+from pagefacts.session import checkpointed
 
 
 def _keyed_by_parent(nodes: DataFrame) -> DataFrame:
@@ -34,14 +35,16 @@ def emission_ids(nodes: DataFrame) -> DataFrame:
     return out.withColumn("node_id", node_id(F.col("document_order")))
 
 
+def value_counts(nodes: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """How often each stable value of the named attributes occurs in a page."""
+    entries = F.array(*[F.struct(F.lit(name).alias("attr"), stable_id(markers.attr(name)).alias("value")) for name in names])
+    return nodes.select("page_id", F.explode(F.filter(entries, lambda e: e["value"].isNotNull())).alias("e")).groupBy(
+        "page_id", "e.attr", "e.value").agg(F.count("*").alias("n"))
+
+
 def marker_index(nodes: DataFrame) -> DataFrame:
     """How often each stable attribute value occurs in a page; `complete`: the page is within the published index limit."""
-    entries = F.array(*[
-        F.struct(F.lit(name).alias("attr"), stable_id(markers.attr(name)).alias("value")) for name in fixed.INDEXED_ATTRIBUTES])
-    counted = (
-        nodes.select("page_id", F.explode(F.filter(entries, lambda e: e["value"].isNotNull())).alias("e"))
-        .groupBy("page_id", "e.attr", "e.value").agg(F.count("*").alias("n"))
-    )
+    counted = value_counts(nodes, tuple(fixed.INDEXED_ATTRIBUTES))
     sizes = nodes.groupBy("page_id").agg((F.count("*") <= fixed.IDENTITY_INDEX_LIMIT).alias("complete"))
     return counted.join(sizes, "page_id")
 
@@ -68,14 +71,17 @@ def _anchors(nodes: DataFrame) -> DataFrame:
 
 def structural_refs(nodes: DataFrame) -> DataFrame:
     """`tag:nth-of-type(n)` steps from the nearest unique anchor down to the node."""
-    steps = nth_of_type(_anchors(nodes)).withColumn(
-        "_step", F.coalesce("anchor", F.concat("tag", F.lit(":nth-of-type("), F.col("nth_of_type").cast("string"), F.lit(")"))))
+    own = F.coalesce("anchor", F.concat("tag", F.lit(":nth-of-type("), F.col("nth_of_type").cast("string"), F.lit(")")))
+    # Steps are worked out once: they are read for the references of parents and again for the nodes themselves.
+    steps = checkpointed(nth_of_type(_anchors(nodes)).select(
+        "page_id", "node_ix", "parent_ix", "depth", "child_count", "nth_of_type", "anchor", "anchor_source", own.alias("_step")))
     # One reference per parent; siblings share it.
     owners = steps.filter("child_count > 0").select("page_id", "node_ix", "parent_ix", "depth", F.col("_step").alias("step"), F.col("anchor").isNotNull().alias("last"))
     prefixes = joined_paths(owners, ">").select("page_id", F.col("node_ix").alias("parent_ix"), F.col("path").alias("_prefix"))
-    out = steps.join(prefixes, ["page_id", "parent_ix"], "left")
     below = F.when(F.col("anchor").isNull(), F.col("_prefix"))
-    return out.withColumn("structural_ref", F.concat_ws(">", below, "_step")).drop("_step", "_prefix")
+    named = steps.join(prefixes, ["page_id", "parent_ix"], "left").select(
+        "page_id", "node_ix", "nth_of_type", "anchor", "anchor_source", F.concat_ws(">", below, "_step").alias("structural_ref"))
+    return nodes.join(named, ["page_id", "node_ix"])
 
 
 def identities(nodes: DataFrame) -> DataFrame:
