@@ -74,7 +74,10 @@ def verify_files(files: DataFrame, manifest: DataFrame, checksums: DataFrame) ->
 ISSUE_ORDER = (
     "MANIFEST_DUPLICATE", "FILE_DUPLICATE", "FILE_MISSING", "FILE_EXTRA", "SCHEMA_NOT_REGISTERED", "NOT_CANONICAL", "MANIFEST_FILE_MISSING",
     "MANIFEST_SIZE", "MANIFEST_DIGEST", "CHECKSUM_LINE_MALFORMED", "CHECKSUM_DUPLICATE", "CHECKSUM_MISSING", "CHECKSUM_EXTRA",
-    "CHECKSUM_FILE_MISSING", "CHECKSUM_DIGEST",
+    "CHECKSUM_FILE_MISSING", "CHECKSUM_DIGEST", "NO_SNAPSHOTS", "DUPLICATE_OBSERVATION_INDEX", "NON_CONTIGUOUS_OBSERVATION_INDEX", "DUPLICATE_SNAPSHOT",
+    "OBSERVATION_SET_MISSING", "MISSING_SNAPSHOT", "REPEATED_REFERENCE", "OBSERVATION_INDEX_DISAGREES", "SNAPSHOT_PATH_DISAGREES", "ORPHAN_SNAPSHOT",
+    "READINESS_MISSING", "SOURCE_CONTEXT_REQUIRED", "SOURCE_CONTEXT_INCOMPATIBLE", "INSUFFICIENT_RUNTIME_OBSERVATIONS", "INSUFFICIENT_DISTINCT_VIEWPORTS",
+    "REQUIRED_VIEWPORT_PROFILE_MISSING", "PAGE_FINGERPRINT_MISMATCH", "PYTHON_FEED_NOT_READY",
 )
 
 
@@ -100,6 +103,63 @@ def canonical_issues(artifacts: DataFrame, registered: list[str]) -> DataFrame:
     return parsed.select(*_KEYS, F.explode(found).alias("issue"))
 
 
+def snapshot_graph_issues(packages: DataFrame, snapshots: DataFrame, references: DataFrame, sets: DataFrame) -> DataFrame:
+    """`package_id`, `path`, `issue` where the snapshots of a package and the references of its observation set do not agree, in either direction.
+
+    `packages` has package_id; `snapshots` package_id, path, snapshot_id, observation_index; `references` package_id, snapshot_id, snapshot_path,
+    observation_index; `sets` the package_id of those with an observation set.  Edges are joined by (package, snapshot), so a package with a third of all
+    snapshots is spread.
+    """
+    key = ["package_id", "snapshot_id"]
+    keys = snapshots.groupBy(*key).agg(F.count("*").alias("_copies"), F.min("path").alias("path"), F.min("observation_index").alias("_index"))
+    places = snapshots.groupBy("package_id", "observation_index").agg(F.count("*").alias("_n")).groupBy("package_id").agg(
+        F.sum("_n").alias("_snapshots"), F.count("*").alias("_distinct"), F.min("observation_index").alias("_low"), F.max("observation_index").alias("_high"))
+    whole = packages.select("package_id").distinct().join(places, "package_id", "left").join(
+        sets.select("package_id", F.lit(True).alias("_set")).distinct(), "package_id", "left")
+    repeats = F.col("_distinct") < F.col("_snapshots")
+    gaps = (F.col("_low") != 0) | (F.col("_high") != F.col("_distinct") - 1)
+    of_package = whole.select("package_id", F.lit("").alias("path"), F.explode(F.array_compact(F.array(
+        F.when(F.col("_snapshots").isNull(), "NO_SNAPSHOTS"), F.when(repeats, "DUPLICATE_OBSERVATION_INDEX"), F.when(gaps, "NON_CONTIGUOUS_OBSERVATION_INDEX"),
+        F.when(F.col("_set").isNull(), "OBSERVATION_SET_MISSING")))).alias("issue"))
+    listed = references.join(sets.select("package_id").distinct(), "package_id", "left_semi")
+    edges = listed.groupBy(*key).agg(F.count("*").alias("_times"), F.min("snapshot_path").alias("_path"), F.max("snapshot_path").alias("_other_path"),
+                                     F.min("observation_index").alias("_named"), F.max("observation_index").alias("_other_named"))
+    there = sets.select("package_id", F.lit(True).alias("_set")).distinct()
+    met = keys.join(edges, key, "full").join(there, "package_id", "left")
+    known, named = F.col("_copies").isNotNull(), F.col("_times").isNotNull()
+    of_edge = met.select("package_id", F.coalesce("path", "_path").alias("path"), F.explode(F.array_compact(F.array(
+        F.when(F.col("_copies") > 1, "DUPLICATE_SNAPSHOT"), F.when(~known, "MISSING_SNAPSHOT"), F.when(F.col("_times") > 1, "REPEATED_REFERENCE"),
+        F.when(known & ((F.col("_named") != F.col("_index")) | (F.col("_other_named") != F.col("_index"))), "OBSERVATION_INDEX_DISAGREES"),
+        F.when(known & ((F.col("_path") != F.col("path")) | (F.col("_other_path") != F.col("path"))), "SNAPSHOT_PATH_DISAGREES"),
+        F.when(F.col("_set") & ~named, "ORPHAN_SNAPSHOT")))).alias("issue"))
+    return of_package.unionByName(of_edge)
+
+
+def readiness_agreement(packages: DataFrame, snapshots: DataFrame, readiness: DataFrame, contexts: DataFrame) -> DataFrame:
+    """`package_id`, `path`, `issue` where a package says it is ready and its snapshots or its source context do not bear that out.
+
+    `snapshots` adds page_fingerprint, inner_width and requested_profile; `readiness` has package_id, state, export_allowed, n_blocking; `contexts` has
+    package_id, context_sha256 (null: no context), and of the reference confirmation_state and imported_sha256, with has_reference.
+    """
+    facts = snapshots.groupBy("package_id").agg(
+        F.count("*").alias("_n"), F.count_distinct("inner_width").alias("_widths"), F.min("page_fingerprint").alias("_one"), F.max("page_fingerprint").alias("_two"),
+        *[F.bool_or(F.col("requested_profile") == p).alias(f"_{p}") for p in fixed.REQUIRED_PROFILES])
+    rows = packages.select("package_id").distinct().join(readiness, "package_id", "left").join(contexts, "package_id", "left").join(facts, "package_id", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    ready = yes(F.col("state") == "READY")
+    there = F.col("context_sha256").isNotNull() & yes(F.col("has_reference"))
+    fits = yes(F.col("confirmation_state") == "CONFIRMED") & yes(F.col("imported_sha256") == F.col("context_sha256"))
+    profiles = F.lit(True)
+    for p in fixed.REQUIRED_PROFILES:
+        profiles = profiles & yes(F.col(f"_{p}"))
+    return rows.select("package_id", F.lit("").alias("path"), F.explode(F.array_compact(F.array(
+        F.when(F.col("state").isNull(), "READINESS_MISSING"), F.when(ready & ~there, "SOURCE_CONTEXT_REQUIRED"),
+        F.when(ready & there & ~fits, "SOURCE_CONTEXT_INCOMPATIBLE"), F.when(ready & ~yes(F.col("_n") >= 3), "INSUFFICIENT_RUNTIME_OBSERVATIONS"),
+        F.when(ready & ~yes(F.col("_widths") >= 3), "INSUFFICIENT_DISTINCT_VIEWPORTS"), F.when(ready & ~profiles, "REQUIRED_VIEWPORT_PROFILE_MISSING"),
+        F.when(ready & yes(F.col("_one") != F.col("_two")), "PAGE_FINGERPRINT_MISMATCH"),
+        F.when(ready & ~(yes(F.col("export_allowed")) & yes(F.col("n_blocking") == 0)), "PYTHON_FEED_NOT_READY")))).alias("issue"))
+
+
 ROUTES = (("runtime_package", "1.4.0", "RUNTIME_1_4"), ("runtime_package", "1.3.0", "RUNTIME_1_3"), ("source_bundle", None, "SOURCE"))
 ADDED_IN_1_4 = ("incomplete_image_count_total", "capture_state", "capture_environment", "document_instances", "source_runtime_cardinality")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagefacts.session import tune
 
-_MODULES = ("page_queries", "tree_queries", "binding_queries", "session_queries", "package_queries", "stream_queries")
+_MODULES = ("page_queries", "tree_queries", "binding_queries", "session_queries", "package_queries", "contract_queries", "stream_queries")
 
 
 def _modules() -> list:
