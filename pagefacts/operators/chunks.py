@@ -86,10 +86,11 @@ def stale_jobs(jobs: DataFrame, chunks: DataFrame, now: Column, seconds: int = f
     return out.select("job_id", "status", action.alias("action"))
 
 
-def retention_candidates(jobs: DataFrame, now: Column, days: int = fixed.RETENTION_DAYS) -> DataFrame:
-    """Terminal jobs that were last touched before the retention window."""
+def retention_candidates(jobs: DataFrame, now: Column, days: int = fixed.RETENTION_DAYS, last_run: Column | None = None) -> DataFrame:
+    """Terminal jobs that were last touched before the retention window; none before maintenance is due again, where `last_run` is given."""
     old = F.coalesce(F.unix_micros(now) - F.unix_micros("updated_at") >= days * 86_400_000_000, F.lit(True))
-    return jobs.filter(~is_active() & old)
+    due = F.lit(True) if last_run is None else maintenance_due(last_run, now)
+    return jobs.filter(~is_active() & old & due)
 
 
 def maintenance_due(last_run: Column, now: Column, seconds: int = fixed.MAINTENANCE_INTERVAL_SECONDS) -> Column:

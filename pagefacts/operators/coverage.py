@@ -164,10 +164,10 @@ def merge_diagnostics(keys: list[str], *groups: DataFrame) -> DataFrame:
 
 
 def page_diagnostics(elements: DataFrame, keys: list[str]) -> DataFrame:
-    """Identity, text and ambiguity diagnostics of a snapshot from its elements."""
+    """Identity, text and ambiguity diagnostics of a snapshot from its elements; `text_over_limit` is `over_limit` of `text_shape`."""
     facts = elements.groupBy(*keys).agg(
         F.count_if(F.col("identity_status") == "AMBIGUOUS").alias("_collisions"),
-        F.count_if(F.col("text_status") == "BOUNDED_LIMIT_REACHED").alias("_bounded"),
+        F.count_if("text_over_limit").alias("_bounded"),
         F.count_if(F.col("binding_state") == "AMBIGUOUS").alias("_ambiguous"),
         F.count_if(F.col("identity_status") != "UNIQUE").alias("_partial"))
     rows = F.array_compact(F.array(*[

@@ -60,12 +60,13 @@ def _nested_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def default_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every other context keeps only its page document."""
+    """In every other context the page document stands alone; the others are a context of their own."""
     from pagefacts.operators import conformance
 
     documents = derive.source_documents(spark, sf_dir)
     number = F.regexp_extract("context_id", "([0-9]+)", 1).cast("int")
-    return conformance.default_selection(documents.filter((number % 2 == 1) | (F.col("document_type") == "page")))
+    apart = (number % 2 == 0) & (F.col("document_type") != "page")
+    return conformance.default_selection(documents.withColumn("context_id", F.when(apart, F.concat("context_id", F.lit("-rest"))).otherwise(F.col("context_id"))))
 
 
 def source_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,7 +330,7 @@ ORACLES = {
     "bind_fallback": _with(CATALOGUE, f"SELECT {_COLUMNS} FROM bd WHERE NOT is_up AND NOT is_direct"),
     "read_source_context": _with(CATALOGUE, """SELECT context_id, count(DISTINCT document_id) AS n_documents, (SELECT count(*) FROM se WHERE se.context_id = sd.context_id) AS n_elements,
   false AS too_many_documents, (SELECT count(*) FROM se WHERE se.context_id = sd.context_id) > 50000 AS too_many_elements FROM sd GROUP BY context_id"""),
-    "default_selection": _with(CATALOGUE, "SELECT context_id, CASE WHEN page_id % 2 = 0 THEN min(document_id) END AS selected_document_id FROM sd WHERE page_id % 2 = 1 OR document_type = 'page' GROUP BY context_id, page_id"),
+    "default_selection": _with(CATALOGUE, "SELECT context_id, CASE WHEN count(*) = 1 THEN min(document_id) END AS selected_document_id FROM (SELECT document_id, CASE WHEN page_id % 2 = 0 AND document_type <> 'page' THEN context_id || '-rest' ELSE context_id END AS context_id FROM sd) GROUP BY context_id"),
     "source_sections": _with(CATALOGUE, "SELECT context_id, source_element_key, section_key, section_element_id, section_kind FROM ss"),
     "page_marker_state": _with(CATALOGUE, "SELECT page_id, marker_state FROM pm"),
     "region_bindings": _with(f"{ELEMENTS},{_EL_REGIONS}", """SELECT page_id, node_ix, region_kind, binding_state AS source_binding_state, source_document_id, source_section_key,

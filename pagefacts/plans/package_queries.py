@@ -72,7 +72,7 @@ def stale_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retention_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_ops.retention_candidates(derive.jobs(spark, sf_dir), _clock("2024-01-31 00:08:20")).select("job_id", "status")
+    return chunk_ops.retention_candidates(derive.jobs(spark, sf_dir), _clock("2024-01-31 00:08:20"), last_run=_clock("2024-01-30 00:00:00")).select("job_id", "status")
 
 
 def active_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:

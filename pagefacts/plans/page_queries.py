@@ -151,7 +151,9 @@ def disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bind_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     located = page_ops.with_locator_digest(page_ops.page_locators(_pages(spark, sf_dir).select("page_id", "url")))
-    ids = page_ops.page_ids(derive.page_nodes(spark, sf_dir).filter("page_id % 4 <> 3"))
+    # Pages whose marker was not recorded have no ids.
+    recorded = F.when(F.col("page_id") % 4 != 3, F.col("raw_page_ids"))
+    ids = page_ops.page_ids(derive.page_nodes(spark, sf_dir)).withColumn("raw_page_ids", recorded)
     context = _context(spark, sf_dir)
     documents = located.join(context, "page_id").filter("selected_document_id IS NOT NULL").select(
         "context_id", F.col("selected_document_id").alias("document_id"),

@@ -155,7 +155,7 @@ ELEMENT_COLUMNS = {
     "text_availability": "CASE WHEN (event_id + i) % 5 = 0 THEN 'NOT_APPLICABLE' ELSE 'AVAILABLE' END",
     "overflowing": "(event_id + i) % 3 = 0",
     "identity_status": "CASE WHEN (event_id + i) % 53 = 0 THEN 'AMBIGUOUS' ELSE 'UNIQUE' END",
-    "text_status": "CASE WHEN (event_id + i) % 61 = 0 THEN 'BOUNDED_LIMIT_REACHED' ELSE 'MEASURED' END",
+    "text_over_limit": "(event_id + i) % 61 = 0",
 }
 DIAGNOSTIC_COLUMNS = {
     "code": """CASE event_type WHEN 'click' THEN CASE k % 4 WHEN 0 THEN 'SCAN_LIMIT_REACHED' WHEN 1 THEN 'DEPTH_LIMIT_REACHED' WHEN 2 THEN 'IDENTITY_COLLISION' ELSE 'PARTIAL_IDENTITY' END

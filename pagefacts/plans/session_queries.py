@@ -36,13 +36,13 @@ def environment_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def modal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order nodes of the tree stand in for dialogs."""
-    rows = derive.measured_tree(spark, sf_dir)
+    rows, order = derive.measured_tree(spark, sf_dir), F.col("depth") == 3
     mapped = rows.withColumn("attrs", F.map_filter(F.create_map(
-        F.lit("open"), F.when(F.col("orderkey") % 5 == 0, ""), F.lit("aria-modal"), F.when(F.col("orderkey") % 7 == 0, "true"),
-        F.lit("role"), F.when(F.col("orderkey") % 4 == 0, "dialog")), lambda _, v: v.isNotNull())).withColumn(
-        "tag", F.when(F.col("depth") == 3, "dialog").otherwise("div"))
+        F.lit("open"), F.when(order & (F.col("orderkey") % 5 == 0), ""), F.lit("aria-modal"), F.when(order & (F.col("orderkey") % 7 == 0), "true"),
+        F.lit("role"), F.when(order & (F.col("orderkey") % 4 == 0), "dialog")), lambda _, v: v.isNotNull())).withColumn(
+        "tag", F.when(order, "dialog").otherwise("div"))
     visible = ~F.coalesce(F.col("styles")["display"] == "none", F.lit(False))
-    return sessions.modal_counts(mapped.filter("depth = 3"), visible)
+    return sessions.modal_counts(mapped, visible)
 
 
 def client_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -520,7 +520,7 @@ ORACLES = {
   CASE WHEN failed THEN 'ERROR' WHEN stop IS NULL AND last_e >= 1500 THEN 'PARTIAL' ELSE 'AVAILABLE' END AS availability, CASE WHEN failed THEN bad_at ELSE coalesce(stop, last_n) END + 1 AS sample_count,
   CAST(CASE WHEN failed THEN -1.0 ELSE coalesce(stop_w, last_w) END AS DOUBLE) AS final_document_width FROM (SELECT *, coalesce(bad_at <= coalesce(stop, last_n), false) AS failed FROM (
   SELECT capture_id, min(CASE WHEN run THEN n END) AS stop, max(n) AS last_n, arg_max(e, n) AS last_e, arg_max(w, n) AS last_w, arg_min(w, n) FILTER (run) AS stop_w, min(CASE WHEN bad THEN n END) AS bad_at FROM rr WHERE seen GROUP BY capture_id))""",
-        """, rs0 AS (SELECT session_id AS capture_id, pure_index AS n, pure_index * 100.0 AS e, CASE WHEN k < 50 THEN 1000.0 ELSE 1010.0 END AS w, k = 97 AND user_id % 3 = 0 AS bad, k % 25 <> 0 AND k % 20 <> 1 AND k % 15 <> 2 AS ready FROM ob WHERE kind = 'user'),
+        """, rs0 AS (SELECT session_id AS capture_id, pure_index AS n, pure_index * 100.0 AS e, CASE WHEN k < 50 THEN 1000.0 ELSE 1010.0 END AS w, k = 97 AND user_id % 3 = 0 AS bad, k % 25 <> 0 AND k % 20 <> 1 AND k % 15 <> 2 AS ready FROM ob),
 rs1 AS (SELECT *, n = 0 OR coalesce(lag(e) OVER w1 < 1500, false) AS seen, coalesce(lag(w) OVER w1 = w AND NOT bad AND NOT lag(bad) OVER w1, false) AND ready AS ok FROM rs0 WINDOW w1 AS (PARTITION BY capture_id ORDER BY n)),
 rr AS (SELECT *, seen AND ok AND coalesce(lag(ok, 1) OVER w2, false) AND coalesce(lag(ok, 2) OVER w2, false) AS run FROM rs1 WINDOW w2 AS (PARTITION BY capture_id ORDER BY n))"""),
     "image_readiness": _observed("""SELECT *, broken + pending + decode_failed + timed_out AS unresolved FROM (SELECT session_id, count(*) AS candidates, count_if(k % 3 <> 0 AND k % 5 > 0) AS loaded, count_if(k % 3 <> 0 AND k % 5 = 0) AS broken, count_if(k % 3 = 0 AND k % 4 = 1) AS decode_failed,
@@ -578,7 +578,7 @@ rr AS (SELECT *, seen AND ok AND coalesce(lag(ok, 1) OVER w2, false) AND coalesc
     "diagnostic_set": _observed(f"SELECT DISTINCT session_id, sha256({_DIAGNOSTIC}) AS digest FROM dg"),
     "merge_diagnostics": _observed(f"SELECT session_id, code, count(DISTINCT {_DIAGNOSTIC}) AS n FROM dg GROUP BY ALL"),
     "page_diagnostics": _observed("\nUNION ALL ".join(f"SELECT session_id, '{c}' AS code, count_if({w}) AS count FROM oe GROUP BY ALL HAVING count_if({w}) > 0" for c, w in (
-        ("IDENTITY_COLLISION", "identity_status = 'AMBIGUOUS'"), ("TEXT_SHAPE_LIMIT_REACHED", "text_status = 'BOUNDED_LIMIT_REACHED'"), ("SOURCE_BINDING_AMBIGUOUS", "binding_state = 'AMBIGUOUS'"), ("PARTIAL_IDENTITY", "identity_status <> 'UNIQUE'")))),
+        ("IDENTITY_COLLISION", "identity_status = 'AMBIGUOUS'"), ("TEXT_SHAPE_LIMIT_REACHED", "text_over_limit"), ("SOURCE_BINDING_AMBIGUOUS", "binding_state = 'AMBIGUOUS'"), ("PARTIAL_IDENTITY", "identity_status <> 'UNIQUE'")))),
     "budget_totals": _observed("""SELECT session_id, CAST(sum(element_budget) AS BIGINT) AS element_budget_total, CAST(sum(elements_emitted) AS BIGINT) AS element_budget_used, CAST(sum(scan_budget) AS BIGINT) AS scan_budget_total, CAST(sum(scan_used) AS BIGINT) AS scan_budget_used,
   max(max_depth) AS maximum_depth_observed, CAST(sum(truncated) AS BIGINT) AS truncated_branch_count FROM ob GROUP BY session_id"""),
     "evidence_binding_state": _observed("SELECT snapshot_id, CASE WHEN k % 7 = 0 THEN 'AMBIGUOUS' WHEN k % 2 = 0 AND k % 3 = 0 AND k % 5 > 0 THEN 'EXACT' WHEN k % 2 = 0 AND (k % 3 = 0 OR k % 5 > 0) THEN 'PROBABLE' ELSE 'UNMATCHED' END AS binding_state FROM ob"),

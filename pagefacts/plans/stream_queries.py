@@ -115,7 +115,7 @@ SELECT job_id, CAST(a.n AS INT) AS n_chunks, a.b AS n_bytes, h AS text_sha256 FR
     "readiness_stream": _observed("""SELECT capture_id, CASE WHEN failed THEN 'ERROR' WHEN stop IS NOT NULL THEN 'STABLE' ELSE 'TIMEOUT' END AS process_state, CAST(CASE WHEN failed THEN bad_at ELSE coalesce(stop, last_n) END + 1 AS INT) AS sample_count,
   CAST(CASE WHEN failed THEN -1.0 ELSE coalesce(stop_w, last_w) END AS DOUBLE) AS final_document_width FROM (SELECT *, coalesce(bad_at <= coalesce(stop, last_n), false) AS failed FROM (
   SELECT capture_id, min(CASE WHEN run THEN n END) AS stop, max(n) FILTER (seen) AS last_n, arg_max(w, n) FILTER (seen) AS last_w, arg_min(w, n) FILTER (run) AS stop_w, min(CASE WHEN bad AND seen THEN n END) AS bad_at, bool_or(NOT seen) AS more FROM rr GROUP BY capture_id)) WHERE failed OR stop IS NOT NULL OR more""",
-        """, rs0 AS (SELECT session_id AS capture_id, pure_index AS n, pure_index * 100.0 AS e, CASE WHEN k < 50 THEN 1000.0 ELSE 1010.0 END AS w, k = 97 AND user_id % 3 = 0 AS bad, k % 25 <> 0 AND k % 20 <> 1 AND k % 15 <> 2 AS ready FROM ob WHERE kind = 'user'),
+        """, rs0 AS (SELECT session_id AS capture_id, pure_index AS n, pure_index * 100.0 AS e, CASE WHEN k < 50 THEN 1000.0 ELSE 1010.0 END AS w, k = 97 AND user_id % 3 = 0 AS bad, k % 25 <> 0 AND k % 20 <> 1 AND k % 15 <> 2 AS ready FROM ob),
 rs1 AS (SELECT *, n = 0 OR coalesce(lag(e) OVER w1 < 1500, false) AS seen, coalesce(lag(w) OVER w1 = w AND NOT bad AND NOT lag(bad) OVER w1, false) AND ready AS ok FROM rs0 WINDOW w1 AS (PARTITION BY capture_id ORDER BY n)),
 rr AS (SELECT *, seen AND ok AND coalesce(lag(ok, 1) OVER w2, false) AND coalesce(lag(ok, 2) OVER w2, false) AS run FROM rs1 WINDOW w2 AS (PARTITION BY capture_id ORDER BY n))"""),
     # A job that is active at its last event is interrupted once the stream's time has passed that event by the stale time.
