@@ -317,17 +317,23 @@ CHUNK_CHARACTERS = 2000
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return job_columns(table(spark, sf_dir, "documents"))
+
+
+def job_columns(documents: DataFrame) -> DataFrame:
+    """One job per document, which was to be sent in chunks."""
     text = F.col("text")
     status = F.element_at(F.array(*[F.lit(s) for s in ("PREPARED", "INJECTED", "RECEIVING", "ASSEMBLING", "COMPLETE", "FAILED")]), (F.col("doc_id") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("job-"), F.col("doc_id").cast("string")).alias("job_id"), F.col("source").alias("session_id"), "doc_id",
+    source = F.col("source") if "source" in documents.columns else F.lit(None).cast("string")
+    return documents.select(
+        F.concat(F.lit("job-"), F.col("doc_id").cast("string")).alias("job_id"), source.alias("session_id"), "doc_id",
         (F.floor(F.col("doc_id") / 3) % 400).alias("tab_id"), status.alias("status"),
         F.timestamp_add("SECOND", F.col("doc_id").cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("updated_at"),
         F.greatest(F.lit(1), F.ceil(F.length(text) / CHUNK_CHARACTERS)).cast("int").alias("expected_chunks"), F.lit(fixed.MAX_SNAPSHOT_BYTES).cast("bigint").alias("max_bytes"),
         F.when(F.col("doc_id") % 5 != 0, F.sha2(F.when(F.col("doc_id") % 97 == 3, F.concat(text, F.lit("!"))).otherwise(text), 256)).alias("full_sha256"))
 
 
-def _pieces(documents: DataFrame) -> DataFrame:
+def pieces(documents: DataFrame) -> DataFrame:
     last = F.greatest(F.lit(0), F.ceil(F.length("text") / CHUNK_CHARACTERS).cast("int") - 1)
     rows = documents.select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
     return rows.withColumn("data", F.expr(f"substring(text, {CHUNK_CHARACTERS} * chunk_index + 1, {CHUNK_CHARACTERS})")).drop("text")
@@ -345,7 +351,7 @@ def chunk_columns(pieces: DataFrame, *extra: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_columns(_pieces(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return chunk_columns(pieces(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def packages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -69,6 +69,31 @@ def readiness_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("capture_id", "process_state", "sample_count", F.coalesce("final_document_width", F.lit(-1.0)).alias("final_document_width"))
 
 
+def readiness_timeout_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures begin an hour apart by user; most stop before they are stable."""
+    folder = stored_path(spark, sf_dir, "timed_samples", _timed_samples)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    out = run_available(processors.readiness_timeout_stream(stream, watermark="1 hour"), "readiness-timeout")
+    return out.select("capture_id", "process_state", "sample_count", F.coalesce("final_document_width", F.lit(-1.0)).alias("final_document_width"))
+
+
+def _timed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.regexp_extract("capture_id", "([0-9]+)", 1).cast("bigint") * 3_600_000 + 1_704_067_200_000
+    millis = start + F.when(F.startswith("capture_id", F.lit("guided")), 1_800_000).otherwise(0) + F.col("elapsed_ms").cast("bigint")
+    samples = derive.readiness_samples(spark, sf_dir)
+    return samples.withColumn("event_time", F.timestamp_millis(millis))
+
+
+def job_recovery_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a job and its chunks, from one stream of documents; the last minute of jobs stays open."""
+    documents = file_stream(spark, sf_dir, "documents.parquet").select("doc_id", "text")
+    at = F.timestamp_add("SECOND", F.col("doc_id").cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("event_time")
+    jobs = derive.job_columns(documents).select("job_id", at, F.lit("JOB").alias("kind"), "status", F.col("expected_chunks").alias("total"), "max_bytes", "full_sha256")
+    chunks = derive.chunk_columns(derive.pieces(documents)).select("job_id", at, F.lit("CHUNK").alias("kind"), "chunk_index", "data", "byte_length", "sha256")
+    out = run_available(processors.job_recovery_stream(jobs.unionByName(chunks, allowMissingColumns=True), watermark="61500 milliseconds"), "recovery")
+    return out.select("job_id", "action", F.coalesce("reason", F.lit("-")).alias("reason"), "n_chunks", "n_bytes", F.coalesce("text_sha256", F.lit("-")).alias("text_sha256"))
+
+
 def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = sessions.context_match(derive.sessions(spark, sf_dir), derive.imported_contexts(spark, sf_dir)).select(
         "session_id", "context_known", F.col("reference_digest").alias("session_reference"),
@@ -93,12 +118,16 @@ def session_rollup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    ingest_chunks, read_chunk_stream, assemble_stream, job_state_stream, stale_job_stream, readiness_stream, admission_stream, session_rollup_stream)}
+    ingest_chunks, read_chunk_stream, assemble_stream, job_state_stream, stale_job_stream, job_recovery_stream, readiness_stream, readiness_timeout_stream, admission_stream, session_rollup_stream)}
 
 _JOBS = """ev AS (SELECT event_id, ts, 'job-' || user_id || '-' || CAST(floor(epoch(ts) / 86400) AS BIGINT) AS job_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events),
 je AS (SELECT *, CASE k % 40 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'CANCELLED' WHEN 2 THEN 'COMPLETE' ELSE ['PREPARED', 'INJECTED', 'RECEIVING', 'ASSEMBLING'][k % 4 + 1] END AS status, k % 40 < 3 AS term FROM ev),
 ja AS (SELECT *, coalesce(bool_or(term) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM je)"""
 
+_SAMPLES = """, rs0 AS (SELECT session_id AS capture_id, pure_index AS n, pure_index * 100.0 AS e, CASE WHEN k < 50 THEN 1000.0 ELSE 1010.0 END AS w, k = 97 AND user_id % 3 = 0 AS bad, k % 25 <> 0 AND k % 20 <> 1 AND k % 15 <> 2 AS ready FROM ob),
+rs1 AS (SELECT *, n = 0 OR coalesce(lag(e) OVER w1 < 1500, false) AS seen, coalesce(lag(w) OVER w1 = w AND NOT bad AND NOT lag(bad) OVER w1, false) AND ready AS ok FROM rs0 WINDOW w1 AS (PARTITION BY capture_id ORDER BY n)),
+rr AS (SELECT *, seen AND ok AND coalesce(lag(ok, 1) OVER w2, false) AND coalesce(lag(ok, 2) OVER w2, false) AS run FROM rs1 WINDOW w2 AS (PARTITION BY capture_id ORDER BY n))"""
+
 ORACLES = {
     # The byte cap is sequential: a chunk that does not fit is left out and later, smaller ones may still fit.
     "ingest_chunks": f"""WITH RECURSIVE {_CHUNKS}, base AS (SELECT ch.*, jb.active, octet_length(encode(data)) AS nb, octet_length(encode(data)) = bl AND sha = sha256(data) AS good FROM ch JOIN jb USING (job_id)),
@@ -115,11 +144,20 @@ SELECT job_id, CAST(a.n AS INT) AS n_chunks, a.b AS n_bytes, h AS text_sha256 FR
     "readiness_stream": _observed("""SELECT capture_id, CASE WHEN failed THEN 'ERROR' WHEN stop IS NOT NULL THEN 'STABLE' ELSE 'TIMEOUT' END AS process_state, CAST(CASE WHEN failed THEN bad_at ELSE coalesce(stop, last_n) END + 1 AS INT) AS sample_count,
   CAST(CASE WHEN failed THEN -1.0 ELSE coalesce(stop_w, last_w) END AS DOUBLE) AS final_document_width FROM (SELECT *, coalesce(bad_at <= coalesce(stop, last_n), false) AS failed FROM (
   SELECT capture_id, min(CASE WHEN run THEN n END) AS stop, max(n) FILTER (seen) AS last_n, arg_max(w, n) FILTER (seen) AS last_w, arg_min(w, n) FILTER (run) AS stop_w, min(CASE WHEN bad AND seen THEN n END) AS bad_at, bool_or(NOT seen) AS more FROM rr GROUP BY capture_id)) WHERE failed OR stop IS NOT NULL OR more""",
-        """, rs0 AS (SELECT session_id AS capture_id, pure_index AS n, pure_index * 100.0 AS e, CASE WHEN k < 50 THEN 1000.0 ELSE 1010.0 END AS w, k = 97 AND user_id % 3 = 0 AS bad, k % 25 <> 0 AND k % 20 <> 1 AND k % 15 <> 2 AS ready FROM ob),
-rs1 AS (SELECT *, n = 0 OR coalesce(lag(e) OVER w1 < 1500, false) AS seen, coalesce(lag(w) OVER w1 = w AND NOT bad AND NOT lag(bad) OVER w1, false) AND ready AS ok FROM rs0 WINDOW w1 AS (PARTITION BY capture_id ORDER BY n)),
-rr AS (SELECT *, seen AND ok AND coalesce(lag(ok, 1) OVER w2, false) AND coalesce(lag(ok, 2) OVER w2, false) AS run FROM rs1 WINDOW w2 AS (PARTITION BY capture_id ORDER BY n))"""),
+        _SAMPLES),
+    "readiness_timeout_stream": _observed("""SELECT capture_id, CASE WHEN failed THEN 'ERROR' WHEN stop IS NOT NULL THEN 'STABLE' ELSE 'TIMEOUT' END AS process_state, CAST(CASE WHEN failed THEN bad_at ELSE coalesce(stop, last_n) END + 1 AS INT) AS sample_count,
+  CAST(CASE WHEN failed THEN -1.0 ELSE coalesce(stop_w, last_w) END AS DOUBLE) AS final_document_width FROM (SELECT *, coalesce(bad_at <= coalesce(stop, last_n), false) AS failed FROM (
+  SELECT capture_id, min(CASE WHEN run THEN n END) AS stop, max(n) FILTER (seen) AS last_n, arg_max(w, n) FILTER (seen) AS last_w, arg_min(w, n) FILTER (run) AS stop_w, min(CASE WHEN bad AND seen THEN n END) AS bad_at, bool_or(NOT seen) AS more FROM rr GROUP BY capture_id)) JOIN (SELECT capture_id, CAST(regexp_extract(capture_id, '([0-9]+)', 1) AS BIGINT) * 3600000 + CASE WHEN capture_id LIKE 'guided%' THEN 1800000 ELSE 0 END AS began FROM rs0 GROUP BY ALL) b USING (capture_id)
+  WHERE failed OR stop IS NOT NULL OR more OR began + 1500 <= (SELECT max(CAST(regexp_extract(capture_id, '([0-9]+)', 1) AS BIGINT) * 3600000 + CASE WHEN capture_id LIKE 'guided%' THEN 1800000 ELSE 0 END + e) - 3600000 FROM rs0)""",
+        _SAMPLES),
     # A job that is active at its last event is interrupted once the stream's time has passed that event by the stale time.
     "stale_job_stream": f"""WITH {_JOBS}, l AS (SELECT job_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS last_at FROM ja WHERE NOT ended GROUP BY job_id)
-SELECT job_id, strftime(last_at + INTERVAL 30 SECOND, '%Y-%m-%d %H:%M:%S') AS interrupted_at FROM l WHERE status IN ('PREPARED', 'INJECTED', 'RECEIVING', 'ASSEMBLING') AND last_at + INTERVAL 30 SECOND <= (SELECT max(ts) FROM ev)""",
+SELECT job_id, strftime(last_at + INTERVAL 30 SECOND, '%Y-%m-%d %H:%M:%S') AS interrupted_at FROM l WHERE status IN ('PREPARED', 'INJECTED', 'RECEIVING', 'ASSEMBLING') AND last_at + INTERVAL 30 SECOND <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM ev)""",
+    "job_recovery_stream": f"""WITH {_CHUNKS}, whole AS (SELECT job_id, sha256(string_agg(data, '' ORDER BY chunk_index)) AS h FROM dc GROUP BY ALL),
+rs AS (SELECT jt.job_id, updated_at, active, h, n, b, CASE WHEN n <> expected_chunks OR lo <> 0 OR hi <> expected_chunks - 1 THEN 'CHUNK_SEQUENCE' WHEN conflict THEN 'CONFLICTING_DUPLICATE'
+  WHEN legacy AND full_sha256 IS NULL THEN 'LEGACY_INTEGRITY_UNAVAILABLE' WHEN b > 12000000 THEN 'ASSEMBLED_SIZE' WHEN NOT intact THEN 'CHUNK_INTEGRITY' WHEN full_sha256 IS NOT NULL AND full_sha256 <> h THEN 'ASSEMBLED_CHECKSUM' END AS r
+  FROM jt LEFT JOIN whole USING (job_id))
+SELECT job_id, CASE WHEN r IS NULL THEN 'COMPLETE' WHEN r = 'CHUNK_SEQUENCE' THEN 'INTERRUPTED' ELSE 'FAILED' END AS action, coalesce(r, '-') AS reason, CAST(n AS INT) AS n_chunks, b AS n_bytes, CASE WHEN r IS NULL THEN h ELSE '-' END AS text_sha256
+FROM rs WHERE active AND updated_at + INTERVAL 30 SECOND <= (SELECT max(updated_at) - INTERVAL 61500 MILLISECOND FROM rs)""",
     "session_rollup_stream": _observed("""SELECT session_id, CASE WHEN bool_and(status = 'COMPLETE') THEN 'COMPLETE' ELSE 'PARTIAL' END AS status, CAST(count(DISTINCT snapshot_id) AS INT) AS capture_count, strftime(max(captured_at), '%Y-%m-%d %H:%M:%S') AS last_captured_at FROM cap GROUP BY session_id"""),
 }

@@ -20,6 +20,8 @@ from pagefacts import fixed
 from pagefacts.operators.sessions import environment_conditions
 
 DAY_MS = 86_400_000
+#: How late an event may come before the stream's time passes it.
+LATENESS = "10 minutes"
 
 
 class _Keyed(StatefulProcessor):
@@ -185,6 +187,112 @@ class Readiness(_Keyed):
         yield pd.DataFrame(out, columns=["capture_id", "process_state", "sample_count", "final_document_width"])
 
 
+class TimedReadiness(Readiness):
+    """The same with an event-time timer: a capture whose samples stop gets its verdict when its time is up.
+
+    `event_time` of a sample is when it was taken, so a capture began `elapsed_ms` before its first one.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True)
+        yield from super().handleInputRows(key, iter([frame]), timerValues)
+        timers = list(self.handle.listTimers())
+        if self.state.get()[7] is not None:
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+        elif not timers:
+            first = frame.sort_values("sample_no", kind="stable").iloc[0]
+            self.handle.registerTimer(int(first.event_time.value // 1_000_000 - first.elapsed_ms + self.limit))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        *held, verdict = self.state.get()
+        out = []
+        if verdict is None:
+            self.state.update((*held, "TIMEOUT"))
+            out.append((key[0], "TIMEOUT", held[1], held[3]))
+        yield pd.DataFrame(out, columns=["capture_id", "process_state", "sample_count", "final_document_width"])
+
+
+class Recovery(_Keyed):
+    """What becomes of a job once it has been silent: finalised, failed or interrupted, by what was assembled until then.
+
+    Job and chunk events of a job come in any order.  A timer runs from the latest of them; when it expires, the rules of `assemble_chunks` decide and
+    the state of the job is cleared.  Chunks of a job that was never announced decide nothing.
+    """
+
+    schema = "job_id string, decided_at timestamp, action string, reason string, n_chunks int, n_bytes bigint, text_sha256 string"
+
+    def __init__(self, stale_seconds: int) -> None:
+        super().__init__()
+        self.stale_ms = stale_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "status string, total int, max_bytes long, full_sha256 string")
+        self.at = handle.getValueState("at", "at long")
+        self.parts = handle.getMapState("parts", "chunk_index int", "data string, n_bytes long, intact boolean, legacy boolean, conflict boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at = self.at.get()[0] if self.at.exists() else 0
+        for row in _sorted(rows, ["event_time"]):
+            at = max(at, int(row.event_time.value // 1_000_000))
+            if row.kind == "JOB":
+                self.job.update((row.status, int(row.total), int(row.max_bytes), row.full_sha256))
+                continue
+            data = row.data.encode()
+            legacy = row.sha256 == "LEGACY_UNVERIFIED"
+            intact = len(data) == int(row.byte_length) and (legacy or hashlib.sha256(data).hexdigest() == row.sha256)
+            spot, found = (int(row.chunk_index),), (row.data, len(data), intact, legacy, False)
+            if self.parts.containsKey(spot):
+                old = self.parts.getValue(spot)
+                found = (min(old[0], row.data), min(old[1], len(data)), old[2] and intact, old[3] or legacy, old[4] or old[0] != row.data)
+            self.parts.updateValue(spot, found)
+        self.at.update((at,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at + self.stale_ms)
+        yield pd.DataFrame([], columns=_columns(self.schema))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.job.exists():
+            status, total, max_bytes, full = self.job.get()
+            if status in fixed.ACTIVE_JOB_STATES:
+                parts = {int(k[0]): tuple(v) for k, v in self.parts.iterator()}
+                size = sum(p[1] for p in parts.values())
+                reason, digest = self._judged(parts, total, size, max_bytes, full)
+                action = "COMPLETE" if reason is None else "INTERRUPTED" if reason == "CHUNK_SEQUENCE" else "FAILED"
+                out.append((key[0], pd.Timestamp(self.at.get()[0] + self.stale_ms, unit="ms"), action, reason, len(parts), size, digest))
+        for state in (self.job, self.at, self.parts):
+            state.clear()
+        yield pd.DataFrame(out, columns=_columns(self.schema))
+
+    @staticmethod
+    def _judged(parts: dict[int, tuple], total: int, size: int, max_bytes: int, full: str | None) -> tuple[str | None, str | None]:
+        if set(parts) != set(range(total)) or len(parts) > fixed.MAX_CHUNKS:
+            return "CHUNK_SEQUENCE", None
+        if any(p[4] for p in parts.values()):
+            return "CONFLICTING_DUPLICATE", None
+        if full is None and any(p[3] for p in parts.values()):
+            return "LEGACY_INTEGRITY_UNAVAILABLE", None
+        if size > max_bytes:
+            return "ASSEMBLED_SIZE", None
+        if not all(p[2] for p in parts.values()):
+            return "CHUNK_INTEGRITY", None
+        whole = hashlib.sha256()
+        for i in range(total):
+            whole.update(parts[i][0].encode())
+        return (None, whole.hexdigest()) if full in (None, whole.hexdigest()) else ("ASSEMBLED_CHECKSUM", None)
+
+
+def _columns(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
 class Admission(_Keyed):
     """Accept or reject capture attempts of a session one after another.
 
@@ -267,8 +375,8 @@ def job_state_stream(events: DataFrame) -> DataFrame:
     return stateful(events, "job_id", JobStates())
 
 
-def stale_job_stream(events: DataFrame, seconds: int = fixed.STALE_JOB_SECONDS, watermark: str = "0 seconds") -> DataFrame:
-    """The same with event-time timers that interrupt silent jobs."""
+def stale_job_stream(events: DataFrame, seconds: int = fixed.STALE_JOB_SECONDS, watermark: str = LATENESS) -> DataFrame:
+    """The same with event-time timers that interrupt silent jobs; events may come as late as `watermark`."""
     return stateful(events.withWatermark("event_time", watermark), "job_id", JobStates(seconds), time="EventTime")
 
 
@@ -276,6 +384,19 @@ def readiness_stream(samples: DataFrame, timeout_ms: float = fixed.READINESS_TIM
     return stateful(samples, "capture_id", Readiness(timeout_ms, ttl_ms))
 
 
+def readiness_timeout_stream(samples: DataFrame, timeout_ms: float = fixed.READINESS_TIMEOUT_MS, watermark: str = LATENESS) -> DataFrame:
+    """`readiness_stream` of samples with `event_time`, with a verdict for captures that fall silent."""
+    return stateful(samples.withWatermark("event_time", watermark), "capture_id", TimedReadiness(timeout_ms), time="EventTime")
+
+
+def job_recovery_stream(events: DataFrame, seconds: int = fixed.STALE_JOB_SECONDS, watermark: str = LATENESS) -> DataFrame:
+    """Recovery of silent jobs from one stream of job and chunk events.
+
+    `events`: job_id, event_time, kind (JOB or CHUNK), of a job status, total, max_bytes, full_sha256, of a chunk chunk_index, data, byte_length, sha256.
+    """
+    return stateful(events.withWatermark("event_time", watermark), "job_id", Recovery(seconds), time="EventTime")
+
+
 def admission_stream(attempts: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     return stateful(attempts, "session_id", Admission(ttl_ms))
 
