@@ -28,14 +28,15 @@ from llm.common import checkpointed, texts
 LIMIT = 2048
 BINS = 128
 BUCKET = 50_000
-_CACHED = 400_000
+_CACHED = 300_000
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _PLAIN = re.compile("[\x21-\x7e\xa1-ɏ]+")
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
 class _Chunks(dict):
-    """Token ids (as bytes) of runs of text without white space, kept while there are not too many.
+    """Token ids (as bytes) of runs of text without white space, in two generations: when the young one is full it becomes the old one, so runs that
+    come again and again are never worked out twice.
 
     The vocabulary drops white space, so a text's ids are those of its runs.  Runs of plain Latin letters and marks are cut into
     words here and looked up in the model; all others go through the whole tokenizer.
@@ -45,7 +46,10 @@ class _Chunks(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.spelt = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values()))]
+        self.old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [byte for byte in range(256) if byte not in shown]
         self.bytes = {**{byte: byte for byte in shown}, **{byte: 256 + i for i, byte in enumerate(rest)}}
@@ -54,18 +58,32 @@ class _Chunks(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        if "<|" in chunk or not _PLAIN.fullmatch(chunk):
+        found = self.old.get(chunk)
+        if found is not None:
+            pass
+        elif "<|" in chunk or not _PLAIN.fullmatch(chunk):
             found = self.encoded(chunk)
         else:
-            found = b"".join(map(self.word, _PARTS.findall(chunk.lower())))
+            # Most runs are one word, or one with a mark behind it; the pattern would cut them just so.
+            low = chunk.lower()
+            if low.isalpha():
+                found = self.word(low)
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                found = self.word(low[:-1]) + self.word(low[-1])
+            else:
+                found = b"".join(map(self.word, _PARTS.findall(low)))
         self[chunk] = found
         return found
 
     def word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
+            found = self.old_words.get(word)
+            if found is not None:
+                self.words[word] = found
+                return found
             spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
-            found = b"".join(token.id.to_bytes(4, "little") for token in self.model.tokenize(spelled))
+            found = b"".join([self.spelt[token.id] for token in self.model.tokenize(spelled)])
             self.words[word] = found
         return found
 
@@ -73,9 +91,10 @@ class _Chunks(dict):
         if _SEPARATORS.search(text):
             return self.encoded(text)
         if len(self) > _CACHED:
+            self.old = dict(self)
             self.clear()
         if len(self.words) > _CACHED:
-            self.words.clear()
+            self.old_words, self.words = self.words, {}
         return b"".join(map(self.__getitem__, text.split()))
 
 
