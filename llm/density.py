@@ -2,7 +2,8 @@
 
 Every element gets characters per tag, adjusted for how many of its characters and tags are links.  The element whose children's
 densities have the largest sum holds the article; the least density on its path up to the body is the threshold that other
-parts of the body must reach to count as well.  Elements that are chrome by tag, role or class are taken out before anything is counted.
+parts of the body must reach to count as well.  Elements that are chrome by tag, role or class are taken out before anything is counted; a form, or
+an element with a telling class, stays where it holds the heart of the page, and within an article class words decide only where all of them tell.
 """
 
 from __future__ import annotations
@@ -28,13 +29,19 @@ _RAW = frozenset("script style textarea title noscript template iframe object sv
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
     "time tt u var wbr br".split())
-_CHROME = frozenset("head nav footer aside form button select dialog menu script style textarea title noscript template iframe object svg".split())
+_CHROME = frozenset("head nav footer aside button select dialog menu script style textarea title noscript template iframe object svg".split())
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _CHROME_TOKENS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar aside menu nav navbar navigation "
     "breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "subscription signup share sharing social related recommended comment comments commentlist disqus reply replies respond form search login "
     "widget widgets toolbar pagination pager copyright".split())
+#: Words that take an element out of an article even beside others; the rest must stand alone, or beside words that say nothing, and not on prose.
+_FOREIGN = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored comment comments commentlist disqus reply replies respond cookie cookies "
+    "consent gdpr newsletter".split())
+_NEUTRAL = frozenset("area bar block box button buttons container content group icons inner item items link links list outer post row section top bottom wrap wrapper".split())
+_PROSE = frozenset("p table thead tbody tr td th caption pre blockquote figure figcaption h1 h2 h3 h4 h5 h6 dl dt dd ol li".split())
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "option": ("option", ("select",)),
            "tr": ("tr", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
 
@@ -56,7 +63,7 @@ class _Tree:
                 self.cut(self.open[closed][-1])
         parent = self.stack[-1]
         inside = bool(self.open["article"] or self.open["main"])
-        chrome, suspect = tag in _CHROME or tag == "header" and not inside, False
+        chrome, suspect = tag in _CHROME or tag == "header" and not inside, tag == "form"
         if attributes:
             for name, value in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'").lower()
@@ -66,7 +73,11 @@ class _Tree:
                     chrome = True
                 elif name in ("class", "id"):
                     tokens = set(_TOKEN.findall(value))
-                    suspect |= not tokens.isdisjoint(_CHROME_TOKENS) or "header" in tokens and not inside
+                    if inside:
+                        known = tokens & _CHROME_TOKENS
+                        suspect |= not tokens.isdisjoint(_FOREIGN) or bool(known) and tag not in _PROSE and tokens - known <= _NEUTRAL
+                    else:
+                        suspect |= not tokens.isdisjoint(_CHROME_TOKENS) or "header" in tokens
         self.tags.append(tag)
         self.parents.append(parent)
         self.chrome.append(chrome)
@@ -172,7 +183,7 @@ def main_text(html: str | None) -> str:
     heart = next((i for tags in (("article", "main"), ("h1",)) for i in range(n) if tree.tags[i] in tags and bare[i]), None)
 
     def spared(i: int) -> bool:
-        """A class name alone does not take out what holds the article, or most of a page that marks none."""
+        """Neither a form nor a class name takes out what holds the article, or most of a page that marks none."""
         return i <= heart < ends[i] if heart is not None else 2 * bare[i] > bare[0]
 
     off = [tree.chrome[i] or tree.suspect[i] and not spared(i) for i in range(n)]
@@ -211,21 +222,16 @@ def main_text(html: str | None) -> str:
         up = parents[up]
         path.append(up)
     threshold = min(values[i] for i in path)
-    chosen = [False] * n
-
-    def article(i: int) -> int:
-        """The enclosing article of a part, if it has one: its heading belongs to it."""
-        at = i
-        while at != root:
-            if tree.tags[at] == "article":
-                return at
-            at = parents[at]
-        return i
-
-    chosen[article(best)] = True
+    chosen, on_path = [False] * n, set(path)
+    # The nearest article around a part, if it has one: its heading belongs to it.
+    article = list(range(n))
+    for i in range(root + 1, n):
+        up = article[parents[i]]
+        article[i] = i if tree.tags[i] == "article" or parents[i] == root or tree.tags[up] != "article" else up
+    chosen[article[best]] = True
     for i in range(n):
-        if inner[i] and i != root and i not in path and values[i] >= threshold > 0 and parents[i] in path and parents[i] != best:
-            chosen[article(best_below[i])] = True
+        if inner[i] and i != root and i not in on_path and values[i] >= threshold > 0 and parents[i] in on_path and parents[i] != best:
+            chosen[article[best_below[i]]] = True
     for i in range(n):
         chosen[i] = chosen[i] or inner[i] and tree.tags[i] == "h1"
     for i in range(1, n):

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pandas as pd
 
@@ -32,6 +33,31 @@ def test_density_picks_the_article_without_names():
     assert density.main_text(page) == PROSE.strip() + "\n" + PROSE.strip()
 
 
+def test_a_form_around_the_page_is_no_form(spark):
+    """Server-rendered pages stand in one form; forms beside or within the article go."""
+    small = "<form action=x><label>mail</label><input></form>"
+    for article in (f"<article><h1>T</h1><p>{PROSE}</p>{small}<p>{PROSE}</p></article>", f"<h1>T</h1><div><p>{PROSE}</p>{small}<p>{PROSE}</p></div>",
+                    f"<div><p>{PROSE}</p>{small}<p>{PROSE}</p></div>"):
+        page = f"<body><form id=aspnetForm><nav>menu</nav>{article}</form>{small}</body>"
+        want = [*(["T"] if "<h1>" in article else []), PROSE.strip(), PROSE.strip()]
+        assert density.main_text(page).split("\n") == want
+
+
+def test_names_within_an_article():
+    """A telling word beside another says nothing, nor does it on prose; alone, or where it is foreign to articles, it does."""
+    kept = (f'<div class="social history"><p>{PROSE}</p></div><table class="form"><tr><td>cell</td></tr></table><p id="search">found {PROSE}</p>')
+    gone = f'<div class="share-buttons">share</div><div class="related links">more</div><p class="advert">buy</p><div class="comments"><p>{PROSE}</p></div>'
+    want = [PROSE.strip(), "cell", "found " + PROSE.strip()]
+    assert density.main_text(f"<body><article>{kept}{gone}</article></body>").split("\n") == want
+
+
+def test_nested_tags_take_linear_time():
+    for page in ("<div>" * 100_000 + "deep", "<div>" * 30_000 + "<p>x</p>" * 30_000, "<article>" * 50_000 + "<p>y"):
+        begin = time.perf_counter()
+        assert density.main_text(page)
+        assert time.perf_counter() - begin < 8
+
+
 def test_query_against_the_articles(spark):
     pages = pd.read_parquet(f"{SF}/pages.parquet").set_index("page_id")
     found = queries.op8_main_text(spark, SF).toPandas()
