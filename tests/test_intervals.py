@@ -144,3 +144,15 @@ def test_references_on_a_deep_page(spark):
     nodes = extract_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"))
     got = {r.node_ix: r.structural_ref for r in tree.structural_refs(nodes).collect()}
     assert got[39] == ">".join(["div:nth-of-type(1)"] * 40) and got[42] == "p#x>a:nth-of-type(1)>i:nth-of-type(1)"
+
+
+def test_long_texts_reach_the_diagnostics(spark):
+    """An element with more texts than the published limit is flagged by `text_shape` and shows up in the diagnostics of its page."""
+    from pagefacts import fixed
+    from pagefacts.operators.coverage import page_diagnostics
+
+    html = "<div>" + "<b>x</b>" * (fixed.TEXT_NODE_LIMIT + 1) + "</div><p>short</p>"
+    pages = spark.createDataFrame([(1, html), (2, "<p>short</p>")], "page_id long, html string")
+    shape = text_shape(extract_text_nodes(pages), extract_nodes(pages))
+    elements = shape.select("page_id", F.col("over_limit").alias("text_over_limit"), F.lit("UNIQUE").alias("identity_status"), F.lit("EXACT").alias("binding_state"))
+    assert [tuple(r) for r in page_diagnostics(elements, ["page_id"]).collect()] == [(1, "TEXT_SHAPE_LIMIT_REACHED", 1)]
