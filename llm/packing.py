@@ -307,21 +307,20 @@ def pack(pieces: DataFrame, page_id: str = "page_id", limit: int = LIMIT) -> Dat
     spark = pieces.sparkSession
     histogram = {row.length: row.n for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     planned = places(plan(histogram, limit))
-    sizes = spark.createDataFrame([(length, -(-n // BUCKET)) for length, n in histogram.items()], "length long, buckets long")
-    place = spark.createDataFrame(planned, "length long, first long, beyond long, base long, repeats long, at long")
-    hashed = F.pmod(F.xxhash64(page_id, "piece"), F.col("buckets")).cast("int")
-    dealt = pieces.join(F.broadcast(sizes), "length").withColumn("bucket", hashed).drop("buckets")
-    counted = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counted = counted.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    within = Window.partitionBy("length", "bucket").orderBy(page_id, "piece")
-    ranked = (dealt.withColumn("rank", F.row_number().over(within) - 1).join(counted, ["length", "bucket"])
-              .withColumn("rank", F.col("rank") + F.col("earlier")))
-    found = ranked.join(F.broadcast(place), (ranked["length"] == place["length"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("beyond")))
-    inner = F.col("rank") - F.col("first")
-    kept = [ranked[name] for name in pieces.columns]
-    return found.select(*kept, (F.col("base") + inner % F.col("repeats")).alias("sequence_id"),
-                        (F.col("at") + F.floor(inner / F.col("repeats")) * ranked["length"]).cast("long").alias("offset"))
+    sizes = spark.createDataFrame([(length, -(-n // BUCKET)) for length, n in histogram.items()], "length long, _buckets long")
+    place = spark.createDataFrame(planned, "_length long, _first long, _beyond long, _base long, _repeats long, _at long")
+    hashed = F.pmod(F.xxhash64(page_id, "piece"), F.col("_buckets")).cast("int")
+    dealt = pieces.join(F.broadcast(sizes), "length").withColumn("_bucket", hashed).drop("_buckets")
+    counted = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_earlier"))
+    within = Window.partitionBy("length", "_bucket").orderBy(page_id, "piece")
+    ranked = (dealt.withColumn("_rank", F.row_number().over(within) - 1).join(counted, ["length", "_bucket"])
+              .withColumn("_rank", F.col("_rank") + F.col("_earlier")))
+    found = ranked.join(F.broadcast(place), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_beyond")))
+    inner = F.col("_rank") - F.col("_first")
+    return found.select(*pieces.columns, (F.col("_base") + inner % F.col("_repeats")).alias("sequence_id"),
+                        (F.col("_at") + F.floor(inner / F.col("_repeats")) * F.col("length")).cast("long").alias("offset"))
 
 
 def packed_pieces(page_texts: DataFrame, tokenizer: str, page_id: str = "page_id", data: str = "data", limit: int = LIMIT, end: int = 0) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from llm import packing, queries
@@ -74,3 +75,12 @@ def test_query_against_the_tokenizer(spark):
     assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in found.itertuples()} == want and len(found) == len(want)
     check(found, 2048)
     assert found.sequence_id.nunique() <= -(-found.length.sum() // 2048) + 2
+
+
+def test_other_columns_are_kept_whatever_their_names(spark):
+    names = ("bucket", "buckets", "earlier", "rank", "n", "first", "beyond", "base", "repeats", "at")
+    pieces = spark.createDataFrame([(i, 0, 1 + i % 5) for i in range(20)], "page_id long, piece int, length long")
+    pieces = pieces.withColumns({name: F.concat(F.lit(name), F.col("page_id").cast("string")) for name in names})
+    rows = packing.pack(pieces, limit=10).collect()
+    assert len(rows) == 20 and all(row[name] == f"{name}{row.page_id}" for row in rows for name in names)
+    assert sum(row.length for row in rows) == 60 and len({(row.sequence_id, row.offset) for row in rows}) == 20
